@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontamination, ngram_join
+from lodestone.llm import decontamination, fingerprints, ngram_join, secrets
 
-MODULES = [ngram_join, decontamination]
+MODULES = [ngram_join, fingerprints, secrets, decontamination]
 
 
 def queries() -> dict:
