@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontamination, fingerprints, ngram_join, secrets
+from lodestone.llm import decontamination, fingerprints, ngram_join, secrets, sentencepiece_codec, token_files
 
-MODULES = [ngram_join, fingerprints, secrets, decontamination]
+MODULES = [ngram_join, fingerprints, secrets, token_files, decontamination, sentencepiece_codec]
 
 
 def queries() -> dict:
