@@ -14,7 +14,6 @@ alike; items of equal text all count; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import PUNCT_SEP, gram_hashes, narrowed, read_table, text_slices, word_hashes
+from lodestone.llm.common import PUNCT_SEP, few, gram_hashes, narrowed, read_table, text_slices, word_hashes, written
 
 WINDOW, GRAM = 10, 5
 BLOCK_CHARS = 16_000_000
@@ -173,6 +172,13 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     return whole.withColumn("spans", F.when(F.size("spans") > 0, merged).otherwise(F.col("spans")))
 
 
+def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without the documents that hold a benchmark window."""
+    drop = written(contaminated_spans(docs, benchmark).where("size(items) > 0").select("doc_id").distinct(), "contaminated")
+    drop = F.broadcast(drop) if few(drop, 2_000_000) else drop
+    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = contaminated_spans(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])

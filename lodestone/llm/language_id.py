@@ -215,6 +215,24 @@ def identified(docs: DataFrame, samples: bytes) -> DataFrame:
     return narrowed(docs, doc_id="doc_id", text="text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, samples: bytes) -> DataFrame:
+    """docs without the rows in no language ("und"); a missing lang is filled with the prediction. Rows keep their columns."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"])
+    shared = docs.sparkSession.sparkContext.broadcast(samples)
+
+    def run(batches):
+        model = model_of(shared.value)
+        for batch in batches:
+            preds = []
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for i in range(0, len(texts), 500):
+                preds += model.judge(texts[i : i + 500])[0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string())], names=["row", "pred"])
+
+    kept = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, pred string").where("pred <> 'und'")
+    return kept.select(*[(F.coalesce(F.col("row.lang"), F.col("pred")) if c == "lang" else F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = learn(docs.where(~held_out(F.col("doc_id"))))

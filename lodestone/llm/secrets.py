@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import narrowed, read_table, salted_join, written
+from lodestone.llm.common import few, narrowed, read_table, salted_join, written
 
 #: The base patterns, and the shortest group or match that counts.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -93,7 +93,6 @@ def scanned(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     out = found.join(copied, "row", "left").withColumn("copied", F.coalesce("copied", F.array().cast("array<bigint>")))
     mark = lambda c: F.transform(c, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.array_contains("copied", s["hash"]).alias("example")))
     out = out.select("doc_id", "row", mark("base").alias("base"), F.filter(mark("wide"), lambda s: ~s["example"]).alias("wide"))
-    place = F.array_position(F.array(*map(F.lit, (*KINDS, "owned"))), F.col("x.kind"))  # noqa: F841
     both = F.array_sort(
         F.concat("base", "wide"),
         lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["kind"] == b["kind"], 0).otherwise(
@@ -110,11 +109,14 @@ def joined(spans: Column) -> Column:
 def redacted(docs: DataFrame, owner: str = "source", repo: str = "source") -> DataFrame:
     """docs with live credentials in text replaced by [kind]; copied examples and clean texts stay as they are. n_chars follows."""
     rows = docs.withColumns({"owner": F.col(owner), "repo": F.col(repo)})
-    marks = scanned(rows).select("row", F.filter("spans", lambda s: ~s["example"]).alias("live")).where("size(live) > 0").dropDuplicates(["row"])
-    out = docs.withColumn("row", F.xxhash64("doc_id", "text")).join(marks, "row", "left")
+    marks = scanned(rows).select(F.col("row").alias("_row"), F.filter("spans", lambda s: ~s["example"]).alias("_live")).where("size(_live) > 0").dropDuplicates(["_row"])
+    marks = written(marks, "marks")
+    # Texts stay where they are while the marks are few (64 bytes a span); beyond that both sides meet by row.
+    marks = F.broadcast(marks) if few(marks, 200_000) else marks
+    out = docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(marks, "_row", "left")
     # Overlapping spans go as one: each keeps only what lies behind the ones before it.
     cut = F.aggregate(
-        "live",
+        "_live",
         F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
@@ -122,8 +124,8 @@ def redacted(docs: DataFrame, owner: str = "source", repo: str = "source") -> Da
         ),
         lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))),
     )
-    text = F.when(F.col("live").isNull(), F.col("text")).otherwise(cut)
-    return out.withColumn("text", text).withColumn("n_chars", F.when(F.col("live").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    text = F.when(F.col("_live").isNull(), F.col("text")).otherwise(cut)
+    return out.withColumn("text", text).withColumn("n_chars", F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

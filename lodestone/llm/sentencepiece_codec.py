@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from sentencepiece import sentencepiece_model_pb2
 
-from lodestone.llm.common import narrowed, read_table
+from lodestone.llm.common import read_table
 
 MARK = "▁"
 CACHE = 300_000
@@ -205,45 +205,58 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-ENCODED = "doc_id long, ids array<int>, ends array<long>, decoded string"
+#: What encode_documents can return for each document. ids: end id last; ends: the original byte at which each piece but
+#: the end id ends; the digests are of the decimal ids joined by one space, and of the decoded text.
+COLUMNS = {
+    "ids": ("array<int>", pa.list_(pa.int32())),
+    "ends": ("array<long>", pa.list_(pa.int64())),
+    "decoded": ("string", pa.string()),
+    "n_tokens": ("long", pa.int64()),
+    "ids_sha256": ("string", pa.string()),
+    "decoded_sha256": ("string", pa.string()),
+    "covered_bytes": ("long", pa.int64()),
+    "ends_crc32": ("long", pa.int64()),
+}
 
 
-def encode_documents(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, ids (end id last), ends (the original byte at which each piece but the end id ends), decoded text, for each row of docs (doc_id, text)."""
+def encode_documents(docs: DataFrame, model: str, columns: tuple[str, ...] = ("ids", "ends", "decoded"), keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of docs named in keep, and the named COLUMNS, for each row of docs (doc_id, text).
 
-    def run(batches):
-        c = codec(model)
-        for batch in batches:
-            ids, ends, back = [], [], []
-            for text in batch.column(1).to_pylist():
-                found, align = c.encode(text or "")
-                ids.append(np.append(np.frombuffer(b"".join(x[0] for x in found), "<i4"), np.int32(c.eos)))
-                ends.append(c.spans(found, align))
-                back.append(c.decoded(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int64())), pa.array(back, pa.string())], names=["doc_id", "ids", "ends", "decoded"])
-
-    return narrowed(docs, doc_id="doc_id", text="text").mapInArrow(run, ENCODED)
-
-
-def encode_digests(docs: DataFrame, model: str) -> DataFrame:
-    """The digests of encode_documents' columns, made where the arrays are, so that these need not leave the worker."""
+    Digests are made where the arrays are, so that these need not leave the worker.
+    """
+    kept = docs.select("doc_id", *keep).schema
 
     def run(batches):
         c = codec(model)
+        end = str(c.eos)
         for batch in batches:
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            out: dict[str, list] = {name: [] for name in columns}
+            for text in batch.column(0).to_pylist():
                 found, align = c.encode(text or "")
                 ends = c.spans(found, align)
-                ids = " ".join([x[1] for x in found] + [str(c.eos)])
                 back = c.decoded(found)
-                out.append((doc, len(ends) + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), int(ends[-1]) if len(ends) else 0, zlib.crc32(ends)))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes", "ends_crc32"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=names)
-
-    return narrowed(docs, doc_id="doc_id", text="text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long, ends_crc32 long")
+                for name, values in out.items():
+                    match name:
+                        case "ids":
+                            values.append(np.append(np.frombuffer(b"".join([x[0] for x in found]), "<i4"), np.int32(c.eos)))
+                        case "ends":
+                            values.append(ends)
+                        case "decoded":
+                            values.append(back)
+                        case "n_tokens":
+                            values.append(len(ends) + 1)
+                        case "ids_sha256":
+                            values.append(hashlib.sha256(" ".join([*[x[1] for x in found], end]).encode()).hexdigest())
+                        case "decoded_sha256":
+                            values.append(hashlib.sha256(back.encode()).hexdigest())
+                        case "covered_bytes":
+                            values.append(int(ends[-1]) if len(ends) else 0)
+                        case "ends_crc32":
+                            values.append(zlib.crc32(ends.astype("<i8")))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[pa.array(v, COLUMNS[n][1]) for n, v in out.items()]], names=[*batch.schema.names[1:], *columns])
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields], *[f"{n} {COLUMNS[n][0]}" for n in columns]])
+    return docs.select(docs["text"], docs["doc_id"], *[docs[k] for k in keep]).mapInArrow(run, schema)
 
 
 def default_model() -> str:
@@ -253,7 +266,7 @@ def default_model() -> str:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_digests(read_table(spark, sf_dir, "documents"), default_model())
+    return encode_documents(read_table(spark, sf_dir, "documents"), default_model(), ("n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes", "ends_crc32"))
 
 
 QUERIES = {"op10_sentencepiece": op10_sentencepiece}
