@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, drop_written, narrowed, read_table, salted_join, semi_by_id, shingle_sets, written
+from lodestone.llm.common import components, few, narrowed, read_table, salted_join, semi_by_id, shingle_sets, written
 
 SHINGLE = 5
-FLUSH_TOKENS = 2_000_000
-BUCKET_TOKENS = 1_500_000
+FLUSH_TOKENS = 1_000_000
+BUCKET_TOKENS = 1_000_000
 CHUNK_TOKENS = 2_000_000
 
 
