@@ -437,6 +437,16 @@ def _repeats(ids: DataFrame, counts: DataFrame) -> bool:
     return not counts.join(ids.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: the smallest doc_id's (of its repeated rows one). Rows without doc_id stay."""
+    classes = written(jaccard_classes(docs), "components")
+    drop = written(classes.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    again = classes.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty()
+    drop = F.broadcast(drop) if few(drop, 2_000_000) else drop
+    out = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    return out if again else out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read_table(spark, sf_dir, "documents"))
 
