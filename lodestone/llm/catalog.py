@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontamination, fingerprints, language_id, ngram_join, secrets, sentencepiece_codec, substring_dedup, token_files, warc
+from lodestone.llm import decontamination, fingerprints, language_id, licenses, ngram_join, secrets, sentencepiece_codec, substring_dedup, token_files, warc
 
-MODULES = [ngram_join, fingerprints, secrets, substring_dedup, language_id, warc, token_files, decontamination, sentencepiece_codec]
+MODULES = [ngram_join, fingerprints, secrets, substring_dedup, language_id, licenses, warc, token_files, decontamination, sentencepiece_codec]
 
 
 def queries() -> dict:
