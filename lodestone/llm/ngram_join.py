@@ -168,11 +168,19 @@ def _shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
             new = np.repeat(size > 1, size) & ~known
             ids, n = np.concatenate([ids, d[new]]), np.concatenate([n, np.ones(int(new.sum()), np.int64)])
         ids, n = _totals(ids, n)
+        out: list = []
+        for b, part in _by_bucket(_of_doc(ids, buckets)):
+            _pack(out, b, ids[part], n[part])
+        yield _rows(out, "ids", "counts")
+
+    def total(batches):
+        ids, n = _totals(*_gathered(batches, np.int64, np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["doc_id", "shared"])
 
     kinds = ", ".join(f"{c} binary" for c in ("tokens", "docs", "known", "ids", "counts"))
-    met = docs.select("doc_id", "text").mapInArrow(send, f"bucket int, {kinds}").repartition(buckets, "bucket").mapInArrow(meet, "doc_id long, shared long")
-    return met.groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    sent = docs.select("doc_id", "text").mapInArrow(send, f"bucket int, {kinds}")
+    met = sent.repartition(buckets, "bucket").mapInArrow(meet, "bucket int, ids binary, counts binary")
+    return met.repartition(buckets, "bucket").mapInArrow(total, "doc_id long, shared long")
 
 
 # ---------------------------------------------------------------- 3. global order and blocks
