@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from lodestone.plans import dialogue, retrieval, scalars
+
+MODULES = [retrieval, dialogue, scalars]
 
 
 def queries() -> dict:
