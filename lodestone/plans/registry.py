@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import dialogue, retrieval, scalars
+from lodestone.plans import dialogue, ingest, retrieval, scalars
 
-MODULES = [retrieval, dialogue, scalars]
+MODULES = [retrieval, dialogue, scalars, ingest]
 
 
 def queries() -> dict:
