@@ -73,12 +73,15 @@ def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(common / F.size(both))
 
 
-def with_next(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
-    """df plus, for each pair new: old, the value of old in the next row by key (after the last: the first)."""
+def with_next(df: DataFrame, key: str, columns: dict[str, str], prepare=lambda df: df) -> DataFrame:
+    """prepare(df) plus, for each pair new: old, the value of old in the next row by key (after the last: the first).
+
+    prepare adds columns row by row; it runs once on each row, before rows are dealt out.
+    """
     ids = df.select(F.coalesce(F.col(key), F.lit(-(2**63))).alias("_k"))
     rows = ids.count()
     if not rows:
-        return df.withColumns({new: F.col(old) for new, old in columns.items()})
+        return prepare(df).withColumns({new: F.col(old) for new, old in columns.items()})
     ranges = max(1, min(RANGES, math.ceil(rows / RANGE_ROWS)))
     bounds = sorted(set(ids.agg(F.percentile_approx("_k", [i / ranges for i in range(1, ranges)] or [0.5], 100_000)).first()[0]))
     marks = F.array(*[F.lit(b).cast("long") for b in bounds])
@@ -95,14 +98,14 @@ def with_next(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
     after = [(firsts[i - 1][0], k) for i, (_, k) in enumerate(firsts)]  # i = 0: the first row of all follows the last range
     df = df.withColumn("_k", F.coalesce(F.col(key), F.lit(-(2**63))))
     guests = df.join(F.broadcast(df.sparkSession.createDataFrame(after, "_r int, _k long")), "_k").withColumn("_guest", F.lit(1))
-    all_rows = df.withColumns({"_r": place(F.col("_k")), "_guest": F.lit(0)}).unionByName(guests)
-    order = Window.partitionBy("_r").orderBy("_guest", "_k", *[F.col(c) for c in dict.fromkeys(columns.values()) if dict(df.dtypes)[c] == "string"])
+    all_rows = prepare(df.withColumns({"_r": place(F.col("_k")), "_guest": F.lit(0)}).unionByName(guests))
+    order = Window.partitionBy("_r").orderBy("_guest", "_k", *[F.col(c) for c in dict.fromkeys(columns.values()) if dict(all_rows.dtypes)[c] == "string"])
     return all_rows.withColumns({new: F.lead(old).over(order) for new, old in columns.items()}).where("_guest = 0").drop("_k", "_r", "_guest")
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, sketch) plus n_chars, edited (last quarter replaced by the start of the next text), next_sketch."""
-    docs = with_next(docs, "doc_id", {"next_text": "text", "next_sketch": "sketch"})
+    """docs (doc_id, text) plus sketch, n_chars, edited (last quarter replaced by the start of the next text), next_sketch."""
+    docs = with_next(docs, "doc_id", {"next_text": "text", "next_sketch": "sketch"}, lambda df: with_sketch(df, "text", "sketch"))
     docs = docs.withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     return held(docs, "edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("next_text", F.lit(1), cut))).drop("next_text")
@@ -110,7 +113,7 @@ def edited(docs: DataFrame) -> DataFrame:
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = narrowed(read_table(spark, sf_dir, "documents"), doc_id="doc_id", text="text").withColumn("text", F.coalesce("text", F.lit("")))
-    docs = with_sketch(edited(with_sketch(docs, "text", "sketch")).drop("text"), "edited", "edited_sketch")
+    docs = with_sketch(edited(docs).drop("text"), "edited", "edited_sketch")
     return docs.select(
         "doc_id",
         "n_chars",
