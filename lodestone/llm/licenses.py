@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import narrowed, read_table
+from lodestone.llm.common import lean_batches, narrowed, read_table
 
 #: Words one of which every known licence sentence holds (lower case).
 TRIGGERS = ("licen", "copyright", "redistribut", "warrant", "permission", "public domain", "liable", "spdx", "cc0", "cc by")
 
 #: Identifiers of licence sentences, and a pattern over the normalised sentence. The first that fits counts.
 SENTENCES = [
-    ("spdx", r"\bspdx license identifier (?P<id>[a-z0-9.+-]+)"),
+    ("spdx", r"\bspdx-license-identifier (?P<id>[a-z0-9.+-]+)"),
     ("mit-permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mit-notice", r"the above copyright notice and this permission notice (shall|must) be included in all copies or substantial portions"),
     ("mit-liability", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
@@ -134,8 +134,8 @@ FILL = ("holder", "reserved")
 FOUND = "doc_id long, sentences array<struct<id:string,start:long,end:long>>, licences array<struct<licence:string,start:long,end:long>>"
 
 _PATTERNS = [(name, re.compile(p)) for name, p in SENTENCES]
-#: A sentence ends at a blank line, or at . ! ? ; : behind which a space or a line end stands (not inside 2.0 or a link).
-_END = re.compile(r"\n[ \t]*[/*#;%-]*[ \t]*\n|[.!?;:](?=\s)|\*/|-->|\Z")
+#: A sentence ends at a blank line, or at . ! ? ; behind which a space or a line end stands (not inside 2.0 or a link).
+_END = re.compile(r"\n[ \t]*[/*#;%-]*[ \t]*\n|[.!?;](?=\s)|\*/|-->|\Z")
 _MARKS = re.compile(r"[^a-z0-9.+©-]+")
 _DOTS = re.compile(r"(?<![0-9a-z])[.+-]+|[.+-]+(?![0-9a-z])")
 
@@ -153,7 +153,7 @@ def known_sentences(text: str) -> list[tuple[str, int, int]]:
     exact = len(low) == len(text)  # else lower-casing changed lengths and the trigger test runs on each sentence
     out, start = [], 0
     for m in _END.finditer(text):
-        end = m.end() if m.group() and m.group()[0] in ".!?;:" else m.start()
+        end = m.end() if m.group() and m.group()[0] in ".!?;" else m.start()
         part = low[start:end] if exact else text[start:end].lower()
         if any(t in part for t in TRIGGERS):
             out += _recognised(text, start, end)
@@ -225,6 +225,7 @@ def licence_findings(docs: DataFrame) -> DataFrame:
                 rules.append([{"licence": n, "start": a, "end": b} for n, a, b in (matched_rules(s) if s else ())])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known, sentence), pa.array(rules, licence)], names=["doc_id", "sentences", "licences"])
 
+    lean_batches(docs.sparkSession)
     return narrowed(docs, doc_id="doc_id", text="text").mapInArrow(run, FOUND)
 
 
