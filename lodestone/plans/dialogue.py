@@ -80,10 +80,9 @@ def work_time(spark, sf_dir):
 
 
 def forward_fanout(spark, sf_dir):
-    """Messages of five whitelisted groups go to the others of them."""
-    m = t.messages(spark, sf_dir)
-    groups = m.select("group_id").distinct().orderBy("group_id").limit(5)
-    return chat.forwarded(m, groups, "error").select("id", "group_id", "target")
+    """Event types as whitelisted groups: each message goes to all groups but its own, user 0 being the bot."""
+    m = t.events(spark, sf_dir).select(F.col("event_type").alias("group_id"), F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("sender"))
+    return chat.forwarded(m, m.select("group_id").distinct(), "0").select("id", "group_id", "target")
 
 
 def history_window(spark, sf_dir):
@@ -131,7 +130,7 @@ SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY run) AS IN
     "usage_stats": "SELECT event_type, count(*) AS inferences, count(DISTINCT user_id) AS users, count(DISTINCT CAST(ts AS DATE)) AS days, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY event_type",
     "monthly_active": "SELECT strftime(ts, '%y-%m') AS month, count(DISTINCT user_id) AS users, count(*) AS n FROM events GROUP BY 1",
     "work_time": "SELECT event_id, strftime(ts, '%H:%M:%S') > '09:00:00' AND strftime(ts, '%H:%M:%S') < '18:00:00' AS at_work FROM events",
-    "forward_fanout": f"WITH {M}, g AS (SELECT DISTINCT group_id FROM m ORDER BY group_id LIMIT 5) SELECT id, m.group_id, g.group_id AS target FROM m JOIN g ON m.group_id <> g.group_id WHERE m.group_id IN (SELECT group_id FROM g) AND sender <> 'error'",
+    "forward_fanout": "WITH g AS (SELECT DISTINCT event_type AS target FROM events) SELECT event_id AS id, event_type AS group_id, target FROM events JOIN g ON event_type <> target WHERE user_id <> 0",
     "history_window": f"WITH {M} SELECT id, count(*) OVER w AS talks, min(id) OVER w AS first_id FROM m WINDOW w AS (PARTITION BY group_id ORDER BY sec RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW)",
     "lru_cache": """WITH a AS (SELECT strftime(ts, '%Y-%m-%d') || '/' || event_type AS cache, user_id % 16 AS key, event_id AS sec FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY cache ORDER BY sec) AS n FROM a),
 l AS (SELECT *, lag(n) OVER (PARTITION BY cache, key ORDER BY sec) AS last FROM n)
