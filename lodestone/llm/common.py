@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -68,6 +69,22 @@ def narrowed(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[df[src].alias(dst) for dst, src in cols.items()])
 
 
+def lean_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Smaller Arrow batches for this session, unless it has smaller ones: long texts fill a worker's memory at the default of 10000 rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def trim() -> None:
+    """Gives a worker's freed memory back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 # ---------------------------------------------------------------- relational helpers
 
 
@@ -163,7 +180,7 @@ SPACE_SEP = separators((0x20, 0x20), (0x09, 0x0D))
 PUNCT_SEP = separators((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 
 
-def text_slices(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, row offsets) for runs of rows of about most bytes; nulls read as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

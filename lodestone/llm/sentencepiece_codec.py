@@ -6,8 +6,8 @@ original byte at which it ends, so each piece projects to a span of original byt
 
 Encoding: a normalised text is cut before each run of space marks. No piece of the vocabulary has a mark behind another
 character (checked when a model is loaded; else whole texts are encoded), so no merge crosses a cut, and equal parts have
-equal pieces. Parts are looked up in a table; unknown ones go to the sentencepiece library in batches. The table is
-cleared beyond CACHE entries, which bounds a worker's memory.
+equal pieces. Parts are looked up in a table; unknown ones go to the sentencepiece library in batches. The table
+keeps two generations of CACHE entries, which bounds a worker's memory.
 
 Null texts read as empty: no piece but the end id. Repeated rows and ties are encoded alike; a text of any length is
 encoded whole; other columns are ignored.
@@ -19,6 +19,7 @@ import hashlib
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,10 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from sentencepiece import sentencepiece_model_pb2
 
-from lodestone.llm.common import read_table
+from lodestone.llm.common import lean_batches, read_table
 
 MARK = "▁"
-CACHE = 300_000
+CACHE = 250_000
 
 
 class CharMap:
@@ -84,11 +85,16 @@ class Codec:
                 self.pieces[i] = bytes([int(p.piece[3:5], 16)])
             elif p.type == p.CONTROL:
                 self.pieces[i] = b""
-        self.is_byte = [p.type == p.BYTE for p in proto.pieces]
         apart = not any(p.type == p.NORMAL and MARK in p.piece.lstrip(MARK) for p in proto.pieces) and not any(p.type == p.USER_DEFINED for p in proto.pieces)
         #: Parts may be encoded one by one, and the library's own normalisation of a part gives the part itself.
         self.by_part = apart and self.dummy and self.escape and not self.squeeze and not self.suffix and not self.map.units
-        self.table: dict[str, tuple[bytes, str, bytes, bytes, str]] = {}
+        self.bytes_in = {i for i, p in enumerate(proto.pieces) if p.type == p.BYTE}
+        mark = MARK.encode()
+        self.piece_text = ["" if i in self.bytes_in else x.replace(mark, b" ").decode("utf-8", "replace") for i, x in enumerate(self.pieces)]
+        self.piece_size = [len(x) if i in self.bytes_in else len(x) - 2 * x.count(mark) for i, x in enumerate(self.pieces)]
+        self.piece_id = [str(i) for i in range(len(self.pieces))]
+        self.table: dict[str, tuple[bytes, str, bytes, str]] = {}
+        self.before: dict[str, tuple[bytes, str, bytes, str]] = {}
 
     # -- normalisation
 
@@ -141,21 +147,25 @@ class Codec:
 
     # -- encoding
 
-    def _entry(self, ids: list[int]) -> tuple[bytes, str, bytes, bytes, str]:
-        """ids packed; ids as text; normalised and original byte lengths of the pieces; the pieces' text."""
-        raw = [self.pieces[i] for i in ids]
-        norm = [len(x) for x in raw]
-        mark = MARK.encode()
-        orig = [n if self.is_byte[i] else n - 2 * x.count(mark) for i, x, n in zip(ids, raw, norm, strict=True)]
-        text = b"".join(x if self.is_byte[i] else x.replace(mark, b" ") for i, x in zip(ids, raw, strict=True))
-        return np.array(ids, "<i4").tobytes(), " ".join(map(str, ids)), np.array(norm, "<i4").tobytes(), np.array(orig, "<i4").tobytes(), text.decode("utf-8", "replace")
+    def _entry(self, ids: list[int]) -> tuple[bytes, str, bytes, str]:
+        """ids packed; ids as text; original byte lengths of the pieces; the pieces' text."""
+        if self.bytes_in.isdisjoint(ids):
+            text = "".join(map(self.piece_text.__getitem__, ids))
+        else:
+            text = b"".join([self.pieces[i] if i in self.bytes_in else self.piece_text[i].encode() for i in ids]).decode("utf-8", "replace")
+        return array("i", ids).tobytes(), " ".join(map(self.piece_id.__getitem__, ids)), array("i", map(self.piece_size.__getitem__, ids)).tobytes(), text
 
     def learn(self, parts) -> None:
-        """Puts unknown parts (texts behind one space mark) into the table."""
-        new = [p for p in parts if p not in self.table]
-        if len(self.table) + len(new) > CACHE:
-            self.table.clear()
-            new = list(parts)
+        """Puts unknown parts (texts behind one space mark) into the table; parts of the generation before are taken over."""
+        if len(self.table) + len(parts) > CACHE:
+            self.before, self.table = self.table, {}
+        new = []
+        for p in parts:
+            if p not in self.table:
+                if (e := self.before.get(p)) is not None:
+                    self.table[p] = e
+                else:
+                    new.append(p)
         # A mark alone, as behind a last space: the library adds no mark to an empty text.
         ids = [x or [self.sp.piece_to_id(MARK)] for x in self.sp.encode(new, num_threads=1)]
         self.table.update(zip(new, map(self._entry, ids), strict=True))
@@ -166,7 +176,7 @@ class Codec:
             return [p[1:].replace(MARK, " ") for p in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))]
         return text.split(" ")
 
-    def encode(self, text: str) -> tuple[list[tuple[bytes, str, bytes, bytes, str]], np.ndarray | None]:
+    def encode(self, text: str) -> tuple[list[tuple[bytes, str, bytes, str]], np.ndarray | None]:
         """The entries of a text's parts, and its alignment where lengths alone do not give it."""
         if not text:
             return [], None
@@ -184,13 +194,13 @@ class Codec:
     def spans(self, found: list, ends: np.ndarray | None) -> np.ndarray:
         """The original byte offset at which each piece ends; it begins where the one before it ends."""
         if ends is not None:
-            at = np.cumsum(np.frombuffer(b"".join(x[2] for x in found), "<i4"))
+            at = np.cumsum([len(self.pieces[i]) for i in np.frombuffer(b"".join([x[0] for x in found]), "i")], dtype=np.int64)
             return ends[np.minimum(at, len(ends) - 1)]
-        at = np.cumsum(np.frombuffer(b"".join(x[3] for x in found), "<i4"), dtype=np.int64)
+        at = np.cumsum(np.frombuffer(b"".join([x[2] for x in found]), "i"), dtype=np.int64)
         return np.maximum(at - 1, 0) if self.dummy else at  # the mark put before the text has no original byte
 
     def decoded(self, found: list) -> str:
-        text = "".join(x[4] for x in found)
+        text = "".join([x[3] for x in found])
         if self.dummy and text[:1] == " ":
             text = text[1:]
         return text
@@ -224,6 +234,7 @@ def encode_documents(docs: DataFrame, model: str, columns: tuple[str, ...] = ("i
 
     Digests are made where the arrays are, so that these need not leave the worker.
     """
+    lean_batches(docs.sparkSession)
     kept = docs.select("doc_id", *keep).schema
 
     def run(batches):
@@ -238,7 +249,7 @@ def encode_documents(docs: DataFrame, model: str, columns: tuple[str, ...] = ("i
                 for name, values in out.items():
                     match name:
                         case "ids":
-                            values.append(np.append(np.frombuffer(b"".join([x[0] for x in found]), "<i4"), np.int32(c.eos)))
+                            values.append(np.append(np.frombuffer(b"".join([x[0] for x in found]), "i"), np.int32(c.eos)))
                         case "ends":
                             values.append(ends)
                         case "decoded":
