@@ -13,7 +13,7 @@ The dictionary is trained on a bounded sample: about SAMPLE_ROWS documents picke
 each at most. Everything else covers all rows. Too small a sample trains no dictionary: frames are then plain.
 
 Encoding: a text is cut before each space that a non-space follows (always a border of the byte-level pre-tokeniser's
-words), parts are looked up in a table of bounded size, unknown pre-tokens go to the tokenizers library in batches; a text
+words), parts are looked up in tables of bounded size, and an unknown pre-token goes to the tokenizers library's model; a text
 that holds a special token's string goes to the library whole.
 
 Null texts read as empty: the end id alone. Rows of one doc_id keep the order of their texts; a null doc_id comes first;
@@ -30,6 +30,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,11 +42,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import narrowed, read_table, workspace
+from lodestone.llm.common import lean_batches, narrowed, read_table, workspace
 
 MAGIC = b"LTOKv1\0\0"
 FOOTER = "<QQB32s8s"
-CACHE = 400_000
+CACHE = 200_000
 SAMPLE_ROWS, SAMPLE_IDS, DICT_BYTES = 1000, 16_000, 64 * 1024
 LEVEL = 3
 SHARD_ROWS = 40_000
@@ -55,6 +56,30 @@ _UNSAFE = re.compile(r" (?=\s|$)")
 _CUT = re.compile(r"(?= \S)")
 
 
+class Table(dict):
+    """Values of make(key), kept for two generations of CACHE keys."""
+
+    def __init__(self, make):
+        self.make, self.before = make, {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= CACHE:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter of each byte in byte-level vocabularies: printable Latin-1 stands for itself, the rest follows from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: 256 + n for n, b in enumerate(rest)}
+
+
 class Encoder:
     """The tokenizers library behind tables of parts and pre-tokens."""
 
@@ -63,39 +88,36 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
-        self.end = np.array([end_id], self.kind).tobytes()
+        self.code = "H" if self.tok.get_vocab_size() <= 65536 else "I"
+        self.kind = np.dtype("<u2" if self.code == "H" else "<u4")
+        self.end = array(self.code, [end_id]).tobytes()
         spec = json.loads(self.tok.to_str())
         self.special = [t["content"] for t in spec["added_tokens"]]
         pre = spec["pre_tokenizer"] or {}
         self.by_part = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec["normalizer"]
-        self.spaced: dict[str, bytes] = {}  # by the part without the space before it
-        self.plain: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.tokenize, self.letters = self.tok.model.tokenize, byte_letters()
+        self.words = Table(self.word)
+        self.spaced = Table(lambda part: self.part(" " + part))  # by the part without the space before it
+        self.plain = Table(self.part)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def learn(self, parts: list[str]) -> list[bytes]:
-        cut = [WORDS.findall(p) for p in parts]
-        new = list({w for ws in cut for w in ws if w not in self.words})
-        if len(self.words) + len(new) > CACHE:
-            self.words.clear()
-            new = list({w for ws in cut for w in ws})
-        for w, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, self.kind).tobytes()
-        return [b"".join([self.words[w] for w in ws]) for ws in cut]
-
-    def known(self, table: dict[str, bytes], keys: list[str], lead: str) -> list[bytes]:
-        try:
-            return list(map(table.__getitem__, keys))
-        except KeyError:
-            new = [k for k in set(keys) if k not in table]
-            if len(table) + len(new) > CACHE:
-                table.clear()
-                new = list(set(keys))
-            table.update(zip(new, self.learn([lead + k for k in new]), strict=True))
-            return list(map(table.__getitem__, keys))
+        return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """The ids of one pre-token by the library's model."""
+        return array(self.code, [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def part(self, part: str) -> bytes:
+        """The ids of a part: letters behind a space at most are one pre-token, other parts are cut by the pre-tokeniser's pattern."""
+        spaced = part[0] == " "
+        if part[1:].isalpha() and (spaced or part[0].isalpha()):
+            if part.isascii():
+                return array(self.code, [t.id for t in self.tokenize("\u0120" + part[1:] if spaced else part)]).tobytes()
+            return self.word(part)
+        if part[-1] in ".,;:!?" and spaced and part[1:-1].isalpha():  # the mark is a pre-token of its own
+            return self.words[part[:-1]] + self.words[part[-1]]
+        words = WORDS.findall(part)
+        return self.words[words[0]] if len(words) == 1 else b"".join([self.words[w] for w in words])
 
     def encode(self, text: str) -> bytes:
         """A text's ids, the end id last."""
@@ -104,10 +126,9 @@ class Encoder:
         if not self.by_part or any(s in text for s in self.special):
             return self.whole(text) + self.end
         if _UNSAFE.search(text):
-            return b"".join(self.known(self.plain, _CUT.split(text), "")) + self.end
+            return b"".join(map(self.plain.__getitem__, _CUT.split(text))) + self.end
         first, *rest = text.split(" ")
-        head = self.known(self.plain, [first], "") if first else []
-        return b"".join(head + self.known(self.spaced, rest, " ")) + self.end
+        return (self.plain[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest)) + self.end
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -146,6 +167,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, rows: int | N
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> list[dict]:
     """Writes docs (doc_id, text) to folder and returns the manifest: a dict a shard, in order of doc_id."""
     spark = docs.sparkSession
+    lean_batches(spark)
     docs = narrowed(docs, doc_id="doc_id", text="text")
     rows = docs.count()
     dictionary = train_dictionary(docs, tokenizer, end_id, rows)
