@@ -83,8 +83,7 @@ def chat_messages(raw: DataFrame, bot: str) -> DataFrame:
     for name, codes in MESSAGE_TYPES.items():
         hit = F.col("messageType").isin(*codes)
         kind = F.when(hit, name) if kind is None else kind.when(hit, name)
-    xml = F.expr("try_cast(NULL as string)")
-    title = F.when(F.col("content").startswith("<"), F.expr("xpath_string(content, '//title')")).otherwise(xml)
+    title = F.when(F.col("content").startswith("<"), F.expr("xpath_string(content, '//title')"))
     body = F.when(kind.isin("ref", "link"), F.coalesce(title, F.col("title"), F.col("content"))).when(kind == "text", F.col("content")).otherwise("")
     query = F.trim(F.regexp_replace(body, "@[^\\s\\u2005]+[\\s\\u2005]", ""))
     at_bot = F.coalesce(F.array_contains("atlist", bot), F.lit(False))

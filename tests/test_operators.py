@@ -262,3 +262,65 @@ def test_index_store(spark, weather, tmp_path):
     r = spark.createDataFrame([("q1", "a")], "query string, result string")
     assert index_store.cached_results(r, str(tmp_path / "c")).count() == 1
     assert index_store.cached_results(r, str(tmp_path / "c")).count() == 1
+
+
+# ---------------------------------------------------------------- slots, configuration, messages
+
+
+def test_slots(spark):
+    from lodestone.functions import slots
+
+    d = spark.createDataFrame([("a b c d", "b c x d"), (None, "x"), ("same", "same")], "t string, r string")
+    assert [round(x.v, 4) for x in d.select(slots.rouge_l("t", "r").alias("v")).collect()] == [0.75, 0.0, 1.0]
+    v = [r.v for r in d.select(slots.hash_embedder(16)("r").alias("v")).collect()]
+    assert len(v[0]) == 16 and abs(sum(x * x for x in v[0]) - 1) < 1e-5
+    ids = d.select(slots.query_id(F.lit("s"), "r", F.lit("1")).alias("v")).collect()
+    assert len({r.v for r in ids}) == 3 and all(len(r.v) == 8 for r in ids)
+    assert one(spark, slots.echo_llm(F.lit("Material:\nfirst\nsecond\nQuestion: q"))) == "first\nsecond"
+    tokenizers = pytest.importorskip("public_tokenizers")
+    path, pattern = tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN
+    assert one(spark, slots.token_count(path, pattern)(F.lit("hello world"))) == 2
+    assert one(spark, slots.truncated_to_tokens(path, pattern, 1)(F.lit("hello world"))) == "hello"
+
+
+def test_config(spark, tmp_path):
+    from lodestone.plans.config import EngineConfig, result_codes
+
+    best = spark.createDataFrame([(0.61,)], "threshold double")
+    c = EngineConfig().calibrated(best)
+    c.saved(spark, str(tmp_path / "c"))
+    assert EngineConfig.loaded(spark, str(tmp_path / "c")) == c and c.reject_throttle == 0.61
+    assert result_codes(spark).where("name = 'INIT'").first().code == 19
+
+
+def test_messages(spark):
+    raw = [
+        {"messageType": "80001", "data": {"fromGroup": "g", "fromUser": "u", "content": "@bot how?", "atlist": ["bot"], "newMsgId": 1, "timestamp": 5}},
+        {"messageType": "80014", "data": {"fromGroup": "g", "fromUser": "u", "content": "<msg><title>about this</title></msg>"}},
+        {"messageType": "80001", "data": {"fromGroup": "g", "fromUser": "u", "content": "@x hi", "atlist": ["x"]}},
+        {"messageType": "80001", "data": {"fromGroup": "g", "fromUser": "bot", "content": "mine"}},
+        {"messageType": "1", "data": {"fromGroup": "g", "fromUser": "u", "content": "?"}},
+        {"messageType": "80001", "data": {"fromUser": "u", "content": "alone"}},
+    ]
+    got = records.chat_messages(spark.createDataFrame([(json.dumps(r),) for r in raw], "json string"), "bot").collect()
+    assert [(r.type, r.query, r.skip_reason) for r in got] == [
+        ("text", "how?", None), ("ref", "about this", None), ("text", "hi", "for others"), ("text", "mine", "own message"), ("unknown", "", "unknown type"), ("text", "alone", "no group"),
+    ]
+    assert one(spark, records.is_revert(F.lit("please XRevert"))) is True and one(spark, records.is_revert(F.lit(None).cast("string"))) is False
+    kinds = spark.sql("SELECT array(named_struct('key','@_user_1','name','bot')) a, array(named_struct('key','@_all','name','all')) b, cast(null as array<struct<key:string,name:string>>) c")
+    got = kinds.select(*[records.mention_kind(F.col(c), "bot", F.lit("text")).alias(c) for c in "abc"]).first()
+    assert tuple(got) == ("AT_BOT", "AT_ALL", "NORMAL")
+    shown = records.simplified(spark.createDataFrame([("1", "@you hello"), ("3", "<xml/>")], "type string, text string")).collect()
+    assert [(r.show, r.text) for r in shown] == [("normal", "hello"), ("image", "[image]")]
+
+
+def test_topics(spark):
+    from lodestone.operators import topics
+
+    d = spark.createDataFrame([(i, ("apple pear plum " if i % 2 else "engine wheel brake ") * 20 + "images 3.1 deadbeef") for i in range(20)], "doc_id long, text string")
+    words = d.select("doc_id", topics.topic_words(F.col("text"), ["plum"], 1.0).alias("words"))
+    assert set(words.first().words) == {"engine", "wheel", "brake"}
+    bag, model = topics.fit_topics(words, topics=2, rounds=20)
+    got = topics.topics_of(words, bag, model, 0.5)
+    assert got.groupBy("topic").count().count() == 2 and got.count() == 20
+    assert topics.topic_terms(bag, model, 3).count() >= 4
