@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: SQL for text with A-Z lower-cased and nothing else.
+SQL_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 # ---------------------------------------------------------------- folders and tables
 
 
@@ -85,6 +88,19 @@ def trim() -> None:
         pass
 
 
+_kept: dict = {}
+
+
+def kept(key: tuple, make):
+    """make() for this worker, kept until another key is asked for: workers live on between stages, one model at a time."""
+    if key not in _kept:
+        _kept.clear()
+        trim()
+        _kept[key] = make()
+        trim()
+    return _kept[key]
+
+
 # ---------------------------------------------------------------- relational helpers
 
 

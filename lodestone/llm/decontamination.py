@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import PUNCT_SEP, few, gram_hashes, narrowed, read_table, text_slices, word_hashes, written
+from lodestone.llm.common import PUNCT_SEP, SQL_LOWER, few, gram_hashes, lean_batches, narrowed, read_table, text_slices, word_hashes, written
 
 WINDOW, GRAM = 10, 5
 BLOCK_CHARS = 16_000_000
@@ -133,6 +133,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. One row for each row of docs.
     """
     spark = docs.sparkSession
+    lean_batches(spark)
     docs = narrowed(docs, doc_id="doc_id", text="text")
     parts = []
     for block in _blocks(benchmark, block_chars):
@@ -187,4 +188,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_decontamination": op9_decontamination}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op9_decontamination": rf"""WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({SQL_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({SQL_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+q AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT *, least(len(w), 10) AS m FROM b WHERE len(w) > 0))),
+g AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM q))),
+h AS (SELECT doc_id, i, g.m, item_id FROM g JOIN q USING (m, gram)),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT doc_id, i, m FROM h)) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
+}

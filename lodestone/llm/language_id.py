@@ -29,9 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import narrowed, read_table
+from lodestone.llm.common import kept, lean_batches, narrowed, read_table
 
-SAMPLE_ROWS, SAMPLE_CHARS = 400, 60_000
+SAMPLE_ROWS, SAMPLE_CHARS = 400, 40_000
+SALTS = 64
 SYMBOLS = 62  # letters; with the separator and the unseen letter a power of two
 SEGMENT = 256
 LANES = 1 << 14
@@ -159,16 +160,9 @@ class Model:
         return [self.languages[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], [float(x) if ok else 0.0 for x, ok in zip(score, lettered, strict=True)]
 
 
-_models: dict[bytes, Model] = {}
-
-
 def model_of(samples: bytes) -> Model:
     """The model of pickled samples; kept for as long as the worker lives."""
-    key = hashlib.sha256(samples).digest()
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(pickle.loads(samples))
-    return _models[key]
+    return kept(("language", hashlib.sha256(samples).digest()), lambda: Model(pickle.loads(samples)))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -177,10 +171,13 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> bytes:
     """Sample texts by language from labelled docs (doc_id, text, lang), pickled. At most rows texts of each language."""
+    lean_batches(docs.sparkSession)
     known = narrowed(docs, doc_id="doc_id", text="text", lang="lang").where("text is not null and lang is not null")
     # Ids first, so that texts of the sample alone are moved.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))
-    picked = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("key")).withColumn("rank", rank).where(F.col("rank") <= rows).select("doc_id", "lang", "rank")
+    # A common language is ranked in SALTS parts first, so that no task gets more than rows of each part.
+    picked = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("key"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)).alias("salt"))
+    for part in (["lang", "salt"], ["lang"]):
+        picked = picked.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy("key", "doc_id"))).where(F.col("rank") <= rows)
     texts = known.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     samples: dict[str, dict] = {}
     size: Counter = Counter()
@@ -229,8 +226,8 @@ def recognised(docs: DataFrame, samples: bytes) -> DataFrame:
                 preds += model.judge(texts[i : i + 500])[0]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string())], names=["row", "pred"])
 
-    kept = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, pred string").where("pred <> 'und'")
-    return kept.select(*[(F.coalesce(F.col("row.lang"), F.col("pred")) if c == "lang" else F.col("row").getField(c)).alias(c) for c in docs.columns])
+    named = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, pred string").where("pred <> 'und'")
+    return named.select(*[(F.coalesce(F.col("row.lang"), F.col("pred")) if c == "lang" else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, few, narrowed, read_table, salted_join, semi_by_id, shingle_sets, written
+from lodestone.llm.common import SQL_LOWER, components, few, lean_batches, narrowed, read_table, salted_join, semi_by_id, shingle_sets, trim, written
 
 SHINGLE = 5
-FLUSH_TOKENS = 1_000_000
-BUCKET_TOKENS = 1_000_000
+FLUSH_TOKENS = 400_000
+BUCKET_TOKENS = 700_000
 CHUNK_TOKENS = 2_000_000
+TABLED = 2000  # prefix lengths with a bound of their own
 
 
 def prefix_length(n: int) -> int:
@@ -157,6 +158,7 @@ def _shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
                     tokens, owners, held = [], [], 0
         if tokens:
             yield flush()
+        trim()
 
     def meet(batches):
         t, d, known, ids, n = _gathered(batches, np.uint64, np.int64, bool, np.int64, np.int64)
@@ -172,6 +174,7 @@ def _shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
         for b, part in _by_bucket(_of_doc(ids, buckets)):
             _pack(out, b, ids[part], n[part])
         yield _rows(out, "ids", "counts")
+        trim()
 
     def total(batches):
         ids, n = _totals(*_gathered(batches, np.int64, np.int64))
@@ -211,6 +214,7 @@ def _ordered_sets(docs: DataFrame, buckets: int) -> DataFrame:
                     tokens, owners, held = [], [], 0
         if tokens:
             yield flush()
+        trim()
 
     def count(batches):
         t, d = _gathered(batches, np.uint64, np.int64)
@@ -224,6 +228,7 @@ def _ordered_sets(docs: DataFrame, buckets: int) -> DataFrame:
             for b, part in _by_bucket(_of_doc(d, buckets)):
                 _pack(out, b, t[part], d[part], df[part])
             yield _rows(out, "tokens", "docs", "df")
+        trim()
 
     def order(batches):
         t, d, df = _gathered(batches, np.uint64, np.int64, np.int32)
@@ -406,6 +411,7 @@ def _block_links(sets: DataFrame, blocks: DataFrame, chunk_tokens: int) -> DataF
 def jaccard_classes(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), class_id (smallest of equal sets) for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
+    lean_batches(spark)
     docs = narrowed(docs, doc_id="doc_id", text="text")
     counts = written(shingle_counts(docs), "sets")
     full = counts.where("doc_id is not null and n_shingles > 0")
@@ -414,15 +420,11 @@ def jaccard_classes(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFr
     least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) if total > BUCKET_TOKENS else 4
 
     shared = _shared_counts(docs, max(least, math.ceil(total / 4 / BUCKET_TOKENS)))
-    top = int(classes.agg(F.max("n")).first()[0] or 1)
-    steps, last = [], 0  # least_shared as a step function of the prefix length
-    for p in sorted({*range(1, 2000), *(int(1.05**k) for k in range(155, 155 + max(0, math.ceil(math.log(max(prefix_length(top), 2), 1.05)) - 154)))}):
-        if (c := least_shared(p)) > last:
-            steps.append((p, c))
-            last = c
     p = F.col("n_shingles") - F.floor((3 * F.col("n_shingles") + 3) / 4) + 1
-    need = F.element_at(F.filter(F.array(*[F.struct(F.lit(a).alias("p"), F.lit(c).alias("c")) for a, c in steps]), lambda s: s["p"] <= p), -1)["c"]
-    kept = shared.join(counts.select("doc_id", "n_shingles", "digest").dropDuplicates(["doc_id", "digest"]), "doc_id").where(F.col("shared") >= need)
+    exact = F.broadcast(spark.createDataFrame([(p, least_shared(p)) for p in range(1, TABLED + 1)], "p long, need long"))
+    kept = shared.join(counts.select("doc_id", "n_shingles", "digest").dropDuplicates(["doc_id", "digest"]), "doc_id").withColumn("p", p).join(exact, "p", "left")
+    beyond = F.floor(0.6 * F.col("p") - F.sqrt(17.3 * F.col("p")))  # the same chance by Hoeffding's bound, which is lower
+    kept = kept.where(F.col("shared") >= F.coalesce("need", beyond))
     ids = written(kept.groupBy("digest").agg(F.first("n_shingles").alias("n_shingles")).join(classes, "digest").select(F.col("rep").alias("doc_id"), F.col("n").alias("n")).distinct(), "ids")
     left = ids.agg(F.sum("n")).first()[0] or 0
 
@@ -460,4 +462,13 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op1_ngram_jaccard_join": rf"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({SQL_LOWER}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT *, unnest(CASE WHEN len(w) >= 5 THEN range(1, len(w) - 3) WHEN len(w) > 0 THEN [1] ELSE [] END) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n, sha256(string_agg(g, chr(10) ORDER BY g)) AS sig FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+e2 AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e2.y FROM r JOIN e2 ON r.b = e2.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id, coalesce(min(n.doc_id) OVER (PARTITION BY coalesce(sig, CAST(d.doc_id AS VARCHAR))), d.doc_id) AS class_id FROM d LEFT JOIN n USING (doc_id)""",
+}

@@ -27,10 +27,10 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from sentencepiece import sentencepiece_model_pb2
 
-from lodestone.llm.common import lean_batches, read_table
+from lodestone.llm.common import kept, lean_batches, read_table
 
 MARK = "▁"
-CACHE = 250_000
+CACHE = 120_000
 
 
 class CharMap:
@@ -206,13 +206,8 @@ class Codec:
         return text
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return kept(("pieces", path), lambda: Codec(path))
 
 
 #: What encode_documents can return for each document. ids: end id last; ends: the original byte at which each piece but
@@ -235,7 +230,7 @@ def encode_documents(docs: DataFrame, model: str, columns: tuple[str, ...] = ("i
     Digests are made where the arrays are, so that these need not leave the worker.
     """
     lean_batches(docs.sparkSession)
-    kept = docs.select("doc_id", *keep).schema
+    carried = docs.select("doc_id", *keep).schema
 
     def run(batches):
         c = codec(model)
@@ -266,7 +261,7 @@ def encode_documents(docs: DataFrame, model: str, columns: tuple[str, ...] = ("i
                             values.append(zlib.crc32(ends.astype("<i8")))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[pa.array(v, COLUMNS[n][1]) for n, v in out.items()]], names=[*batch.schema.names[1:], *columns])
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields], *[f"{n} {COLUMNS[n][0]}" for n in columns]])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in carried.fields], *[f"{n} {COLUMNS[n][0]}" for n in columns]])
     return docs.select(docs["text"], docs["doc_id"], *[docs[k] for k in keep]).mapInArrow(run, schema)
 
 
