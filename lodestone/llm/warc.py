@@ -396,4 +396,9 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_warc": op7_warc}
-ORACLE: dict[str, str] = {}
+_GROUP = "CAST('0x' || substr(h, {}, 10) AS BIGINT)"
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(({_GROUP.format(1 + 10 * g)} >> {5 * (7 - i)}) & 31 AS INTEGER) + 1, 1)" for g in range(4) for i in range(8))
+ORACLE = {
+    "op7_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), f AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+SELECT page_id, n AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM f""",
+}
