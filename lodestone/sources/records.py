@@ -98,8 +98,12 @@ def chat_messages(raw: DataFrame, bot: str) -> DataFrame:
     )
 
 
-def is_revert(text: Column) -> Column:
-    return F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit("xrevert")) | F.contains(F.coalesce(text, F.lit("")), F.lit("xundo"))
+def is_revert(text: Column, commands: tuple[str, ...] = ("xrevert",)) -> Column:
+    """Whether a message asks to take replies back: it contains one of the commands, in any case."""
+    out = F.lit(False)
+    for c in commands:
+        out = out | F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit(c.lower()))
+    return out
 
 
 def mention_kind(mentions: Column, bot: str, message_type: Column) -> Column:

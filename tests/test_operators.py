@@ -36,7 +36,7 @@ def test_bm25_golden(spark, weather):
 
 
 def test_entity_golden(spark):
-    chunks = spark.createDataFrame([(0, "How to deploy BeanPot on wechaty ?"), (1, "do you know what beanpot means ?"), (2, None)], "chunk_id long, text string")
+    chunks = spark.createDataFrame([(0, "How to deploy BeanPot on WeChaty ?"), (1, "do you know what beanpot means ?"), (2, None)], "chunk_id long, text string")
     ents = spark.createDataFrame([(0, "BeanPot"), (1, "WeChat"), (2, "")], "eid long, entity string")
     hits = entity.entity_hits(chunks, ents)
     assert values(hits, "chunk_id", "eid") == [(0, 0), (0, 1), (1, 0)]
