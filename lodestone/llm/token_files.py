@@ -42,11 +42,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import lean_batches, narrowed, read_table, workspace
+from lodestone.llm.common import kept, lean_batches, narrowed, read_table, workspace
 
 MAGIC = b"LTOKv1\0\0"
 FOOTER = "<QQB32s8s"
-CACHE = 200_000
+CACHE = 400_000
 SAMPLE_ROWS, SAMPLE_IDS, DICT_BYTES = 1000, 16_000, 64 * 1024
 LEVEL = 3
 SHARD_ROWS = 40_000
@@ -97,7 +97,8 @@ class Encoder:
         self.by_part = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec["normalizer"]
         self.tokenize, self.letters = self.tok.model.tokenize, byte_letters()
         self.words = Table(self.word)
-        self.spaced = Table(lambda part: self.part(" " + part))  # by the part without the space before it
+        self.near: dict[str, bytes] = {}  # parts behind a space, by their text without it; far: the generation before
+        self.far: dict[str, bytes] = {}
         self.plain = Table(self.part)
 
     def whole(self, text: str) -> bytes:
@@ -111,8 +112,6 @@ class Encoder:
         """The ids of a part: letters behind a space at most are one pre-token, other parts are cut by the pre-tokeniser's pattern."""
         spaced = part[0] == " "
         if part[1:].isalpha() and (spaced or part[0].isalpha()):
-            if part.isascii():
-                return array(self.code, [t.id for t in self.tokenize("\u0120" + part[1:] if spaced else part)]).tobytes()
             return self.word(part)
         if part[-1] in ".,;:!?" and spaced and part[1:-1].isalpha():  # the mark is a pre-token of its own
             return self.words[part[:-1]] + self.words[part[-1]]
@@ -128,16 +127,32 @@ class Encoder:
         if _UNSAFE.search(text):
             return b"".join(map(self.plain.__getitem__, _CUT.split(text))) + self.end
         first, *rest = text.split(" ")
-        return (self.plain[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest)) + self.end
-
-
-_encoders: dict[tuple[str, int], Encoder] = {}
+        return (self.plain[first] if first else b"") + b"".join(self.behind_spaces(rest)) + self.end
+
+    def behind_spaces(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts, each behind a space. This is the hot loop: the table first, then what it lacks."""
+        near = self.near
+        try:
+            return [near[p] for p in parts]
+        except KeyError:
+            pass
+        far, tokenize, code = self.far, self.tokenize, self.code
+        for p in parts:
+            if p not in near:
+                ids = far.get(p)
+                if ids is None:
+                    if p.isalpha() and p.isascii():
+                        ids = array(code, [t.id for t in tokenize("\u0120" + p)]).tobytes()
+                    else:
+                        ids = self.part(" " + p)
+                near[p] = ids
+        if len(near) >= CACHE:
+            self.far, self.near = near, {}
+        return [near[p] for p in parts]
 
 
 def encoder(path: str, end_id: int) -> Encoder:
-    if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = Encoder(path, end_id)
-    return _encoders[path, end_id]
+    return kept(("tokens", path, end_id), lambda: Encoder(path, end_id))
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
