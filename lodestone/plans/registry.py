@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import dialogue, ingest, retrieval, scalars
+from lodestone.plans import answers, dialogue, ingest, retrieval, scalars
 
-MODULES = [retrieval, dialogue, scalars, ingest]
+MODULES = [retrieval, dialogue, scalars, ingest, answers]
 
 
 def queries() -> dict:

@@ -99,3 +99,32 @@ def reverted(sent: DataFrame, commands: DataFrame, within_s: int = 120) -> DataF
     """Own messages of a group that a revert command at most within_s later takes back. Batch or micro-batch."""
     hit = (F.col("s.group_id") == F.col("c.group_id")) & (F.col("c.ts") >= F.col("s.ts")) & (F.unix_timestamp("c.ts") - F.unix_timestamp("s.ts") <= within_s)
     return sent.alias("s").join(commands.alias("c"), hit, "left_semi")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; a temporary one where that is unset."""
+    import tempfile
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-stream-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def read_table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A Parquet table of a folder as a stream, ts as event time."""
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", WATERMARK)
+
+
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream yields until its input is used up, as a table: batches go to Parquet, the last of a complete one counts."""
+    spark = stream.sparkSession
+    folder = work_folder(spark)
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("append" if mode == "append" else "overwrite").parquet(f"{folder}/rows")
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
