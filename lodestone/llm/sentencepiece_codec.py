@@ -30,7 +30,7 @@ from sentencepiece import sentencepiece_model_pb2
 from lodestone.llm.common import kept, lean_batches, read_table
 
 MARK = "▁"
-CACHE = 120_000
+CACHE = 250_000  # parts a generation: about 90 MB a worker with the generation before
 
 
 class CharMap:
@@ -69,7 +69,8 @@ class CharMap:
 class Codec:
     """A model with its character map, for texts of one worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self.cache = cache
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         proto = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
@@ -157,7 +158,7 @@ class Codec:
 
     def learn(self, parts) -> None:
         """Puts unknown parts (texts behind one space mark) into the table; parts of the generation before are taken over."""
-        if len(self.table) + len(parts) > CACHE:
+        if len(self.table) + len(parts) > self.cache:
             self.before, self.table = self.table, {}
         new = []
         for p in parts:
@@ -206,8 +207,8 @@ class Codec:
         return text
 
 
-def codec(path: str) -> Codec:
-    return kept(("pieces", path), lambda: Codec(path))
+def codec(path: str, cache: int = CACHE) -> Codec:
+    return kept(("pieces", path, cache), lambda: Codec(path, cache))
 
 
 #: What encode_documents can return for each document. ids: end id last; ends: the original byte at which each piece but
@@ -224,7 +225,7 @@ COLUMNS = {
 }
 
 
-def encode_documents(docs: DataFrame, model: str, columns: tuple[str, ...] = ("ids", "ends", "decoded"), keep: tuple[str, ...] = ()) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, columns: tuple[str, ...] = ("ids", "ends", "decoded"), keep: tuple[str, ...] = (), cache: int = CACHE) -> DataFrame:
     """doc_id, the columns of docs named in keep, and the named COLUMNS, for each row of docs (doc_id, text).
 
     Digests are made where the arrays are, so that these need not leave the worker.
@@ -233,7 +234,7 @@ def encode_documents(docs: DataFrame, model: str, columns: tuple[str, ...] = ("i
     carried = docs.select("doc_id", *keep).schema
 
     def run(batches):
-        c = codec(model)
+        c = codec(model, cache)
         end = str(c.eos)
         for batch in batches:
             out: dict[str, list] = {name: [] for name in columns}
