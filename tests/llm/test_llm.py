@@ -252,6 +252,38 @@ def test_op4_clean_stay_out(spark):
     assert substring_dedup.repeated_passages(d).count() == 0
 
 
+def frequent_shingles():
+    """Two documents with one passage, each shingle of which thirty smaller and thirty larger documents hold alone."""
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(k * 100_000 + i * 100 + j, " ".join([f"f{k}x{i}x{j}"] * 50 + passage[i : i + 5] + [f"f{k}x{i}x{j}"] * 50)) for k in (0, 2) for i in range(56) for j in range(30)]
+    near = [*passage[:30], "edited", *passage[31:]]
+    return rows + [(100_000 + n, " ".join([f"a{n}x{w}" for w in range(40)] + p + [f"b{n}x{w}" for w in range(40)])) for n, p in enumerate([passage, passage, near])]
+
+
+def test_op4_frequent_shingles(spark):
+    d = spark.createDataFrame(frequent_shingles(), "doc_id long, text string").repartition(3)
+    got = substring_dedup.repeated_passages(d).collect()
+    assert {r.doc_id for r in got} == {100_000, 100_001, 100_002}
+    for n in range(3):
+        words = {w for r in got if r.doc_id == 100_000 + n for w in range(r.start, r.end)}
+        assert set(range(42, 98)) <= words <= set(range(36, 104))
+
+
+def test_op4_near_copy_of_a_follower():
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 1 << 24, 60).astype(np.uint32)
+    far, mid = base.copy(), base.copy()
+    mid[[5, 25, 45]] += 1
+    far[[5, 15, 25, 35, 45, 55, 10, 50, 30, 20]] += 1
+    noise = [np.concatenate([rng.integers(1, 1 << 24, 40).astype(np.uint32), base[20:30], rng.integers(1, 1 << 24, 40).astype(np.uint32)]) for _ in range(50)]
+    windows = [base, mid, far, *noise]
+    alike = {(i, j) for i in range(3) for j in range(3) if i != j and substring_dedup.alike_span(windows[i], windows[j])}
+    links = substring_dedup.group_links(list(range(53)), windows, [False, False, *[True] * 51])
+    want = {i for i, j in alike if 2 in (i, j)}
+    assert {x for m, lead, _, _ in links for x in (m, lead)} == want
+    assert {x for m, lead, _, _ in substring_dedup.group_links(list(range(53)), windows, [True] * 53) for x in (m, lead)} == {i for i, _ in alike}
+
+
 # ---------------------------------------------------------------- 5
 
 
