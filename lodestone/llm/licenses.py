@@ -1,12 +1,13 @@
 """License scans by sentence-rule recognition.
 
 A text is cut into sentences (at line blanks, sentence ends and comment borders), sentences are normalised (lower case,
-comment marks and punctuation dropped, spaces squeezed) and each is mapped to the identifier of a known licence sentence.
+comment marks and punctuation dropped, spaces squeezed) and each is mapped to the identifiers of known licence sentences.
 The sequence of identifiers is then matched against ordered rules, the most specific first: a rule names a licence and the
 identifiers that make it up, in order, with others between them only if they are marked as fill. Identifiers that a rule
 has used are gone for the rules after it. What no rule takes, but is a licence sentence, is reported as "unknown".
 
-Only sentences with a trigger word are normalised; most texts have none and cost a few substring searches.
+Only sentences with a trigger word are normalised; each pattern can only fit where one of its triggers stands, so this drops
+nothing. Most texts have none and cost a few substring searches.
 
 Null and empty texts, and texts without licence sentences, have no finding. Equal licences that occur twice are reported
 twice, with their spans (code points of the first sentence's start and the last one's end). Rows that repeat are scanned
@@ -16,6 +17,7 @@ alike; texts are scanned whole; other columns are ignored.
 from __future__ import annotations
 
 import re
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +25,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import lean_batches, narrowed, read_table
 
-#: Words one of which every known licence sentence holds (lower case).
-TRIGGERS = ("licen", "copyright", "redistribut", "warrant", "permission", "public domain", "liable", "spdx", "cc0", "cc by")
-
 #: Identifiers of licence sentences, and a pattern over the normalised sentence. The first that fits counts.
 SENTENCES = [
-    ("spdx", r"\bspdx-license-identifier (?P<id>[a-z0-9.+-]+)"),
+    ("spdx", r"\bspdx-license-identifier (?P<id>[a-z0-9.+-]+(?: (?:or|and|with) (?:[a-z.+-]*[0-9-][a-z0-9.+-]*|[a-z.+]+(?=$| or | and | with )))*)"),
     ("mit-permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mit-notice", r"the above copyright notice and this permission notice (shall|must) be included in all copies or substantial portions"),
     ("mit-liability", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
@@ -133,6 +132,9 @@ RULES = [
 FILL = ("holder", "reserved")
 FOUND = "doc_id long, sentences array<struct<id:string,start:long,end:long>>, licences array<struct<licence:string,start:long,end:long>>"
 
+#: What a sentence is called where nothing better is in it.
+GENERIC = "some-license"
+
 _PATTERNS = [(name, re.compile(p)) for name, p in SENTENCES]
 #: A sentence ends at a blank line, or at . ! ? ; behind which a space or a line end stands (not inside 2.0 or a link).
 _END = re.compile(r"\n[ \t]*[/*#;%-]*[ \t]*\n|[.!?;](?=\s)|\*/|-->|\Z")
@@ -140,11 +142,44 @@ _MARKS = re.compile(r"[^a-z0-9.+©-]+")
 _DOTS = re.compile(r"(?<![0-9a-z])[.+-]+|[.+-]+(?![0-9a-z])")
 
 
+def required_words(pattern: str) -> set[str]:
+    """Words (or parts of one) one of which stands in each sentence that the pattern fits; words survive normalising whole."""
+
+    def best(items) -> set[str]:
+        sets, run = [], ""
+        for op, arg in [*items, (None, None)]:
+            if op is _parser.LITERAL and chr(arg) != " ":
+                run += chr(arg)
+                continue
+            if run:
+                sets.append({run})
+                run = ""
+            if op is _parser.SUBPATTERN:
+                sets.append(best(arg[-1]))
+            elif op is _parser.BRANCH:
+                parts = [best(x) for x in arg[1]]
+                sets.append(set().union(*parts) if all(parts) else set())
+            elif op is _parser.MAX_REPEAT and arg[0]:
+                sets.append(best(arg[2]))
+        return max((x for x in sets if x), key=lambda x: min(map(len, x)), default=set())
+
+    return best(_parser.parse(pattern))
+
+
+def _triggers() -> tuple[str, ...]:
+    words = set().union(*[required_words(p) for _, p in SENTENCES])
+    return tuple(sorted(w for w in words if not any(o != w and o in w for o in words)))
+
+
 def normalised(sentence: str) -> str:
     """Lower case, comment marks and punctuation dropped but for dots and hyphens inside words, spaces squeezed."""
     return " ".join(_DOTS.sub(" ", _MARKS.sub(" ", sentence.lower())).split())
 
 
+#: Lower-case words one of which each known licence sentence holds.
+TRIGGERS = _triggers()
+
+
 def known_sentences(text: str) -> list[tuple[str, int, int]]:
     """(identifier, start, end) of the licence sentences of text, in order. A line that is one by itself counts alone."""
     low = text.lower()
@@ -162,26 +197,46 @@ def known_sentences(text: str) -> list[tuple[str, int, int]]:
 
 
 def _recognised(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
-    """The sentence as a whole (wrapped lines joined); where that is none of the specific ones, each of its lines."""
-    found = _identifier(normalised(text[start:end]))
-    lines, at = [], start
+    """What the sentence as a whole (wrapped lines joined) holds; where its lines alone hold as much, by lines."""
+    lines, at, words = [], start, 0
     for line in text[start:end].split("\n"):
         if line.strip():
-            lines.append((line, at))
+            plain = normalised(line)
+            lines.append((at, at + len(line), words, _identifiers(plain)))
+            words += len(plain.split())
         at += len(line) + 1
+    whole = _identifiers(normalised(text[start:end]))
+    alone = [(n + w, name, a, b) for a, b, w, found in lines for n, name in found]
     if len(lines) > 1:
-        alone = [(name, at, at + len(line)) for line, at in lines if (name := _identifier(normalised(line)))]
-        if alone and (found is None or len(alone) > 1 or alone[0][0] == found):
-            return alone
+        whole = [x for x in whole if not x[1].startswith("spdx:")]  # an SPDX tag ends with its line
+        names, have = {x[1] for x in whole}, {x[1] for x in alone}
+        if alone and names <= have:
+            return [x[1:] for x in alone]
+        alone = [x for x in alone if x[1] in names or x[1].startswith("spdx:")]
+        whole = [x for x in whole if x[1] not in have]
+    else:
+        alone = []
     lead = len(text[start:end]) - len(text[start:end].lstrip())
-    return [(found, start + lead, end)] if found else []
+    return [x[1:] for x in sorted([*alone, *((n, name, start + lead, end) for n, name in whole)])]
 
 
-def _identifier(sentence: str) -> str | None:
+def _identifiers(sentence: str) -> list[tuple[int, str]]:
+    """(number of its first word, identifier) of all patterns that fit in order of place; of those that overlap the first listed."""
+    taken, out = [], []
     for name, p in _PATTERNS:
-        if m := p.search(sentence):
-            return f"spdx:{m['id']}" if name == "spdx" else name
-    return None
+        if name == GENERIC and any(n not in FILL for _, n in out):
+            continue
+        for m in p.finditer(sentence):
+            if any(m.start() < b and a < m.end() for a, b in taken):
+                continue
+            taken.append(m.span())
+            at = sentence.count(" ", 0, m.start())
+            if name == "spdx":  # an expression; exceptions (with ...) are no licences
+                out += [(at, f"spdx:{x}") for x in re.split(r" (?:or|and) ", re.sub(r" with \S+", "", m["id"]))]
+            else:
+                out.append((at, name))
+                break
+    return sorted(out, key=lambda x: x[0])
 
 
 def matched_rules(sentences: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:

@@ -352,6 +352,62 @@ def test_op6_rules(spark, text, want):
         assert text[s.start : s.end].strip()
 
 
+BSD4 = """Copyright (c) 1990 The Regents. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that:
+1. Redistributions of source code must retain the above copyright notice, this list and the disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list and the disclaimer.
+3. All advertising materials mentioning features or use of this software must display the following acknowledgement.
+4. Neither the name of the University nor the names of its contributors may be used to endorse or promote products.
+
+THIS SOFTWARE IS PROVIDED BY THE REGENTS ``AS IS'' AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED. IN NO EVENT SHALL
+THE REGENTS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES.
+"""
+ZLIB = """Permission is granted to anyone to use this software for any purpose, including commercial applications, subject to:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.
+"""
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (BSD4, ["BSD-4-Clause", "all-rights-reserved"]), (ZLIB, ["Zlib"]), ("This work: Creative Commons Attribution 4.0", ["CC-BY-4.0"]), ("In the public\n// domain; dedicated to the public\n// domain.", ["public-domain"]),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0\ncode", ["apache-2.0", "mit"]), ("SPDX-License-Identifier: (MIT AND GPL-2.0-only WITH Classpath-exception-2.0)\n", ["gpl-2.0-only", "mit"]),
+        ("SPDX-License-Identifier: MIT and so on we go", ["mit"]), ("Licensed under the Apache License, Version 2.0 or the MIT License.", ["Apache-2.0", "MIT"]),
+        ("Copyright 2020 A\nLicensed under the Apache License,\nVersion 2.0.", ["Apache-2.0"]),
+    ],
+)
+def test_op6_whole_sentences(text, want):
+    assert sorted(x[0] for x in licenses.matched_rules(licenses.known_sentences(text))) == want
+
+
+def _sample(pattern):
+    """A shortest sentence that the pattern fits, for each alternative of its first choice."""
+    for a in (r"\b", r"(?=$| or | and | with )"):
+        pattern = pattern.replace(a, "")
+    pattern = re.sub(r"\(\?P<id>.*", "mit", pattern)
+    out = [""]
+    for part in re.split(r"(\([^()]*\)\??)", re.sub(r"v\(ersion\)\? \?\\\.\? \?", "version ", pattern)):
+        if part.startswith("("):
+            options = [""] if part.endswith("?") else part[1:-1].split("|")
+        else:
+            options = part.split("|")
+        out = [o + x for o in out for x in options]
+    clean = lambda x: re.sub(r"(.)\?", "", x.replace(".*", " any ").replace("\\.", ".").replace("\\d{4}", "2020"))
+    return [c for x in out if (c := clean(x).strip())]
+
+
+def test_op6_triggers_hold_for_every_pattern():
+    for name, pattern in licenses.SENTENCES:
+        words = licenses.required_words(pattern)
+        assert words and all(any(t in w for t in licenses.TRIGGERS) for w in words), name
+        fits = [s for s in _sample(pattern) if re.search(pattern, licenses.normalised(s))]
+        assert fits, (name, _sample(pattern))
+        for s in fits:
+            assert any(w in s for w in words) and licenses.known_sentences(s), (name, s)
+
+
 # ---------------------------------------------------------------- 7
 
 
