@@ -5,8 +5,9 @@ the longest runs that the automaton can follow, and the language that needs the
 the log of its text's length, the cost of a pointer into it) wins. Texts are parsed whole, in segments of SEGMENT
 characters so that many are stepped through side by side; each segment begins a phrase.
 
-Characters: A text is lower-cased; each of the most common letters over all labelled samples is a symbol, runs of
-everything else (space, digits, marks) are one separator symbol. Unseen letters share a symbol that ends a phrase.
+Characters: A text is lower-cased; each letter and combining mark of the samples, of any script, is a symbol, runs of
+everything else (space, digits, punctuation) are one separator symbol. Letters that a language's sample lacks end a phrase.
+A language of up to DENSE letters has its moves as one table, one of more letters (Chinese, Korean) as sorted keys.
 
 Fit: a bounded, documented sample: the rows with the smallest hashes of doc_id, SAMPLE_ROWS a language at most, until
 SAMPLE_CHARS symbols. Everything else covers every row.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import pickle
+import sys
 import unicodedata
 from collections import Counter
 
@@ -33,11 +35,10 @@ from lodestone.llm.common import kept, lean_batches, narrowed, read_table
 
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 40_000
 SALTS = 64
-SYMBOLS = 62  # letters; with the separator and the unseen letter a power of two
+DENSE = 94  # letters; with the separator and the unseen letter 96 columns
 SEGMENT = 256
 LANES = 1 << 14
-SEP, OTHER = 0, SYMBOLS + 1
-WIDTH = SYMBOLS + 2
+SEP = 0
 
 
 def normal_codes(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,23 +57,51 @@ def normal_codes(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def letter_table(texts: list[str]) -> np.ndarray:
-    """Code point -> symbol: the most common letters have their own; other letters OTHER; the rest SEP. The last entry stands for all beyond."""
-    seen = Counter(c for t in texts for c in t.lower() if c.isalpha())
-    table = np.full(0x3000, SEP, np.uint8)
-    for p in range(len(table)):
-        if unicodedata.category(chr(p))[0] in "LM":
-            table[p] = OTHER
-    table[-1] = OTHER
-    for n, (c, _) in enumerate(sorted(((c, k) for c, k in seen.items() if ord(c) < len(table) - 1), key=lambda x: (-x[1], x[0]))[:SYMBOLS], 1):
+    """Code point -> symbol: the letters of texts have their own, the most common first; other letters share the last; the rest SEP."""
+    seen = Counter("".join(texts).lower())
+    kind = (unicodedata.category(chr(p))[0] for p in range(sys.maxunicode + 1))
+    letters = np.fromiter((k in "LM" for k in kind), bool, sys.maxunicode + 1)
+    own = sorted((c for c in seen if letters[ord(c)]), key=lambda c: (-seen[c], c))
+    table = np.where(letters, len(own) + 1, SEP).astype(np.int32)
+    for n, c in enumerate(own, 1):
         table[ord(c)] = n
     return table
 
 
-def automaton(codes: np.ndarray) -> np.ndarray:
-    """The suffix automaton of codes as a table of moves: state * WIDTH + symbol -> next state times 2.
-
-    Where no move exists the phrase ends: the entry is the state that the symbol alone leads to, times 2, plus 1.
-    """
+class Automaton:
+    """The suffix automaton of codes; letters are narrowed to those that occur in it, all others are one more symbol."""
+
+    def __init__(self, codes: np.ndarray, symbols: int):
+        own = np.unique(codes[codes != SEP])
+        self.width = len(own) + 2
+        self.local = np.full(symbols, len(own) + 1, np.int32)
+        self.local[own] = np.arange(1, len(own) + 1)
+        self.local[SEP] = SEP
+        moves = suffix_moves(self.local[codes])
+        self.root = np.ones(self.width, np.int32)  # an unknown symbol is a phrase of its own and leads to the root
+        for c, s in moves[0].items():
+            self.root[c] = 2 * s + 1
+        at = [(s * self.width + c, 2 * t) for s, m in enumerate(moves) for c, t in m.items()]
+        key, to = (np.array(x, np.int64) for x in zip(*at, strict=True)) if at else (np.zeros(0, np.int64),) * 2
+        self.table = None
+        if len(own) <= DENSE:
+            self.table = np.tile(self.root, len(moves))
+            self.table[key] = to
+        else:
+            order = np.argsort(key)
+            self.key, self.to = np.append(key[order], np.iinfo(np.int64).max), np.append(to[order], 0).astype(np.int32)
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The next states, times 2. Where no move exists the phrase ends: the state that the symbol alone leads to, times 2, plus 1."""
+        if self.table is not None:
+            return self.table[(state >> 1) * self.width + c]
+        key = (state >> 1).astype(np.int64) * self.width + c
+        at = np.searchsorted(self.key, key)
+        return np.where(self.key[at] == key, self.to[at], self.root[c])
+
+
+def suffix_moves(codes: np.ndarray) -> list[dict[int, int]]:
+    """The moves of each state of the suffix automaton of codes."""
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes.tolist():
@@ -98,15 +127,7 @@ def automaton(codes: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    table = np.empty((len(moves), WIDTH), np.int32)
-    root = np.ones(WIDTH, np.int32)  # an unknown symbol is a phrase of its own and leads to the root
-    for c, s in moves[0].items():
-        root[c] = 2 * s + 1
-    table[:] = root
-    at = [(s, c, 2 * t) for s, m in enumerate(moves) for c, t in m.items()]
-    rows, cols, to = (np.array(x) for x in zip(*at, strict=True)) if at else (np.zeros(0, int),) * 3
-    table[rows, cols] = to
-    return table.reshape(-1)
+    return moves
 
 
 class Model:
@@ -118,7 +139,7 @@ class Model:
         self.moves, self.cost = [], []
         for name in self.languages:
             codes = normal_codes(samples[name], self.table)[0][:SAMPLE_CHARS]
-            self.moves.append(automaton(codes))
+            self.moves.append(Automaton(codes, int(self.table.max()) + 1))
             self.cost.append(math.log2(max(len(codes), 2)))
 
     def phrases(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -141,7 +162,7 @@ class Model:
                 state = np.zeros(len(s), np.int32)
                 count = np.ones(len(s), np.int32)
                 for k, c in zip(active, columns, strict=True):
-                    move = moves[(state[:k] >> 1) * WIDTH + c]
+                    move = moves.step(state[:k], moves.local[c])
                     count[:k] += move & 1
                     state[:k] = move
                 out[:, i] += np.bincount(owner[lo : lo + LANES], weights=count, minlength=len(n)).astype(np.int64)

@@ -321,6 +321,29 @@ def test_op5_parse_is_a_longest_match():
     assert got[1, 0] == plain(codes[at[1] : at[2]].tolist()) or abs(got[1, 0] - plain(codes[at[1] : at[2]].tolist())) <= 1
 
 
+def test_op5_letters_of_all_scripts():
+    rng = random.Random(12)
+    # Languages of one script differ in their words alone; Chinese, Japanese and Korean have more letters than a small table holds.
+    spans = {"zh": (0x4E00, 900), "zh2": (0x4E00, 900), "ja": (0x3042, 80), "ko": (0xAC00, 900), "ru": (0x430, 32), "uk": (0x430, 32), "el": (0x3B1, 24), "ar": (0x627, 28), "hi": (0x905, 70), "en": (0x61, 26), "gothic": (0x10330, 26)}
+    words = {k: ["".join(chr(a + rng.randrange(n)) for _ in range(rng.randint(2, 5))) for _ in range(150)] for k, (a, n) in spans.items()}
+    text = lambda k, n: (" " if k not in ("zh", "zh2", "ja") else "").join(rng.choice(words[k]) for _ in range(n))
+    model = language_id.Model({k: [text(k, 30) for _ in range(40)] for k in spans})
+    for k in spans:
+        assert model.judge([text(k, 12) for _ in range(20)])[0] == [k] * 20
+    assert {m.table is None for m in model.moves} == {True, False}
+
+
+def test_op5_sparse_moves_are_the_table(monkeypatch):
+    rng = random.Random(13)
+    texts = [sentence(rng, 40) for _ in range(20)] + ["ñandú αβγ 日本"]
+    samples = {"a": texts[:10], "b": texts[10:]}
+    dense = language_id.Model(samples)
+    monkeypatch.setattr(language_id, "DENSE", 0)
+    sparse = language_id.Model(samples)
+    codes, at = language_id.normal_codes(texts, dense.table)
+    assert (dense.phrases(codes, at) == sparse.phrases(codes, at)).all()
+
+
 # ---------------------------------------------------------------- 6
 
 
