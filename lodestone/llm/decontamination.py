@@ -73,7 +73,6 @@ class Index:
     def hits(self, words: np.ndarray, prints: np.ndarray, grams: np.ndarray) -> set[tuple[int, int, int]]:
         """(start, end, item) of all maximal shared runs of at least a window, and of occurrences of short items."""
         out: set[tuple[int, int, int]] = set()
-        done: set[tuple[int, int]] = set()
         if len(prints):
             value = grams[prints]
             lo, hi = np.searchsorted(self.key, value, "left"), np.searchsorted(self.key, value, "right")
@@ -93,8 +92,7 @@ class Index:
                     while c < len(words) and d < len(item) and words[c] == item[d]:
                         c, d = c + 1, d + 1
                     reach[diagonal] = max(c, p + 1)
-                    if c - a >= self.window and (n, a) not in done:
-                        done.add((n, a))
+                    if c - a >= self.window:
                         out.add((a, c, n))
         for m, (key, owner) in self.short.items():
             g = gram_hashes(words, m)

@@ -554,6 +554,16 @@ def test_op9_brute_force(spark, none, block):
     assert by_id(decontamination.contaminated_spans(d, b.limit(0)))[0].items == []
 
 
+def test_op9_repeated_lines_of_an_item(spark):
+    line = " ".join(f"w{i}" for i in range(1, 11))
+    items = [(1, f"{line} z {line} w11 w12"), (2, f"{line} a {line} w11 {line} w11 w12 w13 w14")]
+    texts = [f"x {line} w11 w12 y", f"{line} w11 w12 w13", f"{line} w11 q {line}"]
+    got = by_id(decontamination.contaminated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    for i, t in enumerate(texts):
+        assert (got[i].n_words, sum(s.end - s.start for s in got[i].spans), got[i].items) == plain_hits(t, items), t
+    assert sum(s.end - s.start for s in got[0].spans) == 12
+
+
 # ---------------------------------------------------------------- 10
 
 
