@@ -6,22 +6,24 @@ that reaches the window length is contamination. Items shorter than a window are
 found by hashing all document grams of that length (there are fewer such lengths than words in a window).
 
 The item side is taken in blocks whose text stays under block_chars, each block's fingerprints go to the executors as a
-broadcast of that proven size, and every block runs against all documents. No shuffle of documents, one row each.
+broadcast of that proven size, and every block runs against all documents. No shuffle of documents, one row each: with
+several blocks the rows are numbered and written first, and hits meet by that number.
 
 Null or empty texts have no words and no hits; an empty benchmark contaminates nothing; rows that repeat are treated
-alike; items of equal text all count; other columns are ignored.
+alike, with or without doc_id; items of equal text all count, items without item_id as one; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import PUNCT_SEP, SQL_LOWER, few, gram_hashes, lean_batches, narrowed, read_table, text_slices, word_hashes, written
+from lodestone.llm.common import PUNCT_SEP, SQL_LOWER, drop_written, gram_hashes, lean_batches, narrowed, read_table, text_slices, word_hashes, written
 
 WINDOW, GRAM = 10, 5
 BLOCK_CHARS = 16_000_000
@@ -116,7 +118,7 @@ def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str | None]]]:
     """Items in blocks of bounded text; an item larger than the bound is a block of its own."""
     block, size = [], 0
-    for row in benchmark.where("item_id is not null and text is not null").toLocalIterator():
+    for row in benchmark.where("text is not null").toLocalIterator():
         block.append((row["item_id"], row["text"]))
         size += len(row["text"])
         if size >= block_chars:
@@ -125,6 +127,16 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int,
     yield block
 
 
+def _found(ix: Index, texts: pa.Array) -> Iterator[tuple[int, set[tuple[int, int, int]]]]:
+    """The words and the hits of each text."""
+    for i, j, data, off in text_slices(texts):
+        words, at = word_hashes(data, off, PUNCT_SEP)
+        for r in range(j - i):
+            mine = words[at[r] : at[r + 1]]
+            grams = gram_hashes(mine, ix.k)
+            yield len(mine), ix.hits(mine, winnow(grams, ix.window - ix.k + 1) if len(ix.key) and len(mine) >= ix.window else (), grams)
+
+
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = GRAM, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """For each document its words, the disjoint word spans hit and the items whose windows occur (distinct ids).
 
@@ -133,36 +145,33 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     spark = docs.sparkSession
     lean_batches(spark)
     docs = narrowed(docs, doc_id="doc_id", text="text")
+    blocks = list(islice(all_blocks := _blocks(benchmark, block_chars), 2))
+    several = len(blocks) > 1
+    # The rows' numbers have to be the same for each block.
+    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows") if several else docs.withColumn("_row", F.lit(0).cast("long"))
     parts = []
-    for block in _blocks(benchmark, block_chars):
+    for block in chain(blocks, all_blocks):
         index = spark.sparkContext.broadcast(Index(block, window, k))
 
         def scan(batches, index=index):
-            ix: Index = index.value
             for batch in batches:
                 n_words, spans, items = [], [], []
-                for i, j, data, off in text_slices(batch.column(1)):
-                    words, at = word_hashes(data, off, PUNCT_SEP)
-                    for r in range(j - i):
-                        mine = words[at[r] : at[r + 1]]
-                        grams = gram_hashes(mine, k)
-                        found = ix.hits(mine, winnow(grams, window - k + 1) if len(ix.key) and len(mine) >= window else (), grams)
-                        n_words.append(len(mine))
-                        spans.append([{"start": a, "end": b} for a, b in covered([x[:2] for x in found])])
-                        items.append(sorted({ix.ids[x[2]] for x in found}))
+                for n, found in _found(index.value, batch.column(1)):
+                    n_words.append(n)
+                    spans.append([{"start": a, "end": b} for a, b in covered([x[:2] for x in found])])
+                    items.append(sorted({index.value.ids[x[2]] for x in found}, key=lambda x: (x is None, x)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_words", "spans", "items"],
+                    [batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.int64())), batch.column(2)],
+                    names=["doc_id", "n_words", "spans", "items", "_row"],
                 )
 
-        parts.append(docs.mapInArrow(scan, HITS))
-    if len(parts) == 1:
-        return parts[0]
-    # Several blocks: a document's hits meet again by its id; each block adds one row a document.
-    whole = parts[0].withColumn("_row", F.lit(0))
-    for n, part in enumerate(parts[1:], 1):
-        whole = whole.unionByName(part.withColumn("_row", F.lit(n)))
-    whole = whole.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        parts.append(docs.select("doc_id", "text", "_row").mapInArrow(scan, f"{HITS}, _row long"))
+    whole = parts[0]
+    if not several:
+        return whole.drop("_row")
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    whole = whole.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).drop("_row")
     merged = F.aggregate(
         F.array_sort("spans"),
         F.array().cast("array<struct<start:bigint,end:bigint>>"),
@@ -171,11 +180,28 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     return whole.withColumn("spans", F.when(F.size("spans") > 0, merged).otherwise(F.col("spans")))
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a benchmark window."""
-    drop = written(contaminated_spans(docs, benchmark).where("size(items) > 0").select("doc_id").distinct(), "contaminated")
-    drop = F.broadcast(drop) if few(drop, 2_000_000) else drop
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs without the rows that hold a benchmark window, each row judged by its own text. One block after another."""
+    spark = docs.sparkSession
+    lean_batches(spark)
+    held = None
+    for n, block in enumerate(_blocks(benchmark, block_chars)):
+        if n:  # the rows left by the blocks before, so that a worker holds one index at a time
+            docs, last = written(docs, "clean"), held
+            held = docs
+            if last is not None:
+                drop_written(last)
+        index = spark.sparkContext.broadcast(Index(block, WINDOW, GRAM))
+
+        def clean(batches, index=index):
+            for batch in batches:
+                keep = pa.array([not found for _, found in _found(index.value, batch.column(1))], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep)], names=["row"])
+
+        columns = docs.columns
+        rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs["text"])
+        docs = rows.mapInArrow(clean, rows.select("row").schema).select(*[F.col("row").getField(c).alias(c) for c in columns])
+    return docs
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

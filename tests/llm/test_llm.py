@@ -554,6 +554,18 @@ def test_op9_brute_force(spark, none, block):
     assert by_id(decontamination.contaminated_spans(d, b.limit(0)))[0].items == []
 
 
+@pytest.mark.parametrize("block", [10**9, 60])
+def test_op9_row_by_row(spark, block):
+    item = [" ".join(f"{k}{i}" for i in range(12)) for k in "abc"]
+    rows = [(5, f"x {item[0]} y"), (5, "all clean"), (None, f"{item[1]} z"), (None, "clean too"), (None, f"q {item[2]}"), (6, f"{item[0]} {item[2]}"), (7, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame([(1, item[0]), (2, item[1]), (None, item[2])], "item_id long, text string")
+    got = sorted(((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), r.items) for r in decontamination.contaminated_spans(d, b, block_chars=block).collect()), key=str)
+    assert got == sorted([(5, 14, 12, [1]), (5, 2, 0, []), (None, 13, 12, [2]), (None, 2, 0, []), (None, 13, 12, [None]), (6, 24, 24, [1, None]), (7, 0, 0, [])], key=str)
+    left = decontamination.without_benchmark(d, b, block_chars=block)
+    assert left.columns == d.columns and sorted(map(str, left.collect())) == sorted(["Row(doc_id=5, text='all clean')", "Row(doc_id=None, text='clean too')", "Row(doc_id=7, text=None)"])
+
+
 def test_op9_repeated_lines_of_an_item(spark):
     line = " ".join(f"w{i}" for i in range(1, 11))
     items = [(1, f"{line} z {line} w11 w12"), (2, f"{line} a {line} w11 {line} w11 w12 w13 w14")]
