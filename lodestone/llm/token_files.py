@@ -13,7 +13,7 @@ The dictionary is trained on a bounded sample: about SAMPLE_ROWS documents picke
 each at most. Everything else covers all rows. Too small a sample trains no dictionary: frames are then plain.
 
 Encoding: a text is cut before each space that a non-space follows (always a border of the byte-level pre-tokeniser's
-words), parts are looked up in tables of bounded size, and an unknown pre-token goes to the tokenizers library's model; a text
+words), parts are looked up in tables of bounded bytes, and an unknown pre-token goes to the tokenizers library's model; a text
 that holds a special token's string goes to the library whole.
 
 Null texts read as empty: the end id alone. Rows of one doc_id keep the order of their texts; a null doc_id comes first;
@@ -22,6 +22,7 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import math
@@ -35,7 +36,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -46,30 +46,34 @@ from lodestone.llm.common import kept, lean_batches, narrowed, read_table, works
 
 MAGIC = b"LTOKv1\0\0"
 FOOTER = "<QQB32s8s"
-CACHE = 400_000
+#: Bytes a table holds in each of its two generations, a key and its value counted with PER_ENTRY bytes of Python's own;
+#: longer keys than LONG characters are not kept.
+TABLE_BYTES, PER_ENTRY, LONG = 72 << 20, 150, 64
 SAMPLE_ROWS, SAMPLE_IDS, DICT_BYTES = 1000, 16_000, 64 * 1024
 LEVEL = 3
 SHARD_ROWS = 40_000
-#: Fixed value: the byte-level pre-tokeniser's pattern.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Fixed value: the byte-level pre-tokeniser's pattern, for ASCII parts.
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 _UNSAFE = re.compile(r" (?=\s|$)")
 _CUT = re.compile(r"(?= \S)")
 
 
 class Table(dict):
-    """Values of make(key), kept for two generations of CACHE keys."""
+    """Values of make(key), kept for two generations of most bytes each."""
 
-    def __init__(self, make):
-        self.make, self.before = make, {}
+    def __init__(self, make, most: int = TABLE_BYTES // 3):
+        self.make, self.before, self.held, self.most = make, {}, 0, most
 
     def __missing__(self, key):
         value = self.before.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= CACHE:
-            self.before = dict(self)
-            self.clear()
-        self[key] = value
+        if len(key) <= LONG:
+            self.held += PER_ENTRY + 2 * len(key) + len(value)
+            if self.held > self.most:
+                self.before, self.held = dict(self), 0
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -96,9 +100,11 @@ class Encoder:
         pre = spec["pre_tokenizer"] or {}
         self.by_part = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec["normalizer"]
         self.tokenize, self.letters = self.tok.model.tokenize, byte_letters()
+        self.cut = self.tok.pre_tokenizer.pre_tokenize_str if pre else None
         self.words = Table(self.word)
         self.near: dict[str, bytes] = {}  # parts behind a space, by their text without it; far: the generation before
         self.far: dict[str, bytes] = {}
+        self.held = 0
         self.plain = Table(self.part)
 
     def whole(self, text: str) -> bytes:
@@ -109,12 +115,14 @@ class Encoder:
         return array(self.code, [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def part(self, part: str) -> bytes:
-        """The ids of a part: letters behind a space at most are one pre-token, other parts are cut by the pre-tokeniser's pattern."""
+        """The ids of a part: letters behind a space at most are one pre-token, other parts are cut as the pre-tokeniser does."""
         spaced = part[0] == " "
         if part[1:].isalpha() and (spaced or part[0].isalpha()):
             return self.word(part)
         if part[-1] in ".,;:!?" and spaced and part[1:-1].isalpha():  # the mark is a pre-token of its own
             return self.words[part[:-1]] + self.words[part[-1]]
+        if not part.isascii():  # which characters are letters or digits depends on a library's Unicode version
+            return b"".join([array(self.code, [t.id for t in self.tokenize(w)]).tobytes() for w, _ in self.cut(part)])
         words = WORDS.findall(part)
         return self.words[words[0]] if len(words) == 1 else b"".join([self.words[w] for w in words])
 
@@ -125,7 +133,7 @@ class Encoder:
         if not self.by_part or any(s in text for s in self.special):
             return self.whole(text) + self.end
         if _UNSAFE.search(text):
-            return b"".join(map(self.plain.__getitem__, _CUT.split(text))) + self.end
+            return b"".join([self.plain[p] for p in _CUT.split(text) if p]) + self.end
         first, *rest = text.split(" ")
         return (self.plain[first] if first else b"") + b"".join(self.behind_spaces(rest)) + self.end
 
@@ -136,19 +144,25 @@ class Encoder:
             return [near[p] for p in parts]
         except KeyError:
             pass
-        far, tokenize, code = self.far, self.tokenize, self.code
+        far, tokenize, code, held, out = self.far, self.tokenize, self.code, self.held, []
         for p in parts:
-            if p not in near:
+            ids = near.get(p)
+            if ids is None:
                 ids = far.get(p)
                 if ids is None:
                     if p.isalpha() and p.isascii():
                         ids = array(code, [t.id for t in tokenize("\u0120" + p)]).tobytes()
                     else:
                         ids = self.part(" " + p)
-                near[p] = ids
-        if len(near) >= CACHE:
-            self.far, self.near = near, {}
-        return [near[p] for p in parts]
+                if len(p) <= LONG:
+                    near[p] = ids
+                    held += PER_ENTRY + 2 * len(p) + len(ids)
+                    if held > TABLE_BYTES:
+                        self.far, self.near = near, {}
+                        far, near, held = self.far, self.near, 0
+            out.append(ids)
+        self.held = held
+        return out
 
 
 def encoder(path: str, end_id: int) -> Encoder:
@@ -215,13 +229,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0)
                 f.write(array.tobytes())
             f.write(struct.pack(FOOTER, place, len(ids), e.kind.itemsize, hashlib.sha256(given).digest(), MAGIC))
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name]), pa.array([len(ids)], pa.int64()), pa.array([sum(counts)], pa.int64())], names=["shard", "name", "n_docs", "n_ids"])
+            row = [pa.array([shard], pa.int32()), pa.array([name]), *[pa.array([x], pa.int64()) for x in (len(ids), sum(counts), ids[0], ids[-1])]]
+            yield pa.RecordBatch.from_arrays(row, names=["shard", "name", "n_docs", "n_ids", "first_id", "last_id"])
         else:
             fs.delete_file(f"{root}/{name}")
 
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / SHARD_ROWS)) if rows > 2000 else 1
     ordered = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    manifest = sorted((r.asDict() for r in ordered.mapInArrow(run, "shard int, name string, n_docs long, n_ids long").collect()), key=lambda r: r["shard"])
+    manifest = sorted((r.asDict() for r in ordered.mapInArrow(run, "shard int, name string, n_docs long, n_ids long, first_id long, last_id long").collect()), key=lambda r: r["shard"])
     first = 0
     for r in manifest:
         r["start"] = first
@@ -248,18 +263,27 @@ class Shard:
         index = self.file.read_at(size - struct.calcsize(FOOTER) - place, place)
         cut = np.cumsum([0, 8 * n, n, 8 * (n + 1), 4 * n])
         ids, null, at, counts = (np.frombuffer(index[a:b], k) for a, b, k in zip(cut, cut[1:], ("<i8", np.uint8, "<u8", "<u4"), strict=False))
-        self.ids = [None if z else int(i) for i, z in zip(ids, null, strict=True)]
+        self.keys, self.nulls = ids, int(np.count_nonzero(null))  # ascending, rows without doc_id first
         self.at, self.counts = at.astype(np.int64) + len(MAGIC), counts.astype(np.int64)
         self.kind = np.dtype("<u2" if width == 2 else "<u4")
         self.open = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
 
+    @property
+    def ids(self) -> list[int | None]:
+        return [None] * self.nulls + self.keys[self.nulls :].tolist()
+
+    def place(self, doc_id: int | None) -> int | None:
+        """The position of the first document of doc_id."""
+        i = 0 if doc_id is None else self.nulls + int(np.searchsorted(self.keys[self.nulls :], doc_id))
+        return i if (i < self.nulls if doc_id is None else i < len(self.keys) and self.keys[i] == doc_id) else None
+
     def document(self, i: int) -> np.ndarray:
         frame = self.file.read_at(int(self.at[i + 1] - self.at[i]), int(self.at[i]))
         return np.frombuffer(self.open.decompress(frame), self.kind)
 
     def runs(self, most: int = 8 << 20) -> Iterator[tuple[int, list[np.ndarray]]]:
         """All documents in order, read about most bytes at a time: (first position, their ids)."""
-        i, n = 0, len(self.ids)
+        i, n = 0, len(self.keys)
         while i < n:
             j = max(i + 1, int(np.searchsorted(self.at, self.at[i] + most, "right")) - 1)
             block = self.file.read_at(int(self.at[j] - self.at[i]), int(self.at[i]))
@@ -276,15 +300,20 @@ def read_manifest(folder: str) -> tuple[dict, bytes]:
         return manifest, f.read()
 
 
-def open_document(folder: str, doc_id: int) -> np.ndarray | None:
-    """The ids of one document (the first of that doc_id) by the offset index, without a Spark job."""
+def open_document(folder: str, doc_id: int | None) -> np.ndarray | None:
+    """The ids of one document (the first of that doc_id) by the offset index, without a Spark job.
+
+    The manifest's last doc_ids ascend, so a bisection names the one shard that can begin with it.
+    """
     manifest, dictionary = read_manifest(folder)
     fs, root = filesystem(folder)
-    for s in manifest["shards"]:
-        shard = Shard(fs, f"{root}/{s['name']}", dictionary)
-        if doc_id in shard.ids:
-            return shard.document(shard.ids.index(doc_id))
-    return None
+    low = lambda x: (x is not None, x or 0)  # noqa: E731  rows without doc_id come first
+    at = bisect.bisect_left(manifest["shards"], low(doc_id), key=lambda s: low(s["last_id"]))
+    if at == len(manifest["shards"]):
+        return None
+    shard = Shard(fs, f"{root}/{manifest['shards'][at]['name']}", dictionary)
+    i = shard.place(doc_id)
+    return None if i is None else shard.document(i)
 
 
 def read_tokens(spark: SparkSession, folder: str, arrays: bool = True) -> DataFrame:
@@ -298,12 +327,12 @@ def read_tokens(spark: SparkSession, folder: str, arrays: bool = True) -> DataFr
         for b in batches:
             for name, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 shard = Shard(fs, f"{root}/{name}", shared.value)
-                starts = start + np.cumsum(shard.counts) - shard.counts
+                starts, ids = start + np.cumsum(shard.counts) - shard.counts, shard.ids
                 for i, lot in shard.runs():
                     j = i + len(lot)
                     if [len(x) for x in lot] != shard.counts[i:j].tolist():
                         raise ValueError(f"{name}: the index and the frames differ")
-                    cols = [pa.array(shard.ids[i:j], pa.int64()), pa.array(starts[i:j], pa.int64()), pa.array(shard.counts[i:j], pa.int64()), pa.array([zlib.crc32(x.astype("<u4")) for x in lot], pa.int64())]
+                    cols = [pa.array(ids[i:j], pa.int64()), pa.array(starts[i:j], pa.int64()), pa.array(shard.counts[i:j], pa.int64()), pa.array([zlib.crc32(x.astype("<u4")) for x in lot], pa.int64())]
                     if arrays:
                         cols.append(pa.array([x.astype(np.int64) for x in lot], pa.list_(pa.int64())))
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])

@@ -472,7 +472,7 @@ def test_op7_skips_payloads(tmp_path):
 # ---------------------------------------------------------------- 8
 
 
-HARD = ["", " ", "  a  b ", "a\n \nb", "\n\n x", "\t", "日本語 テスト", "😀 ퟿ x", "x<|endoftext|>y", "a\x00b", "don't 's it's", " a　 b", "e" * 3000, "x \n y", "a \x1cb", "12 34abc!! ??", "word. word, word", "Ünïcode é. È", "a'b' 'c"]
+HARD = ["", " ", "  a  b ", "a\n \nb", "\n\n x", "\t", "日本語 テスト", "😀 ퟿ x", "x<|endoftext|>y", "a\x00b", "don't 's it's", " a　 b", "e" * 3000, "x \n y", "a \x1cb", "12 34abc!! ??", "word. word, word", "Ünïcode é. È", "a'b' 'c", " Hello world ", " a  b", " x ", "\x1c", "a \x1f b", "\U00032c88躀", "\u1c89 a"]
 
 
 def test_op8_ids_equal_the_library():
@@ -484,10 +484,10 @@ def test_op8_ids_equal_the_library():
         assert np.frombuffer(enc.encode(t), enc.kind).tolist() == tok.encode(t, add_special_tokens=False).ids + [0], t
 
 
-def test_op8_table_turns_over(monkeypatch):
-    monkeypatch.setattr(token_files, "CACHE", 5)
-    t = token_files.Table(len)
-    assert [t["x" * (i % 9)] for i in range(50)] == [i % 9 for i in range(50)] and len(t) <= 6
+def test_op8_table_turns_over():
+    t = token_files.Table(str.encode, 5 * token_files.PER_ENTRY)
+    assert [t["x" * (i % 9)] for i in range(50)] == [b"x" * (i % 9) for i in range(50)] and len(t) <= 5
+    assert t["y" * 900] == b"y" * 900 and "y" * 900 not in t and "y" * 900 not in t.before
 
 
 def test_op8_files(docs, texts, none, spark, tmp_path):
