@@ -7,7 +7,7 @@ original byte at which it ends, so each piece projects to a span of original byt
 Encoding: a normalised text is cut before each run of space marks. No piece of the vocabulary has a mark behind another
 character (checked when a model is loaded; else whole texts are encoded), so no merge crosses a cut, and equal parts have
 equal pieces. Parts are looked up in a table; unknown ones go to the sentencepiece library in batches. The table
-keeps two generations of CACHE entries, which bounds a worker's memory.
+keeps two generations of TABLE_BYTES each and no part over LONG characters, which bounds a worker's memory.
 
 Null texts read as empty: no piece but the end id. Repeated rows and ties are encoded alike; a text of any length is
 encoded whole; other columns are ignored.
@@ -30,7 +30,9 @@ from sentencepiece import sentencepiece_model_pb2
 from lodestone.llm.common import kept, lean_batches, read_table
 
 MARK = "▁"
-CACHE = 250_000  # parts a generation: about 90 MB a worker with the generation before
+#: Bytes the table holds in each of its two generations, an entry counted with PER_ENTRY bytes of Python's own; longer parts
+#: than LONG characters are not kept.
+TABLE_BYTES, PER_ENTRY, LONG = 140 << 20, 420, 64
 
 
 class CharMap:
@@ -69,8 +71,8 @@ class CharMap:
 class Codec:
     """A model with its character map, for texts of one worker."""
 
-    def __init__(self, path: str, cache: int = CACHE):
-        self.cache = cache
+    def __init__(self, path: str, table_bytes: int = TABLE_BYTES):
+        self.most, self.held = table_bytes, 0
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         proto = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
@@ -156,20 +158,24 @@ class Codec:
             text = b"".join([self.pieces[i] if i in self.bytes_in else self.piece_text[i].encode() for i in ids]).decode("utf-8", "replace")
         return array("i", ids).tobytes(), " ".join(map(self.piece_id.__getitem__, ids)), array("i", map(self.piece_size.__getitem__, ids)).tobytes(), text
 
-    def learn(self, parts) -> None:
-        """Puts unknown parts (texts behind one space mark) into the table; parts of the generation before are taken over."""
-        if len(self.table) + len(parts) > self.cache:
-            self.before, self.table = self.table, {}
-        new = []
+    def look_up(self, parts: list[str]) -> list[tuple[bytes, str, bytes, str]]:
+        """The entries of parts (texts behind one space mark); unknown ones go to the library together, then into the table."""
+        table, before, lacking = self.table, self.before, {}
         for p in parts:
-            if p not in self.table:
-                if (e := self.before.get(p)) is not None:
-                    self.table[p] = e
-                else:
-                    new.append(p)
+            if p not in table:
+                lacking[p] = before.get(p)
+        new = [p for p, e in lacking.items() if e is None]
         # A mark alone, as behind a last space: the library adds no mark to an empty text.
         ids = [x or [self.sp.piece_to_id(MARK)] for x in self.sp.encode(new, num_threads=1)]
-        self.table.update(zip(new, map(self._entry, ids), strict=True))
+        lacking.update(zip(new, map(self._entry, ids), strict=True))
+        found = [table[p] if p in table else lacking[p] for p in parts]
+        for p, e in lacking.items():
+            if len(p) <= LONG:
+                self.held += PER_ENTRY + len(e[0]) + len(e[1]) + len(e[2]) + 3 * len(p)
+                table[p] = e
+        if self.held > self.most:
+            self.before, self.table, self.held = table, {}, 0
+        return found
 
     def parts(self, text: str) -> list[str]:
         """A text cut before its runs of space marks; the mark that begins each part is left out."""
@@ -182,33 +188,46 @@ class Codec:
         if not text:
             return [], None
         if not self.by_part:
-            normal, ends = self.normalise(text)
-            return [self._entry(self.sp.encode(text))], ends
+            pieces = self.sp.encode(text, out_type="proto").pieces
+            ids = [p.id for p in pieces]
+            sizes = [1 if p.id in self.bytes_in else len(p.piece.encode()) for p in pieces]
+            whole = (array("i", ids).tobytes(), " ".join(map(str, ids)), array("i", sizes).tobytes(), self.sp.decode(ids))
+            return [whole], self.normalise(text)[1]
         parts = self.parts(text)
         try:
             found = list(map(self.table.__getitem__, parts))
         except KeyError:
-            self.learn(set(parts))
-            found = list(map(self.table.__getitem__, parts))
+            found = self.look_up(parts)
         return found, self.normalise(text)[1] if MARK in text else None
 
     def spans(self, found: list, ends: np.ndarray | None) -> np.ndarray:
-        """The original byte offset at which each piece ends; it begins where the one before it ends."""
+        """The original byte offset at which each piece ends; it begins where the one before it ends.
+
+        Raises if the pieces do not make up the normalised text: the own normalisation must be the library's.
+        """
+        if not found:
+            return np.zeros(0, np.int64)
         if ends is not None:
-            at = np.cumsum([len(self.pieces[i]) for i in np.frombuffer(b"".join([x[0] for x in found]), "i")], dtype=np.int64)
-            return ends[np.minimum(at, len(ends) - 1)]
+            if self.by_part:
+                sizes = [len(self.pieces[i]) for i in np.frombuffer(b"".join([x[0] for x in found]), "i")]
+            else:
+                sizes = np.frombuffer(found[0][2], "i")
+            at = np.cumsum(sizes, dtype=np.int64)
+            if (int(at[-1]) if len(at) else 0) != len(ends) - 1:
+                raise ValueError(f"pieces of {int(at[-1]) if len(at) else 0} bytes for a normalised text of {len(ends) - 1}")
+            return ends[at]
         at = np.cumsum(np.frombuffer(b"".join([x[2] for x in found]), "i"), dtype=np.int64)
         return np.maximum(at - 1, 0) if self.dummy else at  # the mark put before the text has no original byte
 
     def decoded(self, found: list) -> str:
         text = "".join([x[3] for x in found])
-        if self.dummy and text[:1] == " ":
+        if self.by_part and self.dummy and text[:1] == " ":
             text = text[1:]
         return text
 
 
-def codec(path: str, cache: int = CACHE) -> Codec:
-    return kept(("pieces", path, cache), lambda: Codec(path, cache))
+def codec(path: str, table_bytes: int = TABLE_BYTES) -> Codec:
+    return kept(("pieces", path, table_bytes), lambda: Codec(path, table_bytes))
 
 
 #: What encode_documents can return for each document. ids: end id last; ends: the original byte at which each piece but
@@ -225,7 +244,7 @@ COLUMNS = {
 }
 
 
-def encode_documents(docs: DataFrame, model: str, columns: tuple[str, ...] = ("ids", "ends", "decoded"), keep: tuple[str, ...] = (), cache: int = CACHE) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, columns: tuple[str, ...] = ("ids", "ends", "decoded"), keep: tuple[str, ...] = (), table_bytes: int = TABLE_BYTES) -> DataFrame:
     """doc_id, the columns of docs named in keep, and the named COLUMNS, for each row of docs (doc_id, text).
 
     Digests are made where the arrays are, so that these need not leave the worker.
@@ -234,7 +253,7 @@ def encode_documents(docs: DataFrame, model: str, columns: tuple[str, ...] = ("i
     carried = docs.select("doc_id", *keep).schema
 
     def run(batches):
-        c = codec(model, cache)
+        c = codec(model, table_bytes)
         end = str(c.eos)
         for batch in batches:
             out: dict[str, list] = {name: [] for name in columns}
