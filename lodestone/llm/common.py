@@ -24,12 +24,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset in local mode."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None)
     if base is None:
         have = sc._jsc.sc().getCheckpointDir()
         if have.isEmpty():
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is not set: executors cannot read a folder of the driver's machine")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
             have = sc._jsc.sc().getCheckpointDir()
         base = have.get()
@@ -125,19 +127,49 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Colu
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices of edges (a, b) and the smallest vertex that each can reach."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = new[new]
+        if (new == label).all():
+            return ids, ids[label]
+        label = new
+
+
+def components(edges: DataFrame, max_rounds: int = 60, at_once: int = 2_000_000) -> DataFrame:
     """Connected components of edges (a, b: long): one row (id, comp) for each vertex, comp the smallest id reachable.
 
-    Minimum labels with pointer jumping; labels are written to the shared folder every round. Hot vertices only meet
-    partial minimum aggregates and joins that adaptive execution can split.
+    Minimum labels with pointer jumping; labels are written to the shared folder every round. Joins on hot vertices and hot
+    labels are salted, aggregates on them partial. Up to at_once edges (32 MB) one task does the same in one go.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
+    both = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    if few(both, at_once):
+
+        def settle(batches):
+            pairs = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+            if pairs:
+                ids, low = least_labels(*map(np.concatenate, zip(*pairs, strict=True)))
+                for i in range(0, len(ids), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 100_000]), pa.array(low[i : i + 100_000])], names=["id", "comp"])
+
+        label = written(both.repartition(1).mapInArrow(settle, "id long, comp long"), "labels")
+        drop_written(both)
+        return label
+    one_way, both = both, written(both.union(both.select(F.col("b"), F.col("a"))), "edges")
+    drop_written(one_way)
     label = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("comp")), "labels")
     for _ in range(max_rounds):
-        heard = both.join(label.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("heard"))
+        heard = salted_join(both, label.select(F.col("id").alias("b"), "comp"), ["b"], F.col("a"), 8).groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("heard"))
         low = label.join(heard, "id").select("id", "comp", F.least("comp", "heard").alias("low"))
         jump = label.select(F.col("id").alias("low"), F.col("comp").alias("far"))
-        new = written(low.join(jump, "low", "left").select("id", F.least("low", F.coalesce("far", "low")).alias("comp"), F.col("comp").alias("was")), "labels")
+        new = written(salted_join(low, jump, ["low"], F.col("id"), 8, "left").select("id", F.least("low", F.coalesce("far", "low")).alias("comp"), F.col("comp").alias("was")), "labels")
         drop_written(label)
         label = new
         if new.where("comp <> was").isEmpty():

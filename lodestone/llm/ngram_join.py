@@ -12,13 +12,17 @@ each document's component; copies and near copies are never expanded into pairs.
 3. The rest is ordered globally by (document frequency, hash), rarest first; exact prefix filtering; documents that share
    a prefix token form blocks (connected components of document - first document of the token, never all pairs).
 4. Each block is joined in a trie of its globally ordered sets: sets that begin alike share a path and its overlap with
-   the probe, subtrees fall when even their remaining lengths cannot reach the needed overlap, or when all of their
-   sets are already in the probe's component. A block above chunk_tokens is dealt in chunks; each pair of chunks is a task.
+   the probe, subtrees fall when none of their sets shares a token of its prefix (the rare end of the order) with the
+   probe's (a few that do are compared without a walk), when even their remaining lengths cannot reach the needed overlap, or when all of their sets are already
+   in the probe's component. A block above chunk_tokens is dealt in chunks; each pair of chunks is a task.
+
+The reduction can be switched off (reduce=False): then every class goes into step 3 and the join is exact throughout.
 
 Bounds: a flush holds FLUSH_TOKENS entries, a token bucket BUCKET_TOKENS on average, a trie two chunks of chunk_tokens.
 
-Null or wordless texts have n_shingles 0 and link with nothing. Rows of one doc_id count as one document. A null doc_id
-has a null component. Repeated rows are repeated in the result. An empty table gives an empty result.
+Null or wordless texts have n_shingles 0 and link with nothing. Rows of one doc_id are one document: it links by each of
+its texts, and what they reach is one component. A null doc_id has a null component. Repeated rows are repeated in the
+result. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,12 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SQL_LOWER, components, few, lean_batches, narrowed, read_table, salted_join, semi_by_id, shingle_sets, trim, written
+from lodestone.llm.common import SQL_LOWER, components, drop_written, few, lean_batches, narrowed, read_table, salted_join, semi_by_id, shingle_sets, trim, written
 
 SHINGLE = 5
 FLUSH_TOKENS = 400_000
 BUCKET_TOKENS = 700_000
 CHUNK_TOKENS = 2_000_000
+FEW = 64  # sets that share a prefix token with a probe and are compared one by one; more are met through the trie
 TABLED = 2000  # prefix lengths with a bound of their own
 
 
@@ -309,8 +314,11 @@ def trie_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     rank = np.empty(len(vocabulary), np.int64)
     rank[np.argsort(-held, kind="stable")] = np.arange(len(vocabulary))
     ordered = [np.sort(rank[x]) for x in np.split(local, np.cumsum([len(s) for s in sets])[:-1])]
+    several = held[np.argsort(-held, kind="stable")] > 1
     present = np.zeros(len(vocabulary), bool)
     parent = list(range(len(sets)))
+    below: dict[int, int | set[int]] = {}  # a prefix token: the subtrees of the root (by first token) that have it in a prefix
+    holders: dict[int, list[int]] = {}  # a prefix token: the sets that have it in their prefix, FEW and one at most
 
     def find(i):
         while parent[i] != i:
@@ -321,11 +329,25 @@ def trie_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     root, links = None, []
     for i, x in enumerate(ordered):
         n = len(x)
+        rare = x[n - prefix_length(n) :]
+        rare = rare[several[rare]].tolist()
         if root is None:
             root = _Node(x[:0], i, n)
         else:
             present[x] = True
-            stack = [(root, 0, 0, n)]  # node, tokens before its edge, overlap so far, tokens of x not passed
+            tops: set[int] = set()
+            met = {j for t in rare for j in holders.get(t, ())}
+            if len(met) <= FEW:  # all of them: they are compared without a walk through what else their subtrees hold
+                for j in sorted(met):
+                    if find(j) != find(i) and 7 * int(np.count_nonzero(present[ordered[j]])) >= 3 * (n + len(ordered[j])):
+                        links.append((i, j))
+                        parent[find(j)] = find(i)
+            else:
+                for t in rare:
+                    if (k := below.get(t)) is not None:
+                        tops.update(k) if isinstance(k, set) else tops.add(k)
+            # node, tokens before its edge, overlap so far, tokens of x not passed
+            stack = [(root.kids[k], 0, 0, n) for k in sorted(tops)]
             while stack:
                 node, depth, common, left = stack.pop()
                 if node.rep is not None and find(node.rep) == find(i):
@@ -344,6 +366,15 @@ def trie_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
                         parent[find(j)] = find(i)
                 stack += [(kid, depth, common, left) for kid in node.kids.values()]
             present[x] = False
+        first = int(x[0]) if n else -1
+        for t in rare:
+            if len(some := holders.setdefault(t, [])) <= FEW:
+                some.append(i)
+            if (k := below.setdefault(t, first)) != first:
+                if isinstance(k, set):
+                    k.add(first)
+                else:
+                    below[t] = {k, first}
         node, at = root, 0
         while True:
             node.lo, node.hi = min(node.lo, n), max(node.hi, n)
@@ -408,24 +439,47 @@ def _block_links(sets: DataFrame, blocks: DataFrame, chunk_tokens: int) -> DataF
 # ---------------------------------------------------------------- the operator
 
 
-def jaccard_classes(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def jaccard_classes(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, reduce: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), class_id (smallest of equal sets) for each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    lean_batches(spark)
+    lean_batches(docs.sparkSession)
     docs = narrowed(docs, doc_id="doc_id", text="text")
     counts = written(shingle_counts(docs), "sets")
+    texts = counts.where("doc_id is not null and digest is not null").groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
+    if texts.where("a <> b").isEmpty():
+        return _classes(docs, counts, chunk_tokens, reduce)
+    return _by_row(docs, counts, chunk_tokens, reduce)
+
+
+def _by_row(docs: DataFrame, counts: DataFrame, chunk_tokens: int, reduce: bool) -> DataFrame:
+    """The same where some doc_id has several texts: rows are joined under numbers of their own, then the rows of a doc_id united."""
+    rows = written(docs.where("doc_id is not null").withColumn("row", F.monotonically_increasing_id()), "rows")
+    numbered = rows.select(F.col("row").alias("doc_id"), "text")
+    found = _classes(numbered, written(shingle_counts(numbered), "sets"), chunk_tokens, reduce).withColumnRenamed("doc_id", "row")
+    found = written(found.join(rows.select("row", "doc_id"), "row"), "found")
+    first = found.groupBy("doc_id").agg(F.min("component_id").alias("b"), F.max("component_id").alias("c")).where("b <> c").select("doc_id", "b")
+    united = components(found.join(first, "doc_id").select(F.col("component_id").alias("a"), "b"))
+    found = salted_join(found, united.select(F.col("id").alias("component_id"), "comp"), ["component_id"], F.col("row"), 16, "left").withColumn("comp", F.coalesce("comp", "component_id"))
+    found = written(found, "united")
+    names = found.groupBy("comp").agg(F.min("doc_id").alias("name"))
+    classes = found.groupBy("class_id").agg(F.min("doc_id").alias("rep"))
+    out = salted_join(salted_join(found, names, ["comp"], F.col("row"), 16), classes, ["class_id"], F.col("row"), 16)
+    out = out.select("doc_id", "n_shingles", F.col("name").alias("component_id"), F.col("rep").alias("class_id"))
+    nowhere = F.lit(None).cast("long")
+    return out.unionByName(counts.where("doc_id is null").select("doc_id", "n_shingles", nowhere.alias("component_id"), nowhere.alias("class_id")))
+
+
+def _classes(docs: DataFrame, counts: DataFrame, chunk_tokens: int, reduce: bool) -> DataFrame:
+    """The classes of docs (doc_id, text) in which all texts of a doc_id have one set; counts are its shingle_counts."""
+    spark = docs.sparkSession
     full = counts.where("doc_id is not null and n_shingles > 0")
     classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("n")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) if total > BUCKET_TOKENS else 4
 
-    shared = _shared_counts(docs, max(least, math.ceil(total / 4 / BUCKET_TOKENS)))
-    p = F.col("n_shingles") - F.floor((3 * F.col("n_shingles") + 3) / 4) + 1
-    exact = F.broadcast(spark.createDataFrame([(p, least_shared(p)) for p in range(1, TABLED + 1)], "p long, need long"))
-    kept = shared.join(counts.select("doc_id", "n_shingles", "digest").dropDuplicates(["doc_id", "digest"]), "doc_id").withColumn("p", p).join(exact, "p", "left")
-    beyond = F.floor(0.6 * F.col("p") - F.sqrt(17.3 * F.col("p")))  # the same chance by Hoeffding's bound, which is lower
-    kept = kept.where(F.col("shared") >= F.coalesce("need", beyond))
-    ids = written(kept.groupBy("digest").agg(F.first("n_shingles").alias("n_shingles")).join(classes, "digest").select(F.col("rep").alias("doc_id"), F.col("n").alias("n")).distinct(), "ids")
+    if reduce:
+        ids = _likely(docs, counts, classes, max(least, math.ceil(total / 4 / BUCKET_TOKENS)))
+    else:
+        ids = classes.select(F.col("rep").alias("doc_id"), "n")
     left = ids.agg(F.sum("n")).first()[0] or 0
 
     buckets = max(least, math.ceil(left / BUCKET_TOKENS))
@@ -433,6 +487,8 @@ def jaccard_classes(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFr
     blocks = components(_stars(sets, buckets))
     links = written(_block_links(sets, blocks, chunk_tokens), "links")
     joined = components(links)
+    for work in (sets, links):
+        drop_written(work)
 
     comp = classes.join(joined.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("digest", "rep", "copies", F.coalesce("comp", "rep").alias("comp"))
     comp = written(comp.where("copies > 1 or comp <> rep"), "mapping")
@@ -442,6 +498,18 @@ def jaccard_classes(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFr
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
 
 
+def _likely(docs: DataFrame, counts: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
+    """doc_id, n of the classes' representatives that the reduction leaves."""
+    spark = docs.sparkSession
+    shared = _shared_counts(docs, buckets)
+    p = F.col("n_shingles") - F.floor((3 * F.col("n_shingles") + 3) / 4) + 1
+    exact = F.broadcast(spark.createDataFrame([(p, least_shared(p)) for p in range(1, TABLED + 1)], "p long, need long"))
+    kept = shared.join(counts.select("doc_id", "n_shingles", "digest").dropDuplicates(["doc_id", "digest"]), "doc_id").withColumn("p", p).join(exact, "p", "left")
+    beyond = F.floor(0.6 * F.col("p") - F.sqrt(17.3 * F.col("p")))  # the same chance by Hoeffding's bound, which is lower
+    kept = kept.where(F.col("shared") >= F.coalesce("need", beyond))
+    return written(kept.groupBy("digest").agg(F.first("n_shingles").alias("n_shingles")).join(classes, "digest").select(F.col("rep").alias("doc_id"), F.col("n").alias("n")).distinct(), "ids")
+
+
 def _repeats(ids: DataFrame, counts: DataFrame) -> bool:
     """Whether some wanted doc_id stands on several rows (its text would enter a block twice)."""
     return not counts.join(ids.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").count().where("count > 1").isEmpty()

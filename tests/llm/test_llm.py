@@ -56,11 +56,12 @@ def by_id(df):
 # ---------------------------------------------------------------- shared pieces
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [0, 10**6])
+def test_components(spark, at_once):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 75), (7, 7)] + [(200, x) for x in range(201, 260)]
-    got = {r.id: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.id: r.comp for r in components(spark.createDataFrame(edges, "a long, b long"), at_once=at_once).collect()}
     assert {got[i] for i in range(1, 41)} == {1} and {got[x] for x in (50, 75, 100)} == {50} and {got[x] for x in range(200, 260)} == {200}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), at_once=at_once).count() == 0
 
 
 def test_salted_join(spark):
@@ -101,6 +102,36 @@ def test_op1_brute_force(docs, texts, chunk):
     assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == [(len(s), c) for s, c in zip(sets, comp)]
 
 
+def test_op1_without_the_reduction(docs, texts):
+    sets, comp = plain_components(texts)
+    got = by_id(ngram_join.jaccard_classes(docs, reduce=False))
+    assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == [(len(s), c) for s, c in zip(sets, comp)]
+
+
+def test_op1_texts_that_share_a_doc_id(spark):
+    rng = random.Random(8)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    rows = [(5, a), (5, b), (7, a + " x"), (8, b + " y"), (9, c), (9, "z z"), (3, c + " w"), (None, a), (4, None), (4, sentence(rng, 9)), (6, "z z"), (2, "alone")]
+    for reduce in (True, False):
+        got = sorted({(r.doc_id, r.component_id) for r in ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), reduce=reduce).collect()}, key=str)
+        assert got == sorted([(5, 5), (7, 5), (8, 5), (9, 3), (3, 3), (6, 3), (None, None), (4, 4), (2, 2)], key=str)
+    kept = ngram_join.without_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "4", "5", "None"]
+
+
+def test_op1_trie_of_unlike_sets_that_share_a_token():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(np.append(rng.integers(10, 1 << 62, 60).astype(np.uint64), np.uint64(1))) for _ in range(6000)]
+    visited = []
+    stepped = ngram_join.np.count_nonzero
+    ngram_join.np.count_nonzero, back = (lambda *a: (visited.append(1), stepped(*a))[1]), stepped
+    try:
+        assert ngram_join.trie_links([*sets, sets[17]]) == [(6000, 17)]
+    finally:
+        ngram_join.np.count_nonzero = back
+    assert len(visited) < 100
+
+
 def test_op1_bounds_hold():
     for n in range(1, 400):
         least = -(-3 * n // 4)
@@ -576,6 +607,16 @@ def test_op9_repeated_lines_of_an_item(spark):
     assert sum(s.end - s.start for s in got[0].spans) == 12
 
 
+@pytest.mark.parametrize("block", [10**6, 1])
+def test_op9_texts_that_repeat_themselves(spark, block):
+    items = [(1, "a " * 3000), (2, "a " * 9 + "b"), (3, "a"), (4, "x y " * 12), (5, "a " * 3000)]
+    docs = ["a " * 6000, "a " * 9 + "b c", "y x " * 9, "x y " * 4, "b a b", None, "c"]
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = by_id(decontamination.contaminated_spans(rows, spark.createDataFrame(items, "item_id long, text string"), block_chars=block))
+    for i, (hit, ids) in enumerate([(6000, [1, 3, 5]), (10, [2, 3]), (18, [4]), (0, []), (1, [3]), (0, []), (0, [])]):
+        assert (sum(s.end - s.start for s in got[i].spans), got[i].items) == (hit, ids), docs[i]
+
+
 # ---------------------------------------------------------------- 10
 
 
