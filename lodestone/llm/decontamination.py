@@ -1,13 +1,14 @@
 """Benchmark decontamination by winnowing.
 
 Every test item and every document keeps the minimum k-gram hash of each window of w consecutive k-grams, so any shared
-span of k + w - 1 words leaves a common fingerprint. Fingerprint hits are extended word by word in both directions; a run
-that reaches the window length is contamination. Items shorter than a window are one window of their own length and are
-found by hashing all document grams of that length (there are fewer such lengths than words in a window).
+span of k + w - 1 words leaves a common fingerprint. A fingerprint hit is extended to the runs of that length around it, which
+are looked up among the items' runs; what they cover together is the shared span. The work for a document is linear in its
+hits, however often a text repeats itself. Items shorter than a window are one window of their own length and are found by
+hashing all document grams of that length (there are fewer such lengths than words in a window).
 
 The item side is taken in blocks whose text stays under block_chars, each block's fingerprints go to the executors as a
-broadcast of that proven size, and every block runs against all documents. No shuffle of documents, one row each: with
-several blocks the rows are numbered and written first, and hits meet by that number.
+broadcast of that proven size (16 bytes a word), and every block runs against all documents. No shuffle of documents, one
+row each: with several blocks the rows are numbered and written first, hits are written block by block and meet by that number.
 
 Null or empty texts have no words and no hits; an empty benchmark contaminates nothing; rows that repeat are treated
 alike, with or without doc_id; items of equal text all count, items without item_id as one; other columns are ignored.
@@ -45,74 +46,66 @@ def winnow(grams: np.ndarray, w: int) -> np.ndarray:
     return np.unique(best)
 
 
+def _item_words(text: str | None) -> np.ndarray:
+    return next((word_hashes(d, o, PUNCT_SEP)[0] for _, _, d, o in text_slices(pa.array([text or ""]))), np.zeros(0, np.uint64))
+
+
 class Index:
-    """Fingerprints of a block of items: sorted gram hashes with item and word position, and whole short items by length."""
+    """A block of items: its fingerprints, and by length the hashes of its windows (each with its item), all sorted."""
 
     def __init__(self, items: list[tuple[int, str | None]], window: int, k: int):
         self.window, self.k = window, k
-        keys, ids, at, self.words, self.ids, short = [], [], [], [], [], {}
+        self.ids: list[int | None] = []
+        prints, windows = [], {}
         for item_id, text in items:
-            words = next((word_hashes(d, o, PUNCT_SEP)[0] for _, _, d, o in text_slices(pa.array([text or ""]))), np.zeros(0, np.uint64))
+            words = _item_words(text)
             if not len(words):
                 continue
-            n = len(self.words)
-            self.words.append(words)
+            n = min(len(words), window)
+            runs = np.unique(gram_hashes(words, n))
+            windows.setdefault(n, []).append((runs, np.full(len(runs), len(self.ids), np.int64)))
             self.ids.append(item_id)
-            if len(words) < window:
-                short.setdefault(len(words), []).append((int(gram_hashes(words, len(words))[0]), n))
-            else:
+            if n == window:
                 grams = gram_hashes(words, k)
-                pos = winnow(grams, window - k + 1)
-                keys.append(grams[pos])
-                ids.append(np.full(len(pos), n))
-                at.append(pos)
-        cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        key, item, pos = cat(keys, np.uint64), cat(ids, np.int64), cat(at, np.int64)
-        order = np.argsort(key, kind="stable")
-        self.key, self.item, self.pos = key[order], item[order], pos[order]
-        self.short = {m: (np.array([x[0] for x in sorted(v)], np.uint64), np.array([x[1] for x in sorted(v)])) for m, v in short.items()}
-
-    def hits(self, words: np.ndarray, prints: np.ndarray, grams: np.ndarray) -> set[tuple[int, int, int]]:
-        """(start, end, item) of all maximal shared runs of at least a window, and of occurrences of short items."""
-        out: set[tuple[int, int, int]] = set()
-        if len(prints):
-            value = grams[prints]
-            lo, hi = np.searchsorted(self.key, value, "left"), np.searchsorted(self.key, value, "right")
-            reach: dict[tuple[int, int], int] = {}
-            for x in np.flatnonzero(hi > lo):
-                p = int(prints[x])
-                for e in range(int(lo[x]), int(hi[x])):
-                    n, q = int(self.item[e]), int(self.pos[e])
-                    diagonal = (n, p - q)
-                    if reach.get(diagonal, -1) > p:  # inside a run already extended
-                        continue
-                    item = self.words[n]
-                    a, b = p, q
-                    while a and b and words[a - 1] == item[b - 1]:
-                        a, b = a - 1, b - 1
-                    c, d = p, q
-                    while c < len(words) and d < len(item) and words[c] == item[d]:
-                        c, d = c + 1, d + 1
-                    reach[diagonal] = max(c, p + 1)
-                    if c - a >= self.window:
-                        out.add((a, c, n))
-        for m, (key, owner) in self.short.items():
-            g = gram_hashes(words, m)
-            lo, hi = np.searchsorted(key, g, "left"), np.searchsorted(key, g, "right")
-            for p in np.flatnonzero(hi > lo):
-                out.update((int(p), int(p) + m, int(owner[e])) for e in range(int(lo[p]), int(hi[p])))
-        return out
-
-
-def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The union of spans as disjoint ones in order."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+                prints.append(grams[winnow(grams, window - k + 1)])
+        self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64)
+        self.windows = {}
+        for n, parts in windows.items():
+            run, item = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(run, kind="stable")
+            self.windows[n] = run[order], item[order]
+
+    def starts(self, words: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """The places around hits of fingerprints at which a whole window may begin."""
+        if len(words) < self.window or not len(self.prints):
+            return np.zeros(0, np.int64)
+        w = self.window - self.k + 1
+        at = winnow(grams, w)
+        place = np.minimum(np.searchsorted(self.prints, grams[at]), len(self.prints) - 1)
+        at = at[self.prints[place] == grams[at]]
+        near = np.unique(at[:, None] - np.arange(w))
+        return near[(near >= 0) & (near <= len(words) - self.window)]
+
+    def hits(self, words: np.ndarray, grams: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
+        """The disjoint spans that windows of items cover, and the items (by number in the block) with a window there."""
+        border, items = None, set()
+        for n, (run, item) in self.windows.items():
+            at = self.starts(words, grams) if n == self.window else np.arange(len(words) - n + 1)
+            if not len(at):
+                continue
+            value = gram_hashes(words, n)[at]
+            lo, hi = np.searchsorted(run, value, "left"), np.searchsorted(run, value, "right")
+            found = hi > lo
+            if found.any():
+                border = np.zeros(len(words) + 1, np.int64) if border is None else border
+                np.add.at(border, at[found], 1)
+                np.add.at(border, at[found] + n, -1)
+                for a, b in {*zip(lo[found].tolist(), hi[found].tolist(), strict=True)}:
+                    items.update(item[a:b].tolist())
+        if border is None:
+            return [], items
+        step = np.diff(np.concatenate([[0], np.cumsum(border) > 0, [0]]).astype(np.int8))
+        return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True)), items
 
 
 def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str | None]]]:
@@ -127,14 +120,13 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int,
     yield block
 
 
-def _found(ix: Index, texts: pa.Array) -> Iterator[tuple[int, set[tuple[int, int, int]]]]:
-    """The words and the hits of each text."""
+def _found(ix: Index, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int]], set[int]]]:
+    """The words, the spans hit and the items of each text."""
     for i, j, data, off in text_slices(texts):
         words, at = word_hashes(data, off, PUNCT_SEP)
         for r in range(j - i):
             mine = words[at[r] : at[r + 1]]
-            grams = gram_hashes(mine, ix.k)
-            yield len(mine), ix.hits(mine, winnow(grams, ix.window - ix.k + 1) if len(ix.key) and len(mine) >= ix.window else (), grams)
+            yield len(mine), *ix.hits(mine, gram_hashes(mine, ix.k))
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = GRAM, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -150,25 +142,31 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     # The rows' numbers have to be the same for each block.
     docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows") if several else docs.withColumn("_row", F.lit(0).cast("long"))
     parts = []
-    for block in chain(blocks, all_blocks):
+    for n, block in enumerate(chain(blocks, all_blocks)):
         index = spark.sparkContext.broadcast(Index(block, window, k))
 
-        def scan(batches, index=index):
+        def scan(batches, index=index, all_rows=not n):
             for batch in batches:
                 n_words, spans, items = [], [], []
-                for n, found in _found(index.value, batch.column(1)):
-                    n_words.append(n)
-                    spans.append([{"start": a, "end": b} for a, b in covered([x[:2] for x in found])])
-                    items.append(sorted({index.value.ids[x[2]] for x in found}, key=lambda x: (x is None, x)))
-                yield pa.RecordBatch.from_arrays(
+                for size, found, hit in _found(index.value, batch.column(1)):
+                    n_words.append(size)
+                    spans.append([{"start": a, "end": b} for a, b in found])
+                    items.append(sorted({index.value.ids[x] for x in hit}, key=lambda x: (x is None, x)))
+                out = pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.int64())), batch.column(2)],
                     names=["doc_id", "n_words", "spans", "items", "_row"],
                 )
+                yield out if all_rows else out.filter(pa.array([bool(x) for x in spans], pa.bool_()))
 
-        parts.append(docs.select("doc_id", "text", "_row").mapInArrow(scan, f"{HITS}, _row long"))
+        part = docs.select("doc_id", "text", "_row").mapInArrow(scan, f"{HITS}, _row long")
+        if several:  # one index at a time
+            part = written(part, "hits")
+            index.destroy()
+        parts.append(part)
     whole = parts[0]
     if not several:
         return whole.drop("_row")
+    drop_written(docs)
     for part in parts[1:]:
         whole = whole.unionByName(part)
     whole = whole.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).drop("_row")
@@ -195,7 +193,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, block_chars: int =
 
         def clean(batches, index=index):
             for batch in batches:
-                keep = pa.array([not found for _, found in _found(index.value, batch.column(1))], pa.bool_())
+                keep = pa.array([not found for _, found, _ in _found(index.value, batch.column(1))], pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep)], names=["row"])
 
         columns = docs.columns
