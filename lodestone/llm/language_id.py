@@ -2,11 +2,14 @@
 
 For each language a suffix automaton of labelled text recognises every substring of it. A text is cross-parsed: phrases are
 the longest runs that the automaton can follow, and the language that needs the fewest phrases (for each character, times
-the log of its text's length, the cost of a pointer into it) wins. Texts are parsed whole, in segments of SEGMENT
-characters so that many are stepped through side by side; each segment begins a phrase.
+the log of its text's length, the cost of a pointer into it) wins. Texts are parsed whole. Segments of SEGMENT symbols are
+stepped through side by side, each as if a phrase began there; then each is parsed again from the state in which the one
+before it really ended, until both parses stand in one state, so phrases run across segments and the count is that of one
+pass.
 
 Characters: A text is lower-cased; each letter and combining mark of the samples, of any script, is a symbol, runs of
-everything else (space, digits, punctuation) are one separator symbol. Letters that a language's sample lacks end a phrase.
+everything else (space, digits, punctuation) are one separator symbol. A letter that a language's sample lacks ends a phrase
+and is a phrase of its own.
 A language of up to DENSE letters has its moves as one table, one of more letters (Chinese, Korean) as sorted keys.
 
 Fit: a bounded, documented sample: the rows with the smallest hashes of doc_id, SAMPLE_ROWS a language at most, until
@@ -81,7 +84,7 @@ class Automaton:
         self.root = np.ones(self.width, np.int32)  # an unknown symbol is a phrase of its own and leads to the root
         for c, s in moves[0].items():
             self.root[c] = 2 * s + 1
-        at = [(s * self.width + c, 2 * t) for s, m in enumerate(moves) for c, t in m.items()]
+        at = [(s * self.width + c, 2 * t) for s, m in enumerate(moves) if s for c, t in m.items()]  # at the root a phrase begins
         key, to = (np.array(x, np.int64) for x in zip(*at, strict=True)) if at else (np.zeros(0, np.int64),) * 2
         self.table = None
         if len(own) <= DENSE:
@@ -92,7 +95,7 @@ class Automaton:
             self.key, self.to = np.append(key[order], np.iinfo(np.int64).max), np.append(to[order], 0).astype(np.int32)
 
     def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """The next states, times 2. Where no move exists the phrase ends: the state that the symbol alone leads to, times 2, plus 1."""
+        """The next states, times 2, plus 1 where the symbol begins a phrase: at the root, and where no move exists."""
         if self.table is not None:
             return self.table[(state >> 1) * self.width + c]
         key = (state >> 1).astype(np.int64) * self.width + c
@@ -130,6 +133,41 @@ def suffix_moves(codes: np.ndarray) -> list[dict[int, int]]:
     return moves
 
 
+def _stepped(moves: Automaton, padded: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases of each segment that begins at the root, and the state (times 2) at its end."""
+    count, end = np.zeros(len(start), np.int64), np.zeros(len(start), np.int32)
+    order = np.argsort(-size, kind="stable")
+    for lo in range(0, len(order), LANES):
+        lanes = order[lo : lo + LANES]
+        s, z = start[lanes], size[lanes]
+        state, n = np.zeros(len(s), np.int32), np.zeros(len(s), np.int32)
+        for step, k in enumerate(np.searchsorted(-z, -np.arange(1, int(z[0]) + 1), "right")):
+            move = moves.step(state[:k], moves.local[padded[s[:k] + step]])
+            n[:k] += move & 1
+            state[:k] = move
+        count[lanes], end[lanes] = n, state & ~1
+    return count, end
+
+
+def _met(moves: Automaton, padded: np.ndarray, start: np.ndarray, size: np.ndarray, given: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many more phrases begin in segments entered in the given states than at the root, and the states they end in.
+
+    Both parses go on side by side until they stand in one state; fresh is where the one from the root ends.
+    """
+    more, end = np.zeros(len(start), np.int64), fresh.copy()
+    lane, a, b, step = np.arange(len(start)), given.copy(), np.zeros(len(start), np.int32), 0
+    while len(lane):
+        c = moves.local[padded[start[lane] + step]]
+        a, b, step = moves.step(a, c), moves.step(b, c), step + 1
+        more[lane] += (a & 1) - (b & 1)
+        apart = (a | 1) != (b | 1)
+        over = size[lane] == step
+        end[lane[apart & over]] = a[apart & over] & ~1
+        go = apart & ~over
+        lane, a, b = lane[go], a[go], b[go]
+    return more, end
+
+
 class Model:
     """Automata of all languages, built from their sample texts."""
 
@@ -150,22 +188,19 @@ class Model:
         number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         start = at[owner] + number * SEGMENT
         size = np.minimum(SEGMENT, at[owner + 1] - start)
-        order = np.argsort(-size, kind="stable")
-        start, size, owner = start[order], size[order], owner[order]
         padded = np.append(codes, np.zeros(SEGMENT, codes.dtype)).astype(np.int32)
         out = np.zeros((len(n), len(self.moves)), np.int64)
-        for lo in range(0, len(start), LANES):
-            s, z = start[lo : lo + LANES], size[lo : lo + LANES]
-            active = np.searchsorted(-z, -np.arange(1, int(z[0]) + 1), "right")
-            columns = [padded[s[:k] + step] for step, k in enumerate(active)]
-            for i, moves in enumerate(self.moves):
-                state = np.zeros(len(s), np.int32)
-                count = np.ones(len(s), np.int32)
-                for k, c in zip(active, columns, strict=True):
-                    move = moves.step(state[:k], moves.local[c])
-                    count[:k] += move & 1
-                    state[:k] = move
-                out[:, i] += np.bincount(owner[lo : lo + LANES], weights=count, minlength=len(n)).astype(np.int64)
+        for i, moves in enumerate(self.moves):
+            count, fresh = _stepped(moves, padded, start, size)
+            real, more = fresh.copy(), np.zeros(len(owner), np.int64)
+            todo = np.flatnonzero((number[1:] > 0) & (fresh[:-1] != 0)) + 1  # behind a segment that ends within a phrase
+            while len(todo):
+                more[todo], end = _met(moves, padded, start[todo], size[todo], real[todo - 1], fresh[todo])
+                behind = todo[end != real[todo]] + 1
+                real[todo] = end
+                behind = behind[behind < len(owner)]
+                todo = behind[number[behind] > 0]
+            out[:, i] = np.bincount(owner, weights=count + more, minlength=len(n)).astype(np.int64)
         return out
 
     def judge(self, texts: list[str]) -> tuple[list[str], list[float]]:
