@@ -74,6 +74,23 @@ def narrowed(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[df[src].alias(dst) for dst, src in cols.items()])
 
 
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """withColumn whose value is computed once and stored: a generator keeps Catalyst from copying it into lambdas."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
+def count_below(values: Column, size: int | Column, value: Column, last: bool = False) -> Column:
+    """How many of an ascending array's values are below value (at most value if last), by bisection. size: of the array."""
+    n = F.lit(size) if isinstance(size, int) else size
+    steps = size.bit_length() + 1 if isinstance(size, int) else 31
+    low = lambda x: x <= value if last else x < value
+    half = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+    step = lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(
+        F.when(low(F.get(values, half(s))), F.struct((half(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), half(s).alias("hi")))
+    )
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0).alias("lo"), n.cast("int").alias("hi")), step, lambda s: s["lo"])
+
+
 def lean_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Smaller Arrow batches for this session, unless it has smaller ones: long texts fill a worker's memory at the default of 10000 rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import narrowed, read_table
+from lodestone.llm.common import count_below, held, narrowed, read_table
 
 K = 5
 SKETCH = 64
@@ -30,11 +30,6 @@ RANGE_ROWS = 600
 RANGES = 4096
 
 
-def held(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """withColumn whose value is computed once and stored: a generator keeps Catalyst from copying it into lambdas."""
-    return df.withColumn(name, F.explode(F.array(value)))
-
-
 def _word_hashes(text: Column) -> Column:
     return F.transform(F.split(F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")), " +"), lambda w: F.xxhash64(w))
 
@@ -86,14 +81,7 @@ def with_next(df: DataFrame, key: str, columns: dict[str, str], prepare=lambda d
     bounds = sorted(set(ids.agg(F.percentile_approx("_k", [i / ranges for i in range(1, ranges)] or [0.5], 100_000)).first()[0]))
     marks = F.array(*[F.lit(b).cast("long") for b in bounds])
 
-    def place(k: Column) -> Column:
-        """Number of bounds at most k, by bisection."""
-        lo_hi = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
-        step = lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(
-            F.when(F.get(marks, F.floor((s["lo"] + s["hi"]) / 2).cast("int")) <= k, F.struct((F.floor((s["lo"] + s["hi"]) / 2) + 1).cast("int").alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("hi")))
-        )
-        return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), lo_hi, step, lambda s: s["lo"])
-
+    place = lambda k: count_below(marks, len(bounds), k, last=True)
     firsts = sorted(tuple(r) for r in ids.groupBy(place(F.col("_k")).alias("r")).agg(F.min("_k")).collect())  # at most RANGES + 1 rows
     after = [(firsts[i - 1][0], k) for i, (_, k) in enumerate(firsts)]  # i = 0: the first row of all follows the last range
     df = df.withColumn("_k", F.coalesce(F.col(key), F.lit(-(2**63))))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import few, narrowed, read_table, salted_join, written
+from lodestone.llm.common import count_below, few, held, narrowed, read_table, salted_join, written
 
 #: The base patterns, and the shortest group or match that counts.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -30,41 +30,68 @@ KINDS = ("assign", "access", "hex")
 WIDE = r"[A-Za-z0-9_]{20,}"
 #: A value with this many distinct owners and more is a copied example.
 EXAMPLE_OWNERS = 5
+BLOCK = 128  # matches whose offsets are summed at a time
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
 
-def _matches(text: Column, pattern: str, kind: str) -> Column:
-    """All leftmost, non-overlapping matches with their code-point offsets."""
+def _pairs(text: Column, pattern: str) -> Column:
+    """All leftmost, non-overlapping matches (m), each with the length of the gap before it (g)."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
-    pairs = F.arrays_zip(found.alias("m"), gaps.alias("g"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
-    walk = F.aggregate(
-        F.filter(pairs, lambda p: p["m"].isNotNull()),
-        start,
-        lambda acc, p: F.struct(
-            (acc["at"] + p["g"] + F.length(p["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), (acc["at"] + p["g"]).alias("start"), (acc["at"] + p["g"] + F.length(p["m"])).alias("end"), p["m"].alias("value")))).alias("out"),
-        ),
+    pairs = F.filter(F.arrays_zip(found.alias("m"), gaps.alias("g")), lambda p: p["m"].isNotNull())
+    return F.when(text.rlike(pattern), pairs).otherwise(F.array().cast("array<struct<m:string,g:bigint>>"))
+
+
+def _placed(pairs: Column, kind: str) -> Column:
+    """Matches with their code-point offsets: running sums in blocks of BLOCK, so that many matches cost no square of theirs."""
+
+    def walk(part: Column) -> Column:
+        span = lambda acc, p: F.struct(F.lit(kind).alias("kind"), (acc["at"] + p["g"]).alias("start"), (acc["at"] + p["g"] + F.length(p["m"])).alias("end"), p["m"].alias("value"))
+        return F.aggregate(
+            part,
+            F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out")),
+            lambda acc, p: F.struct((acc["at"] + p["g"] + F.length(p["m"])).alias("at"), F.concat(acc["out"], F.array(span(acc, p))).alias("out")),
+        )
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda b: walk(F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK))))
+    based = F.aggregate(
+        blocks,
+        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<struct<base:bigint,spans:{SPAN}>>").alias("out")),
+        lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("base"), b["out"].alias("spans")))).alias("out")),
         lambda acc: acc["out"],
     )
-    return F.when(text.rlike(pattern), walk).otherwise(F.array().cast(SPAN))
+    moved = F.transform(based, lambda b: F.transform(b["spans"], lambda s: F.struct(s["kind"].alias("kind"), (b["base"] + s["start"]).alias("start"), (b["base"] + s["end"]).alias("end"), s["value"].alias("value"))))
+    return F.when(F.size(pairs) == 0, F.array().cast(SPAN)).when(F.size(pairs) <= BLOCK, walk(pairs)["out"]).otherwise(F.flatten(moved))
+
+
+def _within(sorted_values: Column, value: Column) -> Column:
+    """Whether an ascending array holds value, by bisection."""
+    return F.coalesce(F.get(sorted_values, count_below(sorted_values, F.size(sorted_values), value)) == value, F.lit(False))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc columns plus base and wide: arrays of (kind, start, end, value), in order of their start."""
     text = F.col("text")
-    assign = F.filter(_matches(text, ASSIGN, "assign"), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= ASSIGN_LEAST)
+    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    kinds = {"a": (ASSIGN, "assign"), "k": (ACCESS, "access"), "h": (HEX, "hex"), "w": (WIDE, "owned")}
+    docs = held(docs, "_pairs", F.struct(*[_pairs(text, pattern).alias(c) for c, (pattern, _) in kinds.items()]))
+    docs = held(docs, "_found", F.struct(*[_placed(F.col(f"_pairs.{c}"), kind).alias(c) for c, (_, kind) in kinds.items()]))
+    assign = F.filter("_found.a", lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= ASSIGN_LEAST)
+    docs = held(docs, "_a", assign)
     order = lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).when(a["kind"] == b["kind"], 0).otherwise(
         F.when(F.array_position(F.array(*map(F.lit, KINDS)), a["kind"]) < F.array_position(F.array(*map(F.lit, KINDS)), b["kind"]), -1).otherwise(1)
     )
-    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    docs = docs.withColumn("_found", F.explode(F.array(F.struct(assign.alias("a"), _matches(text, ACCESS, "access").alias("k"), _matches(text, HEX, "hex").alias("h"), _matches(text, WIDE, "owned").alias("w")))))
-    base = F.array_sort(F.concat("_found.a", "_found.k", "_found.h"), order)
-    docs = docs.withColumn("base", F.explode(F.array(base)))
+    docs = held(docs, "base", F.array_sort(F.concat("_a", "_found.k", "_found.h"), order))
+    docs = held(docs, "_starts", F.struct(*[F.transform(c, lambda s: s["start"]).alias(n) for n, c in (("a", "_a"), ("k", "_found.k"), ("h", "_found.h"))]))
     live = lambda v: (F.length(F.regexp_replace(v, "[^0-9]", "")) >= 3) & (F.length(F.regexp_replace(v, "[^A-Za-z]", "")) >= 3)
-    wide = F.filter("_found.w", lambda w: live(w["value"]) & ~F.exists("base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    return docs.withColumn("wide", wide).drop("_found")
+
+    def overlaps(w: Column) -> Column:
+        """Spans of one kind lie behind each other: of those that begin before w ends the last reaches farthest."""
+        each = lambda n, c: F.coalesce(F.get(F.col(c), count_below(F.col(f"_starts.{n}"), F.size(c), w["end"]) - 1)["end"] > w["start"], F.lit(False))
+        return each("a", "_a") | each("k", "_found.k") | each("h", "_found.h")
+
+    wide = F.filter("_found.w", lambda w: live(w["value"]) & ~overlaps(w))
+    return docs.withColumn("wide", wide).drop("_pairs", "_found", "_a", "_starts")
 
 
 def _secret(kind: Column, value: Column) -> Column:
@@ -89,9 +116,9 @@ def scanned(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     each = found.where("size(base) > 0 or size(wide) > 0").select("doc_id", "row", "owner", "repo", F.explode(F.array_distinct(F.transform(F.concat("base", "wide"), lambda s: s["hash"]))).alias("hash"))
     held = each.select("hash", "owner", "repo").distinct().groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos"))
     examples = held.where((F.col("owners") >= example_owners) & (F.col("repos") >= example_owners)).select("hash")
-    copied = salted_join(each.select("row", "hash"), examples, ["hash"], F.col("row"), 64).groupBy("row").agg(F.collect_set("hash").alias("copied"))
+    copied = salted_join(each.select("row", "hash"), examples, ["hash"], F.col("row"), 64).groupBy("row").agg(F.array_sort(F.collect_set("hash")).alias("copied"))
     out = found.join(copied, "row", "left").withColumn("copied", F.coalesce("copied", F.array().cast("array<bigint>")))
-    mark = lambda c: F.transform(c, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.array_contains("copied", s["hash"]).alias("example")))
+    mark = lambda c: F.transform(c, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _within(F.col("copied"), s["hash"]).alias("example")))
     out = out.select("doc_id", "row", mark("base").alias("base"), F.filter(mark("wide"), lambda s: ~s["example"]).alias("wide"))
     both = F.array_sort(
         F.concat("base", "wide"),

@@ -234,6 +234,39 @@ def test_op3_base_spans(spark, none):
     assert secrets.scanned(none.withColumns({"owner": F.col("source"), "repo": F.col("source")})).count() == 0
 
 
+def test_op3_many_matches(spark):
+    rng = random.Random(4)
+    bits = [lambda: "token = " + "".join(rng.choices("abc123", k=9)), lambda: "".join(rng.choices("0123456789abcdef", k=30)), lambda: "AKIA" + "".join(rng.choices("ABC12", k=20)), lambda: "é", lambda: "".join(rng.choices("ABCxyz012", k=24))]
+    texts = [" ".join(rng.choice(bits)() for _ in range(n)) for n in (100, 129, 1000, 4000)]
+    rows = spark.createDataFrame([(i, t, "o", "r") for i, t in enumerate(texts)], "doc_id long, text string, owner string, repo string")
+    for r in secrets.scanned(rows).collect():
+        t = texts[r.doc_id]
+        assert ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.base) == plain_secrets(t)
+        taken = [(s.start, s.end) for s in r.base]
+        wide = [m.span() for m in re.finditer(r"[A-Za-z0-9_]{20,}", t) if len(re.findall(r"\d", m[0])) >= 3 and len(re.findall("[A-Za-z]", m[0])) >= 3 and not any(a < m.end() and m.start() < b for a, b in taken)]
+        assert [(s.start, s.end) for s in r.spans if s.kind == "owned"] == wide
+        assert [s.start for s in r.spans] == sorted(s.start for s in r.spans)
+
+
+def test_op3_ownership_brute_force(spark):
+    """Values of each kind under one to eight owners, some in one document several times, against a count by hand."""
+    rng = random.Random(5)
+    pool = [f"password: hunter{i}xyz" for i in range(9)] + [f"{i:024x}" + "ab12" for i in range(9)] + [f"Tok{i}en_ABCDEF_123456_xyz" for i in range(9)]
+    rows = [(d, " and ".join(rng.choices(pool[: 27 if d % 2 else 20], k=rng.randint(0, 6))), rng.choice(["o1", "o2", "o3", "o4", "o5", "o6", None])) for d in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, owner string").withColumn("repo", F.col("owner"))
+    value = lambda kind, t: re.sub(r"^.*[:=]\s*", "", t) if kind == "assign" else t
+    got = {r.doc_id: r for r in secrets.scanned(d).collect()}
+    owners = defaultdict(set)
+    wide = {i: [m.span() for m in re.finditer(r"Tok\d+en_ABCDEF_123456_xyz", t)] for i, t, _ in rows}
+    for i, t, o in rows:
+        for k, a, b in [(s.kind, s.start, s.end) for s in got[i].base] + [("owned", a, b) for a, b in wide[i]]:
+            owners[value(k, t[a:b])].add(o or "")
+    assert {len(x) >= 5 for x in owners.values()} == {True, False}
+    for i, t, _ in rows:
+        assert all(s.example == (len(owners[value(s.kind, t[s.start : s.end])]) >= 5) for s in got[i].spans)
+        assert [(s.start, s.end) for s in got[i].spans if s.kind == "owned"] == [(a, b) for a, b in wide[i] if len(owners[t[a:b]]) < 5]
+
+
 def test_op3_ownership(spark):
     rows = [(i, f"x{i} token = abcdefgh1234", f"s{i}") for i in range(6)] + [(10 + i, "y token = onlyhere123", "s0") for i in range(6)] + [(20, None, None), (21, "clean text", "s1")]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long"))
