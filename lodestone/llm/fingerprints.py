@@ -1,16 +1,17 @@
 """Document fingerprints from closed syncmers, in DataFrame operations only.
 
-A text is its words; a k-mer is K consecutive words, its inner substrings are the single words. A k-mer is a closed
+A text is its tokens: its words, and of words over LONG characters (scripts without spaces, encoded data) the single
+characters. A k-mer is K consecutive tokens, its inner substrings are the single tokens. A k-mer is a closed
 syncmer if its least word hash stands at its first or last place. Whether a k-mer is chosen depends on its own words only,
-so an edit elsewhere never moves an anchor. anchors() gives (word position, hash) of every one for positional matching;
+so an edit elsewhere never moves an anchor. with_anchors gives (token position, hash) of every one for positional matching;
 the fingerprint is the sketch_size smallest anchor hashes in hexadecimal, and the likeness of two fingerprints the share of common
 hashes among the sketch_size smallest of their union, an estimate of the anchors' Jaccard similarity.
 
-A text of 1 to K - 1 words is one anchor (the whole sequence); without words the fingerprint is empty. Two empty
+A text of 1 to K - 1 tokens is one anchor (the whole sequence); without words the fingerprint is empty. Two empty
 fingerprints are alike (1.0), an empty and a full one are not (0.0). Null texts read as empty. A null doc_id sorts first;
 rows of one doc_id sort by their text. Equal texts have equal fingerprints. Other columns are ignored.
 
-"The next document": rows are dealt into ranges of doc_id by quantiles (at most RANGES bounds reach the driver), each
+"The next document": rows are dealt into ranges of doc_id by quantiles (one bound for 600 to 100,000 rows on the driver), each
 range gets a copy of the first row of the next one, and a window runs inside each range. No task sees all rows.
 """
 
@@ -27,11 +28,14 @@ from lodestone.llm.common import count_below, held, narrowed, read_table
 K = 5
 SKETCH = 64
 RANGE_ROWS = 600
-RANGES = 4096
+RANGES, RANGE_MOST = 4096, 100_000  # beyond RANGES ranges they grow to RANGE_MOST rows, then their number does
+LONG = 32
 
 
 def _word_hashes(text: Column) -> Column:
-    return F.transform(F.split(F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")), " +"), lambda w: F.xxhash64(w))
+    words = F.split(F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")), " +")
+    apart = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > LONG, F.transform(F.split(w, ""), lambda c: F.xxhash64(c))).otherwise(F.array(F.xxhash64(w)))))
+    return F.when(text.rlike(rf"[^\t\n\x0B\f\r ]{{{LONG + 1}}}"), apart).otherwise(F.transform(words, lambda w: F.xxhash64(w)))
 
 
 def with_anchors(df: DataFrame, text: str, name: str, k: int = K) -> DataFrame:
@@ -77,12 +81,12 @@ def with_next(df: DataFrame, key: str, columns: dict[str, str], prepare=lambda d
     rows = ids.count()
     if not rows:
         return prepare(df).withColumns({new: F.col(old) for new, old in columns.items()})
-    ranges = max(1, min(RANGES, math.ceil(rows / RANGE_ROWS)))
+    ranges = max(1, min(RANGES, math.ceil(rows / RANGE_ROWS)), math.ceil(rows / RANGE_MOST))
     bounds = sorted(set(ids.agg(F.percentile_approx("_k", [i / ranges for i in range(1, ranges)] or [0.5], 100_000)).first()[0]))
-    marks = F.array(*[F.lit(b).cast("long") for b in bounds])
+    marks = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded to one literal
 
     place = lambda k: count_below(marks, len(bounds), k, last=True)
-    firsts = sorted(tuple(r) for r in ids.groupBy(place(F.col("_k")).alias("r")).agg(F.min("_k")).collect())  # at most RANGES + 1 rows
+    firsts = sorted(tuple(r) for r in ids.groupBy(place(F.col("_k")).alias("r")).agg(F.min("_k")).collect())  # a row for each range
     after = [(firsts[i - 1][0], k) for i, (_, k) in enumerate(firsts)]  # i = 0: the first row of all follows the last range
     df = df.withColumn("_k", F.coalesce(F.col(key), F.lit(-(2**63))))
     guests = df.join(F.broadcast(df.sparkSession.createDataFrame(after, "_r int, _k long")), "_k").withColumn("_guest", F.lit(1))

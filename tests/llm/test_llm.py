@@ -187,6 +187,54 @@ def test_op2_next_and_edits(docs, texts, none, monkeypatch):
     assert fingerprints.edited(none.select("doc_id", "text")).count() == 0
 
 
+def plain_sketch(text):
+    """The 64 smallest hashes of closed syncmers, with the xxhash library."""
+    import struct
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+
+    def chained(hashes):
+        seed = 42
+        for h in hashes:
+            seed = xxhash.xxh64(struct.pack("<q", h), seed=seed).intdigest()
+        return signed(seed)
+
+    tokens = [c for w in re.findall(r"[^ \t-\r]+", text or "") for c in (w if len(w) > 32 else [w])]
+    h = [signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in tokens]
+    if not h:
+        return []
+    if len(h) < 5:
+        return [chained(h)]
+    return sorted({chained(h[i : i + 5]) for i in range(len(h) - 4) if min(h[i], h[i + 4]) <= min(h[i + 1 : i + 4])})[:64]
+
+
+def test_op2_against_plain_syncmers(spark, sf, docs):
+    odd = [(10**6 + i, t, "en", "s", 0) for i, t in enumerate(["日本語" * 30, "a " + "é😀x" * 20 + " b", "x" * 32, "x" * 33, " a\x0bb\x0cc\td\ne\rf "])]
+    rows = spark.read.parquet(f"{sf}/documents.parquet").unionByName(docs.select("doc_id", "text", "lang", "source", "n_chars")).unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long"))
+    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
+    for r in fingerprints.with_sketch(rows.select("text").distinct(), "text", "sketch").collect():
+        assert r.sketch == plain_sketch(r.text), r.text[:80]
+
+
+def test_op2_texts_without_spaces(spark):
+    rng = random.Random(9)
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(900))
+    code = "".join(rng.choices("0123456789abcdefXYZ+/", k=3000))
+    pairs = [(t, t[: len(t) * 3 // 4] + u[: len(t) // 4]) for t, u in ((han, han[::-1]), (code, code[::-1]))]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    df = fingerprints.with_sketch(fingerprints.with_sketch(df, "a", "x"), "b", "y")
+    assert all(r.v > 0.4 for r in df.select(fingerprints.likeness(F.col("x"), F.col("y")).alias("v")).collect())
+
+
+def test_op2_repeated_doc_ids(spark):
+    order = [(None, "gggg"), (None, "gggg"), (1, "aaaa"), (1, "aaaa"), (1, "cccc"), (2, "eeee")]
+    got = fingerprints.edited(spark.createDataFrame(order, "doc_id long, text string").repartition(3)).collect()
+    want = [(str(i), t[:3] + order[(n + 1) % 6][1][0]) for n, (i, t) in enumerate(order)]
+    assert sorted((str(r.doc_id), r.edited) for r in got) == sorted(want)
+
+
 def test_op2_syncmers_are_context_free(spark):
     rng = random.Random(4)
     core = sentence(rng, 60)
