@@ -3,8 +3,9 @@
 Reading plans one partition for each file (or each run of small files up to PARTITION_BYTES). Each record is a gzip member
 of its own; a record's WARC and HTTP headers are inflated and parsed first, pushed predicates on the record type and the
 header columns are tested on them, and the payload of a record that is not wanted (or that the option payload=false waves
-off) is not inflated: members of this writer carry their compressed length in a gzip extra field ("sl"), so the reader jumps
-to the next one; in foreign files it inflates and forgets.
+off) is not inflated: members of this writer carry their compressed length in a gzip extra field ("sl"), so the reader seeks
+the next one without reading what lies between; in foreign files, and for members of 4 GiB and more (which go without the
+field), it inflates and forgets. A Content-Length that is no number counts as missing: the payload reaches to the record's end.
 
 Writing: each task writes files of its own attempt's name and rolls them at ROLL_BYTES; the commit writes a manifest of the
 files of the tasks that succeeded, and a reader of a folder with a manifest opens no others. Option overwrite of the mode
@@ -40,6 +41,7 @@ from lodestone.llm.common import few, narrowed, read_table, salted_join, workspa
 PARTITION_BYTES = 32 << 20
 ROLL_BYTES = 128 << 20
 HEAD_BYTES = 8 << 10
+READ_BYTES = 256 << 10
 BATCH_BYTES = 4 << 20
 MANIFEST = "_manifest.json"
 DATE = "2024-01-01T00:00:00Z"
@@ -71,11 +73,12 @@ def digest_of(payload: bytes) -> str:
 
 
 def member(data: bytes, level: int = 6) -> bytes:
-    """A gzip member whose extra field "sl" holds its own compressed and its plain length."""
+    """A gzip member whose extra field "sl" holds its own compressed and its plain length, if 32 bits hold the first."""
     deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = deflate.compress(data) + deflate.flush()
     size = 10 + 2 + 12 + len(body) + 8
-    head = b"\x1f\x8b\x08\x04" + struct.pack("<IBB", 0, 0, 255) + struct.pack("<H2sHII", 12, b"sl", 8, size, len(data) & 0xFFFFFFFF)
+    extra = struct.pack("<H2sHII", 12, b"sl", 8, size, len(data) & 0xFFFFFFFF) if size < 1 << 32 else b""
+    head = b"\x1f\x8b\x08" + (b"\x04" if extra else b"\x00") + struct.pack("<IBB", 0, 0, 255) + extra
     return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
@@ -99,7 +102,7 @@ class Records:
 
     def __init__(self, file, wanted, payload: bool):
         self.file, self.wanted, self.payload = file, wanted, payload
-        self.inflated = 0  # bytes inflated, for tests
+        self.inflated = self.read = 0  # bytes inflated and read, for tests
 
     def __iter__(self) -> Iterator[tuple]:
         buf, at, end = b"", 0, False
@@ -108,34 +111,53 @@ class Records:
             """At least n bytes from at on, unless the file ends."""
             nonlocal buf, at, end
             while len(buf) - at < n and not end:
-                more = self.file.read(max(1 << 20, n))
+                more = self.file.read(max(READ_BYTES, n - (len(buf) - at)))
+                self.read += len(more)
                 end = not more
                 buf, at = buf[at:] + more, 0
             return len(buf) - at >= n
 
+        def skip(n: int) -> None:
+            """Past the n bytes from at on; what is not in the buffer is not read."""
+            nonlocal buf, at
+            beyond = n - (len(buf) - at)
+            if beyond <= 0:
+                at += n
+                return
+            buf, at, here = b"", 0, self.file.tell()
+            if here + beyond > self.file.seek(0, 2):
+                raise ValueError("a WARC file ends inside a record")
+            self.file.seek(here + beyond)
+
         while fill(18):
             if buf[at : at + 3] != b"\x1f\x8b\x08":
                 raise ValueError("a WARC file must hold gzip members")
             size = None
             if buf[at + 3] & 4 and buf[at + 12 : at + 14] == b"sl" and fill(24):
                 size = struct.unpack_from("<I", buf, at + 16)[0]
-                if not fill(size):
+                if not fill(min(size, HEAD_BYTES)):
                     raise ValueError("a WARC file ends inside a record")
             z = zlib.decompressobj(31)
-            piece = buf[at : at + size] if size else buf[at:]
+            fed = min(size, len(buf) - at) if size else 0
+            piece = buf[at : at + fed] if size else buf[at:]
             plain = z.decompress(piece, HEAD_BYTES)
             rest = z.unconsumed_tail
 
             def more(most: int):
-                nonlocal plain, rest, buf, at
-                if not rest and not z.eof and not size:
+                nonlocal plain, rest, buf, at, fed
+                if not rest and not z.eof and size:
+                    if not fill(fed + 1):
+                        raise ValueError("a WARC file ends inside a record")
+                    rest = buf[at + fed : at + size]
+                    fed += len(rest)
+                elif not rest and not z.eof:
                     at = len(buf)
                     fill(1)
                     rest = buf[at:]
                 got = z.decompress(rest, most)
                 rest = z.unconsumed_tail
                 plain += got
-                if not got and not z.eof and (size or end) and not rest:
+                if not got and not z.eof and (size and fed >= size or end) and not rest:
                     raise ValueError("a WARC record is cut short")
 
             while b"\r\n\r\n" not in plain and not z.eof:
@@ -146,13 +168,13 @@ class Records:
             if self.wanted(got):
                 status = length = None
                 start = len(head) + 4
-                stop = start + int(fields.get("content-length", 0))
+                stop = start + int(given) if (given := fields.get("content-length", "")).isdigit() else None
                 body = start
                 if "http" in (got["content_type"] or ""):
                     while plain.find(b"\r\n\r\n", start) < 0 and not z.eof:
                         more(HEAD_BYTES)
                     cut = plain.find(b"\r\n\r\n", start)
-                    if 0 <= cut < stop:
+                    if 0 <= cut and (stop is None or cut < stop):
                         body = cut + 4
                         line, _, lines = plain[start:cut].partition(b"\r\n")
                         if m := re.match(rb"HTTP/\S+ (\d+)", line):
@@ -160,13 +182,13 @@ class Records:
                         length = parse_headers(lines).get("content-length")
                 data = None
                 if self.payload:
-                    while len(plain) < stop and not z.eof:
-                        more(max(stop - len(plain), 1))
-                    data = plain[body:stop]
+                    while (stop is None or len(plain) < stop) and not z.eof:
+                        more(max(stop - len(plain), 1) if stop is not None else READ_BYTES)
+                    data = plain[body:stop] if stop is not None else plain[body:].removesuffix(b"\r\n\r\n")
                 yield (*got.values(), status, int(length) if length is not None and length.isdigit() else None, data)
             self.inflated += len(plain)
             if size:
-                at += size
+                skip(size)
             else:
                 while not z.eof:
                     plain = b""
@@ -182,7 +204,7 @@ def matcher(filters: list):
         if isinstance(f, EqualTo):
             tests.append((c, lambda v, x=f.value: v == x))
         elif isinstance(f, In):
-            tests.append((c, lambda v, x=frozenset(f.value): v in x))
+            tests.append((c, lambda v, x=frozenset(y for y in f.value if y is not None): v in x))  # null is in no list
         else:
             tests.append((c, lambda v, x=f.value: v is not None and v.startswith(x)))
     return lambda got: all(t(got[c]) for c, t in tests)
@@ -233,7 +255,7 @@ class WarcReader(DataSourceReader):
         keep = matcher(self.filters)
         for name in partition.names:
             rows, size = [], 0
-            with fs.open_input_stream(name, compression=None) as f:
+            with fs.open_input_file(name) as f:
                 for row in Records(f, keep, self.payload and "payload" in self.names):
                     rows.append(row)
                     size += 500 + len(row[-1] or b"")

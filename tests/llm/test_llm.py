@@ -599,8 +599,26 @@ def test_op7_skips_payloads(tmp_path):
         assert len(rows) == 1 and rows[0][-1] == big
         if write is warc.member:
             assert reader.inflated < 400_000
-    with pytest.raises(ValueError):
-        list(warc.Records(io.BytesIO(warc.member(made[0])[:-500]), lambda got: True, True))
+    for wanted in (True, False):
+        with pytest.raises(ValueError):
+            list(warc.Records(io.BytesIO(warc.member(made[0])[:-500]), lambda got, wanted=wanted: wanted, True))
+    huge = warc.record({"WARC-Type": "response", "WARC-Record-ID": "<9>"}, None, random.Random(2).randbytes(9_000_000))
+    reader = warc.Records(io.BytesIO(b"".join(map(warc.member, [huge, made[1], huge]))), lambda got: got["record_id"] == "<1>", True)
+    assert [r[-1] for r in reader] == [big] and reader.read < 2_000_000
+
+
+def test_op7_odd_records(spark, tmp_path):
+    import gzip
+    import io
+
+    odd = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: many\r\n\r\nthe payload\r\n\r\n"
+    bare = b"WARC/1.1\r\nWARC-Type: resource\r\n\r\n\r\n\r\n"
+    for write in (warc.member, gzip.compress):
+        assert [r[-1] for r in warc.Records(io.BytesIO(write(odd) + write(bare)), lambda got: True, True)] == [b"the payload", b""]
+    (tmp_path / "w.warc.gz").write_bytes(warc.member(odd) + warc.member(odd.replace(b"resource", b"response")))
+    back = warc.read_warc(spark, str(tmp_path / "w.warc.gz"))
+    assert back.where("refers_to in ('x', null)").count() == 0 and back.where("record_type in ('response', null)").count() == 1
+    assert back.where("refers_to is null").count() == 2
 
 
 # ---------------------------------------------------------------- 8
