@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,30 +16,31 @@ BUDGET = 40_000
 def fused_context(chunks: list[tuple[str, str, str]], budget: int = BUDGET) -> tuple[str, str, list[str], list[str]]:
     """chunks: (content, source, the text it stands for), best first. Returns the joined chunks, the context, sources and their texts.
 
-    A source's text is added once. The first that overflows ends the context: a window of the budget that is left, ending
-    with its chunk, or the chunk and the head of the text if the chunk is not found in it.
+    A source's text counts once, where it stands first; each takes its length and a line end. The one place at which the
+    running length passes the budget ends the list: what is left of the budget goes to a part of that text.
     """
-    context, sources, texts = "", [], []
-    seen = []
-    for content, source, text in chunks:
-        seen.append(content)
-        if source in sources:
-            continue
-        if len(text) + len(context) <= budget:
-            context += text + "\n"
-            sources.append(source)
-            texts.append(text)
-            continue
-        sources.append(source)
-        room = budget - len(context)
-        if room > 0:
-            at = text.find(content)
-            begin = max(0, at - (room - len(content)))
-            part = text[begin : begin + room] if at >= 0 else f"{content}\n{text[: room - len(content) - 1]}"
-            context += part
-            texts.append(part)
-        break
-    return "\n".join(seen), context[:budget], [s if "://" in s else posixpath.basename(s) for s in sources], texts
+    firsts = sorted({source: n for n, (_, source, _) in reversed(list(enumerate(chunks)))}.values())
+    ends = list(accumulate((len(chunks[n][2]) + 1 for n in firsts), initial=0))
+    full = next((k for k, n in enumerate(firsts) if ends[k] + len(chunks[n][2]) > budget), len(firsts))
+    texts = [chunks[n][2] for n in firsts[:full]]
+    context = "".join(t + "\n" for t in texts)
+    used = chunks
+    if full < len(firsts):
+        content, _, text = chunks[firsts[full]]
+        used = chunks[: firsts[full] + 1]
+        if (room := budget - len(context)) > 0:
+            texts.append(part_of(text, content, room))
+            context += texts[-1]
+    sources = [chunks[n][1] for n in firsts[: full + 1]]
+    return "\n".join(c for c, _, _ in used), context[:budget], [s if "://" in s else posixpath.basename(s) for s in sources], texts
+
+
+def part_of(text: str, content: str, room: int) -> str:
+    """room characters of text that end with content, or begin the text where it stands earlier; content and the head if it is not there."""
+    if content not in text:
+        return f"{content}\n{text[: room - len(content) - 1]}"
+    last = max(room, text.index(content) + len(content))
+    return text[last - room : last]
 
 
 def fused(ranked: DataFrame, budget: int = BUDGET) -> DataFrame:

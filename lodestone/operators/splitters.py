@@ -5,7 +5,9 @@ from __future__ import annotations
 import ast
 import posixpath
 import re
-from collections.abc import Callable, Iterable
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,37 +24,40 @@ MARKDOWN = ["\n#{1,6} ", "```\n", "\n\\*\\*\\*+\n", "\n---+\n", "\n___+\n", "\n\
 # ---------------------------------------------------------------- pieces and packing
 
 
-def pieces(text: str, pattern: str, keep: str | None = None) -> list[str]:
-    """text cut at matches of pattern, which stay with the piece behind (start), before (end) or go; "" cuts into characters."""
+def piece_spans(text: str, pattern: str, keep: str | None, begin: int, end: int) -> list[tuple[int, int]]:
+    """Spans of text[begin:end] between matches of pattern, which stay with the piece behind (start), before (end) or go."""
     if not pattern:
-        return list(text)
-    at = [0]
-    for m in re.finditer(pattern, text):
-        at += [m.end(), m.end()] if keep == "end" else [m.start(), m.start()] if keep == "start" else [m.start(), m.end()]
-    at.append(len(text))
-    return [p for p in (text[a:b] for a, b in zip(at[::2], at[1::2], strict=True)) if p]
+        return [(i, i + 1) for i in range(begin, end)]
+    marks = [m.span() for m in re.compile(pattern).finditer(text, begin, end)]
+    opens = [begin, *(a if keep == "start" else b for a, b in marks)]
+    closes = [*(b if keep == "end" else a for a, b in marks), end]
+    return [(a, b) for a, b in zip(opens, closes, strict=True) if a < b]
+
+
+def pieces(text: str, pattern: str, keep: str | None = None) -> list[str]:
+    """The texts of piece_spans over the whole text."""
+    return [text[a:b] for a, b in piece_spans(text, pattern, keep, 0, len(text))]
 
 
 def packed(parts: Iterable[str], joint: str = "", size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
-    """Parts joined greedily up to size characters; each chunk begins with at most overlap characters of parts of the one before."""
-    out: list[str] = []
-    held: list[str] = []
-    total = 0  # of held, with the joints between
+    """Parts joined greedily up to size characters; each chunk begins with at most overlap characters of parts of the one before.
 
-    def emit():
-        if chunk := joint.join(held).strip():
+    Over the running lengths of the parts a chunk's end and the place where the next one begins are two bisections.
+    """
+    parts = list(parts)
+    gap = len(joint)
+    upto = [0, *accumulate(len(p) + gap for p in parts)]  # parts a..b take upto[b] - upto[a] - gap characters
+    out: list[str] = []
+    first = new = 0  # a chunk's first part, and the first one that no chunk has had
+    while new < len(parts):
+        last = max(new + 1, bisect_right(upto, upto[first] + gap + size) - 1)
+        if chunk := joint.join(parts[first:last]).strip():
             out.append(chunk)
-
-    for part in parts:
-        room = lambda: total + len(part) + (len(joint) if held else 0) <= size  # noqa: B023, E731
-        if held and not room():
-            emit()
-            while held and (total > overlap or (total > 0 and not room())):
-                first = held.pop(0)
-                total -= len(first) + (len(joint) if held else 0)
-        total += len(part) + (len(joint) if held else 0)
-        held.append(part)
-    emit()
+        if last < len(parts):
+            # As many parts again as overlap allows, and as leave room for the next one.
+            least = max(upto[last] - overlap, upto[last + 1] - size) - gap
+            first = min(max(first, bisect_left(upto, least)), last)
+        new = last
     return out
 
 
@@ -61,20 +66,31 @@ def by_separator(text: str, separator: str = "\n\n", size: int = SIZE, overlap:
 
 
 def recursive(text: str, separators: list[str] = PLAIN, size: int = SIZE, overlap: int = OVERLAP, keep: str = "start", regex: bool = False) -> list[str]:
-    """Cut at the first separator that occurs; pieces that are still too long are cut by the ones after it."""
-    pattern = lambda s: s if regex else re.escape(s)
-    level = next((i for i, s in enumerate(separators) if not s or re.search(pattern(s), text)), len(separators) - 1)
-    finer = separators[level + 1 :] if separators[level] else []
+    """Cut at the first separator that occurs; pieces that are still too long are cut by the ones after it.
+
+    A work list of spans of the text: a span with a level is still to be cut from that separator on, a list of spans is a
+    run of short neighbours to be packed.
+    """
+    patterns = [s if regex else re.escape(s) for s in separators]
     out: list[str] = []
-    short: list[str] = []
-    for piece in pieces(text, pattern(separators[level]), keep):
-        if len(piece) < size:
-            short.append(piece)
+    work: list = [((0, len(text)), 0)]
+    while work:
+        item = work.pop()
+        if isinstance(item, list):
+            out += packed([text[a:b] for a, b in item], "", size, overlap)
             continue
-        out += packed(short, "", size, overlap)
-        short = []
-        out += recursive(piece, finer, size, overlap, keep, regex) if finer else [piece]
-    return out + packed(short, "", size, overlap)
+        (begin, end), level = item
+        if level is None:  # too long, and no separator is left
+            out.append(text[begin:end])
+            continue
+        while level < len(patterns) - 1 and patterns[level] and not re.compile(patterns[level]).search(text, begin, end):
+            level += 1
+        deeper = level + 1 if level + 1 < len(patterns) and patterns[level] else None
+        found: list = []
+        for long, spans in groupby(piece_spans(text, patterns[level], keep, begin, end), lambda x: x[1] - x[0] >= size):
+            found += [(x, deeper) for x in spans] if long else [list(spans)]
+        work += reversed(found)
+    return out
 
 
 def chinese(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
@@ -89,12 +105,24 @@ def markdown_by_length(text: str, size: int = SIZE, overlap: int = OVERLAP) -> l
 # ---------------------------------------------------------------- markdown headers
 
 
+def _fenced(lines: Iterable[str]) -> Iterator[tuple[str, bool]]:
+    """Lines without what cannot be printed, and whether each belongs to a fenced block (its fences included)."""
+    fence = None
+    for raw in lines:
+        line = "".join(filter(str.isprintable, raw.strip()))
+        opened = re.match(r"~~~|```(?!.*```)", line) if fence is None else None
+        yield line, bool(fence or opened)
+        if opened:
+            fence = opened[0]
+        elif fence and line.startswith(fence):
+            fence = None
+
+
 def by_header(text: str, levels: int = 3) -> list[tuple[dict[str, str], str]]:
     """(headers, content) of the sections of a Markdown text; headers are "Header 1" and so on. Fenced lines are content."""
     blocks: list[tuple[dict[str, str], list[str]]] = []
     stack: dict[int, str] = {}
     lines: list[str] = []
-    fence = ""
 
     def flush():
         nonlocal lines
@@ -106,24 +134,14 @@ def by_header(text: str, levels: int = 3) -> list[tuple[dict[str, str], str]]:
                 blocks.append((heads, ["\n".join(lines)]))
             lines = []
 
-    for raw in text.split("\n"):
-        line = "".join(filter(str.isprintable, raw.strip()))
-        if fence:
-            if not line.startswith(fence):
-                lines.append(line)
-                continue
-            fence = ""
-        elif line.startswith("```") and line.count("```") == 1 or line.startswith("~~~"):
-            fence = line[:3]
-            lines.append(line)
-            continue
-        m = re.match(r"(#{1,6})(?: |$)", line)
+    for line, fenced in _fenced(text.split("\n")):
+        m = None if fenced else re.match(r"(#{1,6})(?: |$)", line)
         if m and len(m[1]) <= levels:
             flush()
             n = len(m[1])
             stack = {k: v for k, v in stack.items() if k < n}
             stack[n] = line[n:].strip()
-        elif line:
+        elif line or fenced:
             lines.append(line)
         else:
             flush()

@@ -187,6 +187,69 @@ def test_pieces_and_packing():
     assert splitters.packed(["x" * 20], "", 5, 2) == ["x" * 20]
 
 
+def plain_packed(parts, joint, size, overlap):
+    """The rule by trying every end and every beginning."""
+    width = lambda a, b: len(joint.join(parts[a:b]))
+    out, first, new = [], 0, 0
+    while new < len(parts):
+        last = max([new + 1, *(b for b in range(new + 1, len(parts) + 1) if width(first, b) <= size)])
+        out.append(joint.join(parts[first:last]).strip())
+        if last < len(parts):
+            first = min(a for a in range(first, last + 1) if a == last or (width(a, last) <= overlap and width(a, last + 1) <= size))
+        new = last
+    return [c for c in out if c]
+
+
+def test_packed_by_trying_all_places():
+    rng = random.Random(1)
+    for _ in range(400):
+        parts = ["".join(rng.choices("ab \n", k=rng.randrange(1, 9))) for _ in range(rng.randrange(14))]
+        joint, size, overlap = rng.choice(["", " ", "--"]), rng.randrange(1, 25), rng.randrange(0, 12)
+        assert splitters.packed(parts, joint, size, overlap) == plain_packed(parts, joint, size, overlap)
+
+
+def test_recursive_loses_nothing():
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "bb ", "\n", "\n\n", "c" * 30, "。", "; "]) for _ in range(rng.randrange(60)))
+        size = rng.randrange(2, 40)
+        for separators, keep, regex in ((splitters.PLAIN, "start", False), (splitters.CHINESE, "end", True), (splitters.MARKDOWN, "start", False)):
+            chunks = splitters.recursive(text, separators, size, 0, keep, regex)
+            assert "".join("".join(chunks).split()) == "".join(text.split())
+            if separators[-1] == "":
+                assert all(len(c) <= size for c in chunks)
+
+
+def plain_context(chunks, budget):
+    """First occurrences one by one, each with the text so far in full."""
+    firsts = [c for i, c in enumerate(chunks) if c[1] not in [x[1] for x in chunks[:i]]]
+    whole = []
+    for content, source, text in firsts:
+        before = sum(len(x[2]) + 1 for x in whole)
+        if before + len(text) > budget:
+            room = budget - before
+            window = max((text[a : a + room] for a in range(len(text)) if text[a : a + room].endswith(content) and len(text[a : a + room]) == room), key=lambda x: -text.find(x), default=None) if room > 0 else None
+            return "".join(x[2] + "\n" for x in whole), source, window
+        whole.append((content, source, text))
+    return "".join(x[2] + "\n" for x in whole), None, None
+
+
+def test_context_against_a_plain_walk():
+    rng = random.Random(3)
+    for _ in range(300):
+        chunks = [(w := rng.choice(["qq", "zz", "xy"]), rng.choice("ABC"), "".join(rng.choices("abc", k=rng.randrange(20))) + w + "d" * rng.randrange(4)) for _ in range(rng.randrange(6))]
+        budget = rng.randrange(1, 60)
+        _, context, refs, texts = fuse.fused_context(chunks, budget)
+        whole, cut, _ = plain_context(chunks, budget)
+        assert context.startswith(whole[:budget]) and len(context) <= budget
+        assert refs == list(dict.fromkeys(c[1] for c in chunks))[: len(refs)] and (cut is None or refs[-1] == cut)
+        if cut is not None and len(whole) < budget:
+            content, _, text = next(c for c in chunks if c[1] == cut)
+            part = context[len(whole) :]
+            assert part == texts[-1][: len(part)] and part in text
+            assert content in part or len(part) < len(content) or text.startswith(part)
+
+
 @pytest.mark.parametrize("split", [splitters.recursive, splitters.chinese, splitters.markdown_by_length])
 def test_splitters_keep_bounds(split):
     rng = random.Random(5)
