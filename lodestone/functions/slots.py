@@ -10,7 +10,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,6 +100,44 @@ def hash_embedder(dim: int = 64):
     return embed
 
 
+def with_retries(call, tries: int = 3, wait_s: float = 30.0, most_s: float = 60.0, errors: tuple = (OSError, TimeoutError)):
+    """call, tried again after a pause that doubles from wait_s to most_s; the last error is raised."""
+    import time
+
+    def tried(*args):
+        for n in range(tries):
+            try:
+                return call(*args)
+            except errors:
+                if n == tries - 1:
+                    raise
+                time.sleep(min(most_s, wait_s * 2**n))
+
+    return tried
+
+
+def called(rows: DataFrame, column: str, out: str, call, most: int = 16, **retries) -> DataFrame:
+    """rows plus out: call of each text, null for a null, by at most most tasks at a time (so many partitions), failed calls again."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    slot = with_retries(call, **retries)
+
+    def run(batches):
+        for batch in batches:
+            got = [None if t is None else slot(t) for t in batch.column(column).to_pylist()]
+            yield batch.append_column(out, pa.array(got, pa.string()))
+
+    return rows.repartition(most).mapInArrow(run, f"{schema}, `{out}` string")
+
+
+def word_vector(text: Column, dim: int = 16) -> Column:
+    """The stand-in of an embedder in built-in functions: distinct words hashed into dim buckets, unit length; zeros for a text without words."""
+    bucket = lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dim
+    hashed = F.transform(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), " "), lambda w: w != "")), bucket)
+    counts = F.aggregate(hashed, F.array_repeat(F.lit(0.0), dim), lambda acc, b: F.transform(acc, lambda x, i: F.when(i == b, x + 1.0).otherwise(x)))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+    return F.transform(F.array(counts), lambda v: F.transform(v, lambda x: F.coalesce(F.try_divide(x, norm(v)), F.lit(0.0))))[0]
+
+
 def echo_llm(prompt: Column) -> Column:
     """The stand-in of a language model: the material's first 200 characters."""
     return F.substring(F.regexp_extract(prompt, "(?s)Material:\n(.*)\nQuestion: ", 1), 1, 200)

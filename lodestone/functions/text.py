@@ -85,6 +85,10 @@ def remote_token_length(text: Column) -> Column:
     return F.floor(F.length(text) / 2).cast("long")
 
 
+#: The most characters of a query, by the place that takes it.
+QUERY_MOST = {"retrieve": 512, "demo": 400, "web": 32}
+
+
 def query_guard(text: Column, most: int = 512, least: int = 8) -> Column:
     """What happens to a query: empty, too_short (in groups), truncated, ok."""
     n = F.length(F.coalesce(text, F.lit("")))
@@ -129,6 +133,28 @@ def without_headers(markdown: Column) -> Column:
     return F.regexp_replace(markdown, "(?m)^#{1,6}\\s*", "")
 
 
+def cut_query(text: Column, where: str = "retrieve") -> Column:
+    """A query cut to what a place takes: retrieval 512 characters, a demo 400, a web search 32."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, QUERY_MOST[where])
+
+
+def within_upload(sizes: Column, most: int = 1000 << 20) -> Column:
+    """Whether files of these sizes (a sum) may be uploaded together."""
+    return F.coalesce(sizes, F.lit(0)) <= most
+
+
+def pipeline_code(score: Column, relevant: int = 5, bad: int = 80, unsafe: int = 90) -> Column:
+    """The gates of the serial pipeline over one score: relevance below relevant, then security, then a bad answer."""
+    return F.when(score < relevant, "UNRELATED").when(score >= unsafe, "SECURITY").when(score >= bad, "BAD_ANSWER").otherwise("SUCCESS")
+
+
+def json_events(text: Column) -> Column:
+    """The strings of an answer's JSON array: plain ones, and those of objects that list them under "events"."""
+    items = F.from_json(json_slice(text), "array<string>")
+    listed = lambda x: F.from_json(x, "struct<events:array<string>>")["events"]
+    return F.coalesce(F.flatten(F.transform(items, lambda x: F.when(x.startswith("{"), F.coalesce(listed(x), F.array().cast("array<string>"))).otherwise(F.array(x)))), F.array().cast("array<string>"))
+
+
 def json_slice(text: Column) -> Column:
     """The JSON array in an answer: fences dropped, single quotes doubled, cut from the first [ to the last ]."""
     t = F.replace(F.replace(F.replace(text, F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")), F.lit("'"), F.lit('"'))

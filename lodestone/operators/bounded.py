@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import math
+import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,8 +32,28 @@ def in_ranges(df: DataFrame, order: str, name: str = "_range") -> DataFrame:
     if ranges == 1:
         return df.withColumn(name, F.lit(0))
     bounds = sorted({b for b in df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 100_000)).first()[0] or []})
-    marks = F.array(*map(F.lit, bounds))
-    return df.withColumn(name, F.when(F.col(order).isNull(), -1).otherwise(F.size(F.filter(marks, lambda b: b <= F.col(order)))))
+    kind = dict(df.dtypes)[order]
+    marks = F.from_json(F.lit(json.dumps([str(b) for b in bounds])), "array<string>").cast(f"array<{kind}>")  # folded to one literal
+    return df.withColumn(name, F.when(F.col(order).isNull(), -1).otherwise(_at_most(marks, len(bounds), F.col(order))))
+
+
+def _at_most(marks: Column, n: int, value: Column) -> Column:
+    """How many of n ascending marks are at most value, by bisection."""
+    half = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+    right = lambda s: F.struct((half(s) + 1).alias("lo"), s["hi"].alias("hi"))
+    left = lambda s: F.struct(s["lo"].alias("lo"), half(s).alias("hi"))
+    step = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(F.get(marks, half(s)) <= value, right(s)).otherwise(left(s))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length() + 1)), F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi")), step, lambda s: s["lo"])
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; a temporary one where that is unset in local mode."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors cannot read a folder of the driver's machine")
+        base = tempfile.mkdtemp(prefix="lodestone-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def running(df: DataFrame, order: str, ties: list[str], sums: dict[str, Column]) -> DataFrame:

@@ -51,3 +51,23 @@ def sweep(scored: DataFrame, thresholds: list[float]) -> DataFrame:
 def throttle_feedback(t: Column) -> Column:
     """A step up after a bad answer: 2 % of what is left to 1, at most 0.5."""
     return F.least(t + F.greatest(F.lit(0.0), F.lit(1.0) - t) * F.lit(0.02), F.lit(0.5))
+
+
+def with_truth(truth: DataFrame, predictions: DataFrame, key: list[str]) -> DataFrame:
+    """key, truth, predicted: ground truth beside predictions by key, never by position. Raises if a key stands twice on a side.
+
+    A row without a prediction has predicted false; predictions without truth go.
+    """
+    for side in (truth, predictions):
+        if not side.groupBy(*key).count().where("count > 1").isEmpty():
+            raise ValueError("a key stands on several rows")
+    return truth.join(predictions, key, "left").select(*key, "truth", F.coalesce("predicted", F.lit(False)).alias("predicted"))
+
+
+def agreement(rows: DataFrame) -> DataFrame:
+    """One row: tp, fp, fn, precision, recall, f1 of rows (truth, predicted)."""
+    hit = lambda a, b: F.count_if((F.col("truth") == a) & (F.col("predicted") == b))
+    n = rows.agg(hit(True, True).alias("tp"), hit(False, True).alias("fp"), hit(True, False).alias("fn"))
+    share = lambda of: F.coalesce(F.try_divide(F.col("tp").cast("double"), of.cast("double")), F.lit(0.0))
+    p, r = share(F.col("tp") + F.col("fp")), share(F.col("tp") + F.col("fn"))
+    return n.select("tp", "fp", "fn", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))

@@ -5,11 +5,12 @@ Windows are partitioned by conversation or group; a group's rows are the unit of
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.operators.bounded import numbered
+from lodestone.operators.bounded import few, numbered
 
 
 def seconds(ts: Column) -> Column:
@@ -27,7 +28,10 @@ def merged_messages(messages: DataFrame, gap: float = 18.0) -> DataFrame:
     """Runs of one sender with less than gap seconds between neighbours. messages: group_id, id, sender, text, ts.
 
     group_id, run, sender, first_id, last_id, n, start_ts, end_ts, text (joined by newlines). Equality of the gap does not merge.
+    References (column show, if there is one, is ref) are left out first.
     """
+    if "show" in messages.columns:
+        messages = messages.where(F.coalesce("show", F.lit("")) != "ref")
     w = Window.partitionBy("group_id").orderBy("ts", "id")
     at = seconds(F.col("ts"))
     stay = (F.lag("sender").over(w) == F.col("sender")) & (at - F.lag(at).over(w) < gap)
@@ -111,17 +115,35 @@ def concatenated(history: Column, now: Column, keep: float = 7200.0) -> Column:
 
 
 def forwarded(messages: DataFrame, groups: DataFrame, bot: str) -> DataFrame:
-    """Fan-out: each message of a whitelisted group, not the bot's, once for each other whitelisted group. groups: group_id (a short list)."""
+    """Fan-out: each message of a whitelisted group, not the bot's, once for each other whitelisted group. groups: group_id (a short list, counted)."""
+    if not few(groups, 100_000):
+        raise ValueError("a whitelist of over 100,000 groups would multiply every message")
     own = messages.join(F.broadcast(groups), "group_id", "left_semi").where(F.col("sender") != bot)
     target = F.broadcast(groups.select(F.col("group_id").alias("target")))
     return own.join(target, F.col("group_id") != F.col("target"))
 
 
 def least_recently_used(accesses: DataFrame, capacity: int = 4) -> DataFrame:
-    """accesses (key, at) of one cache plus hit: fewer than capacity other keys were used since this key's last use."""
-    w = Window.partitionBy("cache").orderBy("at")
-    same = Window.partitionBy("cache", "key").orderBy("at")
-    rows = accesses.withColumn("n", F.row_number().over(w)).withColumn("last", F.lag("n").over(same))
-    between = rows.alias("a").join(rows.select("cache", F.col("n").alias("m"), F.col("key").alias("k")).alias("b"), (F.col("a.cache") == F.col("b.cache")) & (F.col("m") > F.col("last")) & (F.col("m") < F.col("n")), "left")
-    count = between.groupBy(F.col("a.cache").alias("cache"), "n").agg(F.count_distinct("k").alias("others"))
-    return rows.join(count, ["cache", "n"]).withColumn("hit", F.col("last").isNotNull() & (F.col("others") < capacity)).drop("others")
+    """accesses (cache, key, at) plus n, last (the access before by the same key) and hit: the cache of capacity keys still held the key.
+
+    One pass over each cache's accesses in order, with no more state than its keys' last places; a cache's accesses are one sequence by nature.
+    """
+    columns = [c for c in accesses.columns if c not in ("n", "last", "hit")]
+    rows = accesses.withColumn("n", F.row_number().over(Window.partitionBy("cache").orderBy("at")))
+    rows = rows.withColumn("last", F.lag("n").over(Window.partitionBy("cache", "key").orderBy("at"))).select(*columns, "n", "last")
+
+    def step(batches):
+        cache, held = None, {}
+        for batch in batches:
+            hits = []
+            for c, k in zip(batch.column("cache").to_pylist(), batch.column("key").to_pylist(), strict=True):
+                if c != cache:
+                    cache, held = c, {}
+                hits.append(held.pop(k, None) is not None)
+                held[k] = True  # insertion order is the order of use
+                if len(held) > capacity:
+                    del held[next(iter(held))]
+            yield batch.append_column("hit", pa.array(hits, pa.bool_()))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.repartition("cache").sortWithinPartitions("cache", "n").mapInArrow(step, f"{fields}, hit boolean")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.functions.prompts import prompt
+
 BUDGET = 40_000
 
 
@@ -68,6 +70,28 @@ def text_of_chunk(modal: Column, source: Column, content: Column, file_text: Col
     return F.when(F.contains(source, F.lit("://")), content).when(modal == "qa", qa).otherwise(file_text)
 
 
+def with_source_text(ranked: DataFrame, texts: DataFrame) -> DataFrame:
+    """ranked (query_id, rank, modal, source, content, qa) plus text: what each chunk stands for. texts: source, file_text.
+
+    A file that could not be read gives null, and its chunk is passed over by fusion.
+    """
+    rows = ranked.join(texts, "source", "left")
+    return rows.withColumn("text", text_of_chunk(F.col("modal"), F.col("source"), F.col("content"), F.col("file_text"), F.col("qa"))).drop("file_text")
+
+
+def for_embedder(chunks: DataFrame, images: bool) -> DataFrame:
+    """Chunks that an embedder takes: texts and questions, images only if it reads them."""
+    return chunks.where(F.col("modal").isin("text", "qa", *(["image"] if images else [])))
+
+
+def web_context(articles: DataFrame, most: int = BUDGET, n: int = 3) -> DataFrame:
+    """query_id, context, refs: the first n articles of each query one behind the other, cut to most characters. articles: query_id, rank, link, text."""
+    first = articles.where(F.col("text") != "").withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("_r") <= n)
+    lists = first.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("_r", "text", "link"))).alias("a"))
+    context = F.substring(F.array_join(F.transform("a", lambda x: F.concat(x["text"], F.lit("\n"))), ""), 1, most)
+    return lists.select("query_id", context.alias("context"), F.transform("a", lambda x: x["link"]).alias("refs"))
+
+
 def united(*lists: DataFrame) -> DataFrame:
     """Outputs of retrievers one behind the other; source_rank keeps their order. A retriever that failed is an empty table."""
     out = lists[0].withColumn("source_rank", F.lit(0))
@@ -84,6 +108,6 @@ def answered(queries: DataFrame, fused_rows: DataFrame, llm: Column | None = Non
     rows = queries.join(fused_rows, "query_id", "left")
     few = F.length("query") < 8
     code = F.when(F.coalesce(F.length("query"), F.lit(0)) == 0, "QUESTION_EMPTY").when(few, "QUESTION_TOO_SHORT").when(F.col("context").isNull(), "UNRELATED").otherwise("SUCCESS")
-    prompt = F.when(code == "SUCCESS", F.concat(F.lit("Material:\n"), F.col("context"), F.lit("\nQuestion: "), F.col("query"), F.lit("\nAnswer from the material.")))
+    asked = F.when(code == "SUCCESS", prompt("generate", F.lit(False), F.col("context"), F.col("query")))
     reply = llm if llm is not None else F.substring(F.get("ref_texts", 0), 1, 200)
-    return rows.withColumn("code", code).withColumn("prompt", prompt).select("query_id", "query", "code", "prompt", F.when(F.col("code") == "SUCCESS", reply).alias("reply"), F.coalesce("refs", F.array().cast("array<string>")).alias("refs"))
+    return rows.withColumn("code", code).withColumn("prompt", asked).select("query_id", "query", "code", "prompt", F.when(F.col("code") == "SUCCESS", reply).alias("reply"), F.coalesce("refs", F.array().cast("array<string>")).alias("refs"))

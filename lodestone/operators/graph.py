@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -35,6 +36,34 @@ def bonus(hops: DataFrame, weight: float = 0.2, most: int = 100) -> DataFrame:
     return files.withColumn("bonus", F.lit(weight) * F.least(F.lit(most), F.col("files")).cast("double") / F.lit(float(most)))
 
 
+def retrieved(asked: DataFrame, edges: DataFrame, page: str = "page") -> DataFrame:
+    """query_id, place, file, chunks: the files behind a query's entities with the chunks that lead to them (once for each entity), smallest lists first.
+
+    asked: query_id, entity.
+    """
+    hops = two_hop(asked.select("entity").distinct(), edges, page)
+    lists = asked.join(hops, "entity").groupBy("query_id", "file").agg(F.sort_array(F.collect_list("chunk")).alias("chunks"))
+    return lists.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.size("chunks"), "file")))
+
+
+def decided(scores: DataFrame, bonuses: DataFrame, threshold: float) -> DataFrame:
+    """query_id, score, bonus, accepted: a query is answered if its best score reaches the threshold less its graph bonus.
+
+    scores: query_id, score (the best dense one; null counts as -1); bonuses: query_id, bonus.
+    """
+    rows = scores.join(bonuses.select("query_id", "bonus"), "query_id", "left").withColumn("bonus", F.coalesce("bonus", F.lit(0.0)))
+    return rows.select("query_id", "score", "bonus", (F.coalesce("score", F.lit(-1.0)) >= F.lit(threshold) - F.col("bonus")).alias("accepted"))
+
+
+def labelled_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """src, dst, relation, src_label, dst_label, src_data, dst_data: edges with the labels of their nodes; edges without both nodes go.
+
+    nodes: uuid, type, data.
+    """
+    side = lambda end: nodes.select(F.col("uuid").alias(end), F.initcap("type").alias(f"{end}_label"), F.col("data").alias(f"{end}_data"))
+    return edges.select("src", "dst", relation_type(F.col("desc")).alias("relation")).join(side("src"), "src").join(side("dst"), "dst")
+
+
 def relation_type(desc):
     """Label of a stored relation by its description."""
     return F.when(F.contains(desc, F.lit("page")), "PAGE_OF").when(desc == "file", "FILE_OF").otherwise(F.upper(F.regexp_replace(desc, "[^A-Za-z0-9]+", "_")))

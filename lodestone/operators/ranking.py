@@ -37,10 +37,16 @@ def overlap_score(query: Column, text: Column) -> Column:
 
 
 def reranked(pairs: DataFrame, n: int, score=overlap_score) -> DataFrame:
-    """query_id, chunk_id, score, rank: the n best of each query's candidates. pairs: query_id, query, chunk_id, text; score may be any function of two columns."""
+    """query_id, chunk_id, score, rank: the n best of each query's candidates. pairs: query_id, query, chunk_id, text; score may be any function of two columns.
+
+    A score of null is a call that failed: all candidates of its query then keep the order they came in (column place, else chunk_id).
+    """
     rows = pairs.withColumn("score", score(F.col("query"), F.col("text")))
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    failed = F.max(F.col("score").isNull()).over(Window.partitionBy("query_id"))
+    place = F.col("place") if "place" in pairs.columns else F.col("chunk_id")
+    rows = rows.withColumn("_key", F.when(failed, F.lit(None)).otherwise(-F.round("score", 9))).withColumn("_place", F.when(F.col("_key").isNull(), place))
+    order = Window.partitionBy("query_id").orderBy("_key", "_place", "chunk_id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("_key", "_place")
 
 
 def rouge1(rows: DataFrame, key: list[str]) -> DataFrame:

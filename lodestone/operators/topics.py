@@ -16,6 +16,16 @@ def topic_words(text: Column, stop: list[str], share: float = 0.8) -> Column:
     return F.filter(words, lambda w: (w != "") & (w != "images") & ~w.rlike("^[0-9a-f]{6,}$") & ~w.rlike("^[0-9]+(\\.[0-9]+)*$") & ~F.array_contains(F.array(*map(F.lit, stop or [""])), w))
 
 
+def long_enough(docs: DataFrame, least: int = 300) -> DataFrame:
+    """docs (words) whose words, joined by spaces, have at least least characters."""
+    return docs.where(F.length(F.array_join("words", " ")) >= least)
+
+
+def topic_sources(topics: DataFrame, names: DataFrame) -> DataFrame:
+    """topics (name, topic, share) with the source path that stands behind each hashed name. names: name, path."""
+    return topics.join(names, "name")
+
+
 def fit_topics(docs: DataFrame, topics: int = 100, rounds: int = 5, words: int = 2048, seed: int = 7) -> tuple[CountVectorizerModel, LDAModel]:
     """Models over docs (doc_id, words)."""
     bag = CountVectorizer(inputCol="words", outputCol="features", minDF=2, maxDF=0.95, vocabSize=words).fit(docs)

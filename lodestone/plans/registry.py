@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import answers, dialogue, ingest, retrieval, scalars
+from lodestone.plans import answers, dialogue, exchange, ingest, retrieval, scalars
 
-MODULES = [retrieval, dialogue, scalars, ingest, answers]
+MODULES = [retrieval, dialogue, scalars, ingest, answers, exchange]
 
 
 def queries() -> dict:

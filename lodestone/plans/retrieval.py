@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import bm25, calibrate, dense, entity, graph
-from lodestone.operators.bounded import small_side
+from lodestone.operators.bounded import numbered, small_side
 from lodestone.plans import tables as t
 
 WORDS = "list_filter(string_split(lower(text), ' '), lambda w: w <> '')"
@@ -26,26 +26,39 @@ scores AS (SELECT query_id, chunk_id, sum(part) AS score FROM part GROUP BY ALL)
 
 
 def bm25_corpus_stats(spark, sf_dir):
-    chunks = t.chunks(spark, sf_dir)
-    terms = bm25.document_frequencies(chunks).agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"))
-    return bm25.corpus_stats(chunks).crossJoin(terms).select("n", F.round("avgdl", 6).alias("avgdl"), "n_terms", "n_postings")
+    ix = t.bm25_index(spark, sf_dir)
+    terms = ix.terms.agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"))
+    return ix.stats.crossJoin(terms).select("n", F.round("avgdl", 6).alias("avgdl"), "n_terms", "n_postings")
+
+
+def bm25_index(spark, sf_dir):
+    """The index built from the texts, not read from the store: term, documents, occurrences and the words of the documents that hold it."""
+    ix = bm25.index(t.chunks(spark, sf_dir))
+    held = ix.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.sum("dl").alias("dl"))
+    return held.join(ix.terms.select("term", F.round("idf", 6).alias("idf")), "term")
+
+
+def bm25_keywords(spark, sf_dir):
+    """The index under another tokeniser: the longest words of a chunk and its whole text."""
+    held = bm25.postings(t.chunks(spark, sf_dir), tokens=bm25.keywords)
+    return held.groupBy("chunk_id").agg(F.count("*").alias("terms"), F.max("dl").alias("dl"), F.min("term").alias("first_term"))
 
 
 def bm25_idf(spark, sf_dir):
-    return bm25.idf(t.chunks(spark, sf_dir)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return t.bm25_index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_scores(spark, sf_dir):
-    return bm25.scores(t.questions(spark, sf_dir), t.chunks(spark, sf_dir)).select("query_id", "chunk_id", F.round("score", 5).alias("score"))
+    return bm25.scores(t.questions(spark, sf_dir), t.bm25_index(spark, sf_dir)).select("query_id", "chunk_id", F.round("score", 5).alias("score"))
 
 
 def bm25_topk(spark, sf_dir):
-    return bm25.top_chunks(t.questions(spark, sf_dir), t.chunks(spark, sf_dir)).select("query_id", "rank", "chunk_id", F.round("score", 5).alias("score"))
+    return bm25.top_chunks(t.questions(spark, sf_dir), t.bm25_index(spark, sf_dir)).select("query_id", "rank", "chunk_id", F.round("score", 5).alias("score"))
 
 
 def bm25_batch_scores(spark, sf_dir):
     only = t.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id")).distinct()
-    return bm25.scores(t.questions(spark, sf_dir), t.chunks(spark, sf_dir), only=only).select("query_id", "chunk_id", F.round("score", 5).alias("score"))
+    return bm25.scores(t.questions(spark, sf_dir), t.bm25_index(spark, sf_dir), only=only).select("query_id", "chunk_id", F.round("score", 5).alias("score"))
 
 
 def _nearest(spark, sf_dir, strategy):
@@ -71,7 +84,7 @@ def is_relative(spark, sf_dir):
 
 def _both(spark, sf_dir):
     """Sparse and dense lists of the benchmark questions; a question's vector is the one of its number."""
-    sparse = bm25.top_chunks(t.questions(spark, sf_dir), t.chunks(spark, sf_dir), 10)
+    sparse = bm25.top_chunks(t.questions(spark, sf_dir), t.bm25_index(spark, sf_dir), 10)
     items = t.questions(spark, sf_dir).select("query_id").join(t.vectors(spark, sf_dir).withColumnRenamed("chunk_id", "query_id"), "query_id")
     return sparse, dense.nearest(items, t.vectors(spark, sf_dir), 10, "ip")
 
@@ -107,12 +120,11 @@ dense AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY quer
 
 
 def entities(spark, sf_dir):
-    """The first two words of each benchmark item are an entity; eids follow their order."""
-    w = F.split(F.lower("text"), " ")
-    named = t.table(spark, sf_dir, "benchmark").select(F.concat_ws(" ", F.get(w, 0), F.get(w, 1)).alias("entity")).distinct()
-    from pyspark.sql.window import Window
-
-    return named.select((F.row_number().over(Window.orderBy("entity")) - 1).cast("long").alias("eid"), "entity")
+    """Words of the benchmark items with nine letters and more are entities; eids follow their order."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0))
+    named = t.table(spark, sf_dir, "benchmark").select(F.explode(found).alias("entity")).distinct()
+    # Names are numbered by their hash's order in ranges, then by name, without a single task for all of them.
+    return numbered(named.withColumn("_k", F.ascii("entity") * 256 + F.ascii(F.substring("entity", 2, 1))), "_k", ["entity"], "eid").select((F.col("eid") - 1).cast("long").alias("eid"), "entity")
 
 
 def _hits(spark, sf_dir):
@@ -133,7 +145,7 @@ def entity_retrieve(spark, sf_dir):
 
 
 ENTITY_CTE = """
-named AS (SELECT DISTINCT split_part(lower(text), ' ', 1) || CASE WHEN len(string_split(text, ' ')) > 1 THEN ' ' || split_part(lower(text), ' ', 2) ELSE '' END AS entity FROM benchmark),
+named AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS entity FROM benchmark),
 entities AS (SELECT CAST(row_number() OVER (ORDER BY entity) - 1 AS BIGINT) AS eid, entity FROM named),
 hits AS (SELECT doc_id AS chunk_id, eid FROM documents, entities WHERE contains(lower(text), entity))"""
 
@@ -198,12 +210,18 @@ curve AS (SELECT threshold, tp, fp, CASE WHEN tp + fp = 0 THEN 0 ELSE CAST(tp AS
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_corpus_stats, bm25_idf, bm25_scores, bm25_topk, bm25_batch_scores, dense_topk_l2, dense_topk_ip, dense_threshold, is_relative, hybrid_rrf, hybrid_weighted,
+        bm25_corpus_stats, bm25_index, bm25_keywords, bm25_idf, bm25_scores, bm25_topk, bm25_batch_scores, dense_topk_l2, dense_topk_ip, dense_threshold, is_relative, hybrid_rrf, hybrid_weighted,
         entity_parse, inverted_index, entity_retrieve, kg_two_hop, kg_score, kg_edge_dedup, pr_curve, best_throttle, max_f1, threshold_sweep,
     )
 }
 ORACLE = {
     "bm25_corpus_stats": f"WITH {BM25_CTE} SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM dfs) AS n_terms, (SELECT CAST(sum(df) AS BIGINT) FROM dfs) AS n_postings FROM stats",
+    "bm25_index": f"WITH {BM25_CTE} SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS tf, CAST(sum(len(ws)) AS BIGINT) AS dl, round(any_value(idf), 6) AS idf FROM tf JOIN chunks USING (chunk_id) JOIN idf USING (term) GROUP BY term",
+    "bm25_keywords": r"""WITH w AS (SELECT doc_id, lower(text) AS low, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents),
+f AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM w), d AS (SELECT doc_id, w, min(i) AS i FROM f GROUP BY ALL),
+k AS (SELECT doc_id, w FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(w) DESC, i) <= 20),
+a AS (SELECT doc_id, w FROM k UNION SELECT doc_id, low FROM w WHERE low IS NOT NULL)
+SELECT doc_id AS chunk_id, count(*) AS terms, count(*) AS dl, min(w) AS first_term FROM a GROUP BY doc_id""",
     "bm25_idf": f"WITH {BM25_CTE} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "bm25_scores": f"WITH {SCORES_CTE} SELECT query_id, chunk_id, round(score, 5) AS score FROM scores",
     "bm25_topk": f"WITH {SCORES_CTE}, {TOP_SQL} SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 5) AS score FROM ranked WHERE rank <= 5 AND best >= 1e-5",

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import ranking, stats
+from lodestone.operators import fuse, ranking, stats
+from lodestone.operators.bounded import small_side
 from lodestone.plans import tables as t
 
 #: An ordered list of domains that searches prefer.
@@ -40,9 +41,7 @@ def score_parse(spark, sf_dir):
 
 def score_gates(spark, sf_dir):
     """Gates of the serial pipeline over scores in events: relevance, answer, security."""
-    n = tx.score_of(F.col("props"), 10)
-    code = F.when(n < 5, "UNRELATED").when(n >= 90, "SECURITY").when(n >= 80, "BAD_ANSWER").otherwise("SUCCESS")
-    return t.events(spark, sf_dir).select("event_id", code.alias("code"))
+    return t.events(spark, sf_dir).select("event_id", tx.pipeline_code(tx.score_of(F.col("props"), 10)).alias("code"))
 
 
 def content_hash(spark, sf_dir):
@@ -50,7 +49,7 @@ def content_hash(spark, sf_dir):
 
 
 def image_names(spark, sf_dir):
-    return t.table(spark, sf_dir, "pages").select("page_id", F.substring(F.md5("url"), 1, 6).alias("uuid"))
+    return t.table(spark, sf_dir, "pages").select("page_id", tx.image_name(F.concat("url", F.lit("/a.png"))).alias("name"))
 
 
 def model_bucket(spark, sf_dir):
@@ -121,7 +120,7 @@ def token_accounting(spark, sf_dir):
 def min_article(spark, sf_dir):
     """Articles at least four times as long as their question: documents of a question's number."""
     q = t.questions(spark, sf_dir).select(F.col("query_id").alias("doc_id"), F.length("text").alias("q"))
-    return _docs(spark, sf_dir).join(F.broadcast(q), "doc_id").where(F.length("text") >= 4 * F.col("q")).select("doc_id")
+    return _docs(spark, sf_dir).join(small_side(q), "doc_id").where(F.length("text") >= 4 * F.col("q")).select("doc_id")
 
 
 def filename_validity(spark, sf_dir):
@@ -165,10 +164,10 @@ def semi_badcase(spark, sf_dir):
 
 def union_retrievers(spark, sf_dir):
     """Outputs of three retrievers, one behind the other, their order kept in source_rank."""
-    top = t.questions(spark, sf_dir).select(F.col("query_id").alias("id"), F.lit("text2vec").alias("retriever"), F.lit(0).alias("source_rank"))
-    inv = _labelled(spark, sf_dir, 1).select(F.col("doc_id").alias("id"), F.lit("inverted").alias("retriever"), F.lit(1).alias("source_rank"))
-    web = t.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("web").alias("retriever"), F.lit(2).alias("source_rank"))
-    return top.unionByName(inv).unionByName(web)
+    top = t.questions(spark, sf_dir).select(F.col("query_id").alias("id"), F.lit("text2vec").alias("retriever"))
+    inv = _labelled(spark, sf_dir, 1).select(F.col("doc_id").alias("id"), F.lit("inverted").alias("retriever"))
+    web = t.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("web").alias("retriever"))
+    return fuse.united(top, inv, web)
 
 
 def except_deleted(spark, sf_dir):
@@ -238,7 +237,7 @@ ORACLE = {
     "score_parse": f"SELECT event_id, coalesce({SCORE}, 10) AS score, CAST(10 AS BIGINT) AS fallback FROM events",
     "score_gates": f"SELECT event_id, CASE WHEN s < 5 THEN 'UNRELATED' WHEN s >= 90 THEN 'SECURITY' WHEN s >= 80 THEN 'BAD_ANSWER' ELSE 'SUCCESS' END AS code FROM (SELECT event_id, coalesce({SCORE}, 10) AS s FROM events)",
     "content_hash": "SELECT doc_id, substr(sha256(text), 1, 8) AS hash8, substr(sha256(text), 1, 6) AS hash6, CASE WHEN length(source) >= 4 THEN right(source, 4) END AS suffix FROM documents",
-    "image_names": "SELECT page_id, substr(md5(url), 1, 6) AS uuid FROM pages",
+    "image_names": "SELECT page_id, substr(md5(url || '/a.png'), 1, 6) || '.png' AS name FROM pages",
     "model_bucket": f"SELECT doc_id, len_tokens AS tokens, CAST(CASE WHEN {RESERVE} <= 8192 THEN 8192 WHEN {RESERVE} <= 32768 THEN 32768 WHEN {RESERVE} <= 128000 THEN 128000 WHEN {RESERVE} <= 256000 THEN 256000 END AS INTEGER) AS context FROM (SELECT doc_id, length(text) // 2 AS len_tokens FROM documents)",
     "query_guards": "SELECT item_id AS query_id, CASE WHEN length(coalesce(text, '')) = 0 THEN 'empty' WHEN length(text) < 8 THEN 'too_short' WHEN length(text) > 512 THEN 'truncated' ELSE 'ok' END AS guard, CAST(length(substr(text, 1, 512)) AS INTEGER) AS kept FROM benchmark",
     "intention_gate": "SELECT event_id, CASE WHEN event_type IN ('view', 'error') THEN 'NOT_A_QUESTION' WHEN event_type LIKE '%sign%' OR event_type LIKE '%identity%' THEN 'NO_TOPIC' ELSE 'INIT' END AS code FROM events",

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.bounded import work_folder
+from lodestone.sources import index_store
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,3 +44,13 @@ def scored(spark, sf_dir) -> DataFrame:
     """Labelled documents with a score that depends on their length alone: score, label."""
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.round((F.col("n_chars") % 997).cast("double") / F.lit(997.0), 6)).alias("score"))
     return docs.join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "score", (F.col("quality") == 1).alias("label"))
+
+
+def bm25_index(spark, sf_dir):
+    """The stored BM25 index of the documents, built at first use."""
+    return index_store.bm25_of(chunks(spark, sf_dir), f"{sf_dir}/documents.parquet")
+
+
+def work(spark: SparkSession, name: str) -> str:
+    """A folder for what a query writes before it reads it back."""
+    return work_folder(spark, name)

@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import json
+import re
+import zipfile
+import zlib
+from collections.abc import Callable
 from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,29 +66,21 @@ def html_texts(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     return rows.withColumn("text", tx.normalised_space(F.col("text")))
 
 
-def decoded(files: DataFrame) -> DataFrame:
-    """files plus text, state, reason: texts of text, Markdown, HTML, code and CSV files; other types are slots that stay empty.
+def decoded(files: DataFrame, readers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """files plus text, state, reason: texts of text, Markdown, HTML, code, table, Word, slide and PDF files.
 
-    Bytes that are no UTF-8 are left out of code; white space is normalised everywhere else.
+    readers maps a type to a function from bytes to text that takes the place of the built-in one, or adds a type. Bytes that
+    are no UTF-8 are left out of code; white space is normalised everywhere else; what a reader cannot read has a null text.
     """
+    readers = {**READERS, **(readers or {})}
 
     def run(batches):
         for batch in batches:
             out = []
             for kind, content in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 try:
-                    raw = bytes(content or b"")
-                    if kind == "code":
-                        out.append(raw.decode("utf-8", "ignore"))
-                    elif kind == "html":
-                        out.append(html_text(raw.decode("utf-8")))
-                    elif kind in ("text", "md"):
-                        out.append(raw.decode("utf-8"))
-                    elif kind == "excel":
-                        out.append(csv_json(raw.decode("utf-8")))
-                    else:
-                        out.append(None)
-                except (UnicodeDecodeError, ValueError):
+                    out.append(readers[kind](bytes(content or b"")) if kind in readers else None)
+                except (UnicodeDecodeError, ValueError, KeyError, zipfile.BadZipFile, zlib.error, ElementTree.ParseError):
                     out.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["path", "text"])
 
@@ -92,16 +92,96 @@ def decoded(files: DataFrame) -> DataFrame:
 
 def csv_json(text: str) -> str:
     """A small table as {"column": {"0": value}} without the columns that lack a value."""
-    import csv
-    import io
-    import json
-
     rows = list(csv.DictReader(io.StringIO(text)))
     names = [n for n in (rows[0] if rows else []) if n is not None and all(r[n] not in (None, "") for r in rows)]
     number = lambda v: int(v) if v.lstrip("-").isdigit() else v
     return json.dumps({n: {str(i): number(r[n]) for i, r in enumerate(rows)} for n in names}, ensure_ascii=False)
 
 
+def _xml_texts(raw: bytes, pattern: str, block: str, word: str) -> list[str]:
+    """Texts of the blocks of a zipped XML document: parts whose names match pattern, in order of their numbers."""
+    number = lambda n: [int(x) for x in re.findall(r"\d+", n)]
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        parts = sorted((n for n in z.namelist() if re.fullmatch(pattern, n)), key=number)
+        if not parts:
+            raise ValueError("no such document")
+        trees = [ElementTree.fromstring(z.read(n)) for n in parts]
+    return ["".join(t.text or "" for t in b.iter() if t.tag.endswith("}" + word)) for tree in trees for b in tree.iter() if b.tag.endswith("}" + block)]
+
+
+def word_text(raw: bytes) -> str:
+    """The paragraphs of a Word document, a line each."""
+    return "\n".join(_xml_texts(raw, r"word/document\.xml", "p", "t"))
+
+
+def slide_text(raw: bytes) -> str:
+    """The paragraphs of all slides, with spaces between them."""
+    return " ".join(x for x in _xml_texts(raw, r"ppt/slides/slide\d+\.xml", "p", "t") if x)
+
+
+def sheet_json(raw: bytes) -> str:
+    """The first sheet of a workbook as csv_json gives a table; a file that is no workbook is read as CSV."""
+    if raw[:2] != b"PK":
+        return csv_json(raw.decode("utf-8"))
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        names = z.namelist()
+        text = lambda e: "".join(t.text or "" for t in e.iter() if t.tag.endswith("}t"))
+        strings = [text(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if e.tag.endswith("}si")] if "xl/sharedStrings.xml" in names else []
+        sheet = ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml"))
+    rows = []
+    for row in (e for e in sheet.iter() if e.tag.endswith("}row")):
+        cells: dict[int, str] = {}
+        for c in (e for e in row if e.tag.endswith("}c")):
+            at = 0
+            for letter in re.match("[A-Z]*", c.get("r", ""))[0]:
+                at = at * 26 + ord(letter) - 64
+            value = next((v.text or "" for v in c if v.tag.endswith("}v")), None)
+            cells[(at or len(cells) + 1) - 1] = strings[int(value)] if c.get("t") == "s" and value else text(c) if c.get("t") == "inlineStr" else value or ""
+        rows.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
+    out = io.StringIO()
+    csv.writer(out).writerows(rows)
+    return csv_json(out.getvalue())
+
+
+def pdf_text(raw: bytes) -> str:
+    """The text that a PDF's pages show in plain strings, in the order of its streams. Fonts with encodings of their own need another reader."""
+    if not raw.startswith(b"%PDF"):
+        raise ValueError("no PDF")
+    lines = []
+    for m in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", raw, re.S):
+        body = m[1]
+        if b"/FlateDecode" in raw[max(0, m.start() - 400) : m.start()]:
+            body = zlib.decompress(body)
+        for block in re.findall(rb"BT(.*?)ET", body, re.S):
+            shown = re.findall(rb"\(((?:\\.|[^\\()])*)\)", block, re.S)
+            lines.append(b"".join(re.sub(rb"\\([()\\])", rb"\1", s) for s in shown).decode("latin-1"))
+    return "\n".join(lines)
+
+
+READERS: dict[str, Callable[[bytes], str]] = {
+    "text": lambda raw: raw.decode("utf-8"),
+    "md": lambda raw: raw.decode("utf-8"),
+    "html": lambda raw: html_text(raw.decode("utf-8")),
+    "code": lambda raw: raw.decode("utf-8", "ignore"),
+    "excel": sheet_json,
+    "word": word_text,
+    "ppt": slide_text,
+    "pdf": pdf_text,
+}
+
+
+def table_json(table: DataFrame, key: str, block: int = 10_000) -> DataFrame:
+    """column, block, value: each column of a table that lacks no value, as JSON of its values by row number (column key), block rows a row."""
+    names = [c for c in complete_columns(table).columns if c != key]
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in names])
+    return table.select(key, F.inline(pairs)).groupBy("column", F.floor(F.col(key) / block).alias("block")).agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key), F.col("v")))))).alias("value"))
+
+
+def files_text(files: DataFrame) -> DataFrame:
+    """hash, text, n_files, first_path: each content once under its hash, so that no file is copied. files: path, text."""
+    return files.where("text is not null").groupBy(tx.short_hash(F.col("text"), 64).alias("hash")).agg(F.first("text").alias("text"), F.count("*").alias("n_files"), F.min("path").alias("first_path"))
+
+
 def complete_columns(table: DataFrame) -> DataFrame:
     """table without the columns that hold a null, by one aggregate."""
     nulls = table.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in table.columns]).first()

@@ -1,4 +1,4 @@
-"""Indexes as Parquet tables in a folder: chunks, dense, bm25, entities; written once, overwritten as a whole."""
+"""Indexes as Parquet tables in a folder: chunks, dense, bm25, entities; written once, overwritten as a whole, read by the queries."""
 
 from __future__ import annotations
 
@@ -6,30 +6,90 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import bm25, entity
+from lodestone.operators.bounded import work_folder
+
+_built: dict[tuple, str] = {}
+
+
+def write_bm25(folder: str, chunks: DataFrame, p: bm25.Bm25 = bm25.Bm25(), tokens: bm25.Tokenizer = bm25.words) -> None:
+    """The BM25 index of chunks (chunk_id, text) under folder/bm25, by one pass over the texts; postings and terms lie in order of their terms."""
+    spark = chunks.sparkSession
+    held = bm25.postings(chunks, tokens=tokens).select("term", "chunk_id", "tf", "dl")
+    held.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/bm25/postings")
+    held = spark.read.parquet(f"{folder}/bm25/postings")
+    bm25.corpus_stats(chunks, held).write.mode("overwrite").parquet(f"{folder}/bm25/stats")
+    stats = spark.read.parquet(f"{folder}/bm25/stats")
+    bm25.idf(bm25.document_frequencies(held), stats, p).write.mode("overwrite").parquet(f"{folder}/bm25/idf")
+
+
+def read_bm25(spark: SparkSession, folder: str, ids: DataFrame) -> bm25.Index:
+    """A stored index; ids: chunk_id of all chunks."""
+    part = lambda name: spark.read.parquet(f"{folder}/bm25/{name}")
+    return bm25.Index(part("postings"), part("idf"), part("stats"), ids)
+
+
+def bm25_of(chunks: DataFrame, source: str) -> bm25.Index:
+    """The stored index of chunks, built at the first call for these source files (by path, length and time) in this application."""
+    spark = chunks.sparkSession
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(source)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    info = fs.listStatus(path)
+    key = (spark.sparkContext.applicationId, source, *[(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in info])
+    if key not in _built:
+        folder = f"{work_folder(spark, 'index')}"
+        write_bm25(folder, chunks)
+        _built[key] = folder
+    return read_bm25(spark, _built[key], chunks.select("chunk_id"))
 
 
 def write_index(folder: str, chunks: DataFrame, vectors: DataFrame | None = None, entities: DataFrame | None = None, strategy: str = "l2") -> None:
-    """chunks: chunk_id, text and any metadata; vectors: chunk_id, embedding; entities: eid, entity."""
+    """chunks: chunk_id, text and any metadata; vectors: chunk_id, embedding; entities: eid, entity. Strategy and dimension go to meta."""
     spark = chunks.sparkSession
     chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
     chunks = spark.read.parquet(f"{folder}/chunks")
-    bm25.postings(chunks).write.mode("overwrite").parquet(f"{folder}/bm25/postings")
-    bm25.doc_lengths(chunks).write.mode("overwrite").parquet(f"{folder}/bm25/doclen")
-    bm25.idf(chunks).write.mode("overwrite").parquet(f"{folder}/bm25/idf")
-    bm25.corpus_stats(chunks).write.mode("overwrite").parquet(f"{folder}/bm25/stats")
+    write_bm25(folder, chunks)
+    dim = 0
     if vectors is not None:
+        dim = (vectors.select(F.size("embedding").alias("n")).first() or [0])[0]
         vectors.write.mode("overwrite").parquet(f"{folder}/dense")
     if entities is not None:
         entities.write.mode("overwrite").parquet(f"{folder}/entities/names")
         entity.inverted_lists(entity.entity_hits(chunks, entities)).write.mode("overwrite").parquet(f"{folder}/entities/chunks")
-    spark.createDataFrame([(strategy,)], "strategy string").write.mode("overwrite").json(f"{folder}/meta")
+    spark.createDataFrame([(strategy, dim)], "strategy string, dim int").write.mode("overwrite").json(f"{folder}/meta")
 
 
-def read_index(spark: SparkSession, folder: str, part: str) -> DataFrame:
-    """A table of the index: chunks, dense, bm25/idf, entities/names and so on."""
+def read_index(spark: SparkSession, folder: str, part: str, strategy: str | None = None, dim: int | None = None) -> DataFrame:
+    """A table of the index: chunks, dense, bm25/idf, entities/names and so on. Raises if it was built for another strategy or dimension."""
+    meta = spark.read.schema("strategy string, dim int").json(f"{folder}/meta").first()
+    if strategy is not None and meta["strategy"] != strategy:
+        raise ValueError(f"the index was built for {meta['strategy']}, not {strategy}")
+    if dim is not None and meta["dim"] != dim:
+        raise ValueError(f"the index holds vectors of {meta['dim']} dimensions, not {dim}")
     return spark.read.parquet(f"{folder}/{part}")
 
 
+def looked_up(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """keys with the columns of the rows of table that have their key: a point lookup as a join, the smaller side broadcast if it is checked to be small."""
+    return keys.join(table, key, "left")
+
+
+def per_group(rows: DataFrame, group: str, least: int, folder: str) -> None:
+    """A folder for each group of at least least rows."""
+    big = rows.groupBy(group).count().where(F.col("count") >= least).select(group)
+    rows.join(big, group, "left_semi").repartition(group).write.mode("overwrite").partitionBy(group).parquet(folder)
+
+
+def appended_json(rows: DataFrame, folder: str) -> None:
+    """Rows as JSON lines behind those that a folder has: sessions, trackers, logs."""
+    rows.write.mode("append").json(folder)
+
+
+def exported_hash(rows: DataFrame, prefix: str, key: list[str]) -> DataFrame:
+    """name, value of each row: the rows of a keyed store as JSON under prefix:key, as a dump has them."""
+    return rows.select(F.concat_ws(":", F.lit(prefix), *[F.col(k).cast("string") for k in key]).alias("name"), F.to_json(F.struct(*rows.columns)).alias("value"))
+
+
 def write_labelled(rows: DataFrame, folder: str) -> None:
     """Positive and negative questions in a folder each."""
     rows.write.mode("overwrite").partitionBy("label").json(folder)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.functions.text import without_quotes
+
 
 def qa_csv(spark: SparkSession, path: str) -> DataFrame:
     """content, qa, modal from a CSV file without header, first column the key, second the value."""
@@ -26,9 +28,9 @@ def _qa(rows: DataFrame) -> DataFrame:
 
 def objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON objects printed over several lines one behind the other, each closed by a line with } alone; bad ones are dropped."""
-    raw = spark.read.option("lineSep", "\n}\n").text(path)
-    whole = F.when(F.rtrim("value").endswith("}"), F.col("value")).otherwise(F.concat("value", F.lit("}")))
-    return raw.where("trim(value) <> ''").select(F.from_json(whole, schema, {"mode": "PERMISSIVE"}).alias("o")).where("o is not null").select("o.*").dropna("all")
+    raw = spark.read.option("lineSep", "\n}").text(path)  # nested braces are indented; what ends the line, CR or not, is white space
+    whole = F.concat("value", F.lit("}"))
+    return raw.where(F.regexp_replace("value", "\\s", "") != "").select(F.from_json(whole, schema, {"mode": "PERMISSIVE"}).alias("o")).where("o is not null").select("o.*").dropna("all")
 
 
 def string_list(texts: DataFrame, name: str = "value") -> DataFrame:
@@ -98,6 +100,19 @@ def chat_messages(raw: DataFrame, bot: str) -> DataFrame:
     )
 
 
+def closed_issues(issues: DataFrame) -> DataFrame:
+    """Issues (html_url, state) that are closed and no pull requests."""
+    return issues.where(F.contains("html_url", F.lit("issues")) & (F.col("state") == "closed"))
+
+
+def issue_markdown(issues: DataFrame, comments: DataFrame) -> DataFrame:
+    """name, md: one Markdown text for each issue (number, title, body), its comments (number, seq, text) behind it, quoted lines dropped."""
+    said = comments.groupBy("number").agg(F.sort_array(F.collect_list(F.struct("seq", without_quotes(F.col("text")).alias("t")))).alias("said"))
+    rows = issues.join(said, "number", "left")
+    below = F.coalesce(F.array_join(F.transform("said", lambda s: F.concat(F.lit("\n\n"), s["t"])), ""), F.lit(""))
+    return rows.select(F.concat(F.lit("issue-"), F.col("number"), F.lit(".md")).alias("name"), F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), without_quotes(F.coalesce("body", F.lit(""))), below).alias("md"))
+
+
 def is_revert(text: Column, commands: tuple[str, ...] = ("xrevert",)) -> Column:
     """Whether a message asks to take replies back: it contains one of the commands, in any case."""
     out = F.lit(False)

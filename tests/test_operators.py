@@ -27,11 +27,11 @@ def weather(spark):
 
 def test_bm25_golden(spark, weather):
     q = spark.createDataFrame([(1, "what is the weather"), (2, "zzz")], "query_id long, text string")
-    got = {(r.query_id, r.chunk_id): round(r.score, 6) for r in bm25.scores(q, weather).collect()}
+    got = {(r.query_id, r.chunk_id): round(r.score, 6) for r in bm25.scores(q, bm25.index(weather)).collect()}
     assert got == {(1, 1): 0.100424, (1, 2): 1.131114}
-    assert bm25.idf(weather).count() == 14
-    assert round(bm25.idf(weather).where("term = 'is'").first().idf, 6) == 0.109463
-    top = values(bm25.top_chunks(q, weather, 3), "query_id", "rank", "chunk_id")
+    assert bm25.index(weather).terms.count() == 14
+    assert round(bm25.index(weather).terms.where("term = 'is'").first().idf, 6) == 0.109463
+    top = values(bm25.top_chunks(q, bm25.index(weather), 3), "query_id", "rank", "chunk_id")
     assert top == [(1, 1, 2), (1, 2, 1), (1, 3, 0)]
 
 
@@ -227,11 +227,9 @@ def plain_context(chunks, budget):
     for content, source, text in firsts:
         before = sum(len(x[2]) + 1 for x in whole)
         if before + len(text) > budget:
-            room = budget - before
-            window = max((text[a : a + room] for a in range(len(text)) if text[a : a + room].endswith(content) and len(text[a : a + room]) == room), key=lambda x: -text.find(x), default=None) if room > 0 else None
-            return "".join(x[2] + "\n" for x in whole), source, window
+            return "".join(x[2] + "\n" for x in whole), source
         whole.append((content, source, text))
-    return "".join(x[2] + "\n" for x in whole), None, None
+    return "".join(x[2] + "\n" for x in whole), None
 
 
 def test_context_against_a_plain_walk():
@@ -240,7 +238,7 @@ def test_context_against_a_plain_walk():
         chunks = [(w := rng.choice(["qq", "zz", "xy"]), rng.choice("ABC"), "".join(rng.choices("abc", k=rng.randrange(20))) + w + "d" * rng.randrange(4)) for _ in range(rng.randrange(6))]
         budget = rng.randrange(1, 60)
         _, context, refs, texts = fuse.fused_context(chunks, budget)
-        whole, cut, _ = plain_context(chunks, budget)
+        whole, cut = plain_context(chunks, budget)
         assert context.startswith(whole[:budget]) and len(context) <= budget
         assert refs == list(dict.fromkeys(c[1] for c in chunks))[: len(refs)] and (cut is None or refs[-1] == cut)
         if cut is not None and len(whole) < budget:
@@ -321,7 +319,16 @@ def test_qa_and_records(spark, tmp_path):
 
 def test_index_store(spark, weather, tmp_path):
     index_store.write_index(str(tmp_path / "i"), weather, entities=spark.createDataFrame([(0, "weather")], "eid long, entity string"))
-    assert index_store.read_index(spark, str(tmp_path / "i"), "bm25/idf").count() == 14
+    assert index_store.read_index(spark, str(tmp_path / "i"), "bm25/idf", "l2", 0).count() == 14
+    for wrong in ({"strategy": "ip"}, {"dim": 64}):
+        with pytest.raises(ValueError):
+            index_store.read_index(spark, str(tmp_path / "i"), "chunks", **wrong)
+    q = spark.createDataFrame([(0, "weather is")], "query_id long, text string")
+    stored = index_store.read_bm25(spark, str(tmp_path / "i"), weather.select("chunk_id"))
+    assert values(bm25.scores(q, stored), "chunk_id", "score") == values(bm25.scores(q, bm25.index(weather)), "chunk_id", "score")
+    rows = spark.createDataFrame([("q1", True), ("q2", False)], "text string, label boolean")
+    index_store.write_labelled(rows, str(tmp_path / "l"))
+    assert spark.read.json(str(tmp_path / "l" / "label=true")).count() == 1
     r = spark.createDataFrame([("q1", "a")], "query string, result string")
     assert index_store.cached_results(r, str(tmp_path / "c")).count() == 1
     assert index_store.cached_results(r, str(tmp_path / "c")).count() == 1
@@ -387,3 +394,78 @@ def test_topics(spark):
     got = topics.topics_of(words, bag, model, 0.5)
     assert got.groupBy("topic").count().count() == 2 and got.count() == 20
     assert topics.topic_terms(bag, model, 3).count() >= 4
+
+
+def test_stored_index_is_built_once_for_a_file(spark, tmp_path):
+    spark.createDataFrame([(1, "a b"), (2, None)], "chunk_id long, text string").write.parquet(str(tmp_path / "d"))
+    of = lambda: index_store.bm25_of(spark.read.parquet(str(tmp_path / "d")), str(tmp_path / "d"))
+    first = of()
+    assert first.stats.first().avgdl == 1.0 and of().terms.inputFiles() == first.terms.inputFiles()
+    spark.createDataFrame([(3, "c")], "chunk_id long, text string").write.mode("append").parquet(str(tmp_path / "d"))
+    assert {r.term for r in of().terms.collect()} == {"a", "b", "c"}
+
+
+def test_concatenated_objects_of_any_line_end(spark, tmp_path):
+    for name, end in (("lf", "\n"), ("crlf", "\r\n")):
+        (tmp_path / name).write_bytes(end.join(["{", '  "id": 1,', '  "o": {', '    "x": 2', "  }", "}", "{", '  "id": 2', "}", ""]).encode())
+        assert values(records.objects(spark, str(tmp_path / name), "id int, o struct<x:int>"), "id") == [(1,), (2,)]
+
+
+def test_office_files(spark, tmp_path):
+    import io
+    import zipfile
+    import zlib
+
+    def zipped(**parts):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, xml in parts.items():
+                z.writestr(name.replace("__", "/") + ".xml", xml)
+        return out.getvalue()
+
+    w = "xmlns:w='urn:w'"
+    (tmp_path / "a.docx").write_bytes(zipped(word__document=f"<w:d {w}><w:p><w:r><w:t>One </w:t><w:t>line</w:t></w:r></w:p><w:p><w:t>Two</w:t></w:p></w:d>"))
+    (tmp_path / "b.pptx").write_bytes(zipped(ppt__slides__slide10=f"<w:d {w}><w:p><w:t>last</w:t></w:p></w:d>", ppt__slides__slide2=f"<w:d {w}><w:p><w:t>first</w:t></w:p><w:p/></w:d>"))
+    sheet = f"<w:s {w}><w:row><w:c r='A1' t='s'><w:v>0</w:v></w:c><w:c r='C1' t='inlineStr'><w:t>holes</w:t></w:c><w:c r='B1' t='s'><w:v>1</w:v></w:c></w:row><w:row><w:c r='A2'><w:v>7</w:v></w:c><w:c r='B2' t='s'><w:v>2</w:v></w:c></w:row></w:s>"
+    (tmp_path / "c.xlsx").write_bytes(zipped(xl__sharedStrings=f"<w:s {w}><w:si><w:t>id</w:t></w:si><w:si><w:t>name</w:t></w:si><w:si><w:t>x</w:t></w:si></w:s>", xl__worksheets__sheet1=sheet))
+    page = zlib.compress(b"BT (Hello \\(PDF\\)) Tj ET")
+    (tmp_path / "d.pdf").write_bytes(b"%PDF-1.4\n1 0 obj << /Filter /FlateDecode >>\nstream\n" + page + b"\nendstream\n%%EOF")
+    (tmp_path / "e.docx").write_bytes(b"broken")
+    got = {r.basename: r for r in files.decoded(files.scan(spark, str(tmp_path))).collect()}
+    assert [got[n].text for n in ("a.docx", "b.pptx", "c.xlsx", "d.pdf", "e.docx")] == ["One line\nTwo", "first last", '{"id": {"0": 7}, "name": {"0": "x"}}', "Hello (PDF)", None]
+    mine = {r.basename: r.text for r in files.decoded(files.scan(spark, str(tmp_path)), {"pdf": lambda raw: "own"}).collect()}
+    assert mine["d.pdf"] == "own"
+
+
+def test_two_texts_of_chunks(spark):
+    rows = spark.createDataFrame([(1, 1, "text", "http://a", "c", None), (1, 2, "qa", "f", "q", "q: a"), (1, 3, "text", "f", "c", None), (1, 4, "text", "gone", "c", None)], "query_id long, rank long, modal string, source string, content string, qa string")
+    got = fuse.with_source_text(rows, spark.createDataFrame([("f", "whole")], "source string, file_text string"))
+    assert values(got, "rank", "text") == [(1, "c"), (2, "q: a"), (3, "whole"), (4, None)]
+
+
+def test_failed_calls(spark):
+    from lodestone.functions import slots
+
+    calls = []
+
+    def call(x):
+        calls.append(x)
+        if len(calls) < 3:
+            raise TimeoutError
+        return x
+
+    assert slots.with_retries(call, 3, 0.0)("a") == "a" and len(calls) == 3
+    with pytest.raises(TimeoutError):
+        slots.with_retries(lambda x: (_ for _ in ()).throw(TimeoutError()), 2, 0.0)("a")
+
+
+def test_references_are_left_out_of_merging(spark):
+    rows = [(1, 1, "a", "x", 0, "normal"), (1, 2, "b", "ref", 1, "ref"), (1, 3, "a", "y", 2, "normal")]
+    m = spark.createDataFrame(rows, "group_id long, id long, sender string, text string, t long, show string").withColumn("ts", F.timestamp_seconds("t"))
+    assert values(chat.merged_messages(m), "sender", "text") == [("a", "x\ny")]
+
+
+def test_truth_needs_single_keys(spark):
+    truth = spark.createDataFrame([(1, True), (1, False)], "k long, truth boolean")
+    with pytest.raises(ValueError):
+        calibrate.with_truth(truth, truth.withColumnRenamed("truth", "predicted"), ["k"])

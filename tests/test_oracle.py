@@ -1,11 +1,13 @@
 """Every registered query of the library's own operators against its SQL twin, in DuckDB, on the smallest tables."""
 
 import os
+from collections import Counter
 
 import duckdb
 import pandas as pd
 import pytest
 
+from lodestone.operators import splitters
 from lodestone.plans import registry
 
 QUERIES, ORACLE = registry.queries(), registry.oracle_sql()
@@ -35,11 +37,36 @@ def test_matches_sql(spark, sf, duck, name):
     assert rows_of(mine) == rows_of(other)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
-def test_runs_whole(spark, sf, name):
-    df = QUERIES[name](spark, sf)
-    assert len(set(df.columns)) == len(df.columns)
-    assert df.count() >= 0
+def docs_of(spark, sf):
+    return {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+
+@pytest.mark.parametrize(("name", "split"), [("split_recursive", splitters.recursive), ("split_cjk", splitters.chinese)])
+def test_splits_are_the_function_of_each_text(spark, sf, name, split):
+    want = [(i, n, c) for i, r in docs_of(spark, sf).items() for n, c in enumerate(split(r.text) if r.text else [])]
+    got = [(r.doc_id, r.pos, r.chunk) for r in QUERIES[name](spark, sf).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 100
+
+
+def test_split_markdown_is_the_function_of_each_text(spark, sf):
+    want = []
+    for i, r in docs_of(spark, sf).items():
+        marked = "# " + r.source + "\n" + (r.text or "").replace("\n", "\n\n## ") if r.text is not None else ""
+        want += [(i, n, c["modal"], c["content"]) for n, c in enumerate(splitters.markdown(marked, r.source + ".md"))]
+    assert sorted((r.doc_id, r.pos, r.modal, r.content) for r in QUERIES["split_markdown"](spark, sf).collect()) == sorted(want)
+
+
+def test_topics_share_documents(spark, sf):
+    got = QUERIES["topics_lda"](spark, sf).collect()
+    of_doc = Counter()
+    for r in got:
+        assert 0.1 < r.share <= 1 and 0 <= r.topic < 20
+        of_doc[r.doc_id] += r.share
+    assert set(of_doc) <= set(docs_of(spark, sf)) and len(of_doc) > 100 and max(of_doc.values()) <= 1 + 1e-6
+
+
+def test_every_query_is_held_against_something():
+    assert set(QUERIES) - set(ORACLE) == {"split_recursive", "split_cjk", "split_markdown", "topics_lda"}
 
 
 def test_entry(spark):

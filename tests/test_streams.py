@@ -45,3 +45,35 @@ def test_matched_and_reverted_batch(spark):
     sent = spark.createDataFrame([("g", 1, 0), ("g", 2, 100)], "group_id string, id long, t long").select("group_id", "id", F.timestamp_seconds("t").alias("ts"))
     cmd = spark.createDataFrame([("g", 150)], "group_id string, t long").select("group_id", F.timestamp_seconds("t").alias("ts"))
     assert [r.id for r in chats.reverted(sent, cmd).collect()] == [2]
+
+
+def test_stream_stream_match(spark, tmp_path):
+    for name, rows in (("a", [{"store": "s", "query_id": i, "ts": f"2024-01-01T00:00:{i:02d}"} for i in range(5)]), ("b", [{"store": "s", "query_id": i, "reply": "r", "ts": f"2024-01-01T00:01:{i:02d}"} for i in range(3)])):
+        (tmp_path / name).mkdir()
+        drop(tmp_path / name, rows)
+    a = chats.read_messages(spark, str(tmp_path / "a"), "store string, query_id long, ts string", late=None)
+    b = chats.read_messages(spark, str(tmp_path / "b"), "store string, query_id long, reply string, ts string", late=None)
+    assert sorted(r.query_id for r in run(chats.matched(a, b), "matched", tmp_path, spark)) == [0, 1, 2]
+
+
+def test_dispatch_and_replies(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    drop(tmp_path / "in", [{"type": k, "id": i, "ts": f"2024-01-01T00:00:{i:02d}"} for i, k in enumerate(["chat", "add_doc", "chat", "update_sample"])])
+    tasks = lambda: chats.read_messages(spark, str(tmp_path / "in"), "type string, id long, ts string")
+    seen = []
+    handlers = {k: (lambda df, n, k=k: seen.append((k, sorted(r.id for r in df.collect())))) for k in ("add_doc", "update_sample", "chat")}
+    chats.dispatch(tasks(), handlers, str(tmp_path / "ck")).awaitTermination(120)
+    assert seen == [("add_doc", [1]), ("update_sample", [3]), ("chat", [0, 2])]
+    out = str(tmp_path / "sent")
+
+    def send(rows, out=out):
+        with open(f"{out}-{rows[0]['id']}", "w") as f:
+            f.write(str(len(rows)))
+
+    chats.replies_to(tasks(), send, str(tmp_path / "ck2")).awaitTermination(120)
+    assert sum(int(p.read_text()) for p in tmp_path.glob("sent-*")) == 4
+
+
+def test_drained_stream_without_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    assert chats.drained(chats.read_messages(spark, str(tmp_path / "in"), "id long, ts string")).count() == 0
