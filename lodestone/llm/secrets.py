@@ -164,4 +164,25 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_secret_scan": op3_secret_scan}
-ORACLE: dict[str, str] = {}
+
+
+def _found_sql(kind: str, order: int, pattern: str) -> str:
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return f"SELECT doc_id, source, '{kind}' AS kind, {order} AS ord, regexp_extract_all(text, {quoted}) AS m, regexp_split_to_array(text, {quoted}) AS g FROM d"
+
+
+ORACLE = {
+    "op3_secret_scan": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source FROM documents),
+a AS ({" UNION ALL ".join(_found_sql(k, n, p) for n, (k, p) in enumerate([("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("owned", WIDE)]))}),
+f AS (SELECT doc_id, source, kind, ord, unnest(m) AS v, unnest(range(1, len(m) + 1)) AS i, m, g FROM a),
+p AS (SELECT doc_id, source, kind, ord, v, CAST(coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM f),
+q AS (SELECT *, a + length(v) AS b, CASE WHEN kind = 'assign' THEN regexp_extract(v, '{ASSIGN.replace("'", "''")}', 2) ELSE v END AS secret FROM p),
+base AS (SELECT * FROM q WHERE kind <> 'owned' AND (kind <> 'assign' OR length(secret) >= {ASSIGN_LEAST})),
+wide AS (SELECT * FROM q WHERE kind = 'owned' AND length(regexp_replace(v, '[^0-9]', '', 'g')) >= 3 AND length(regexp_replace(v, '[^A-Za-z]', '', 'g')) >= 3
+  AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = q.doc_id AND base.a < q.b AND q.a < base.b)),
+allc AS (SELECT * FROM base UNION ALL SELECT * FROM wide), held AS (SELECT secret, count(DISTINCT source) >= {EXAMPLE_OWNERS} AS example FROM allc GROUP BY secret),
+spans AS (SELECT * FROM allc JOIN held USING (secret) WHERE kind <> 'owned' OR NOT example),
+n AS (SELECT doc_id, count_if(kind = 'assign') AS n_assign, count_if(kind = 'access') AS n_access, count_if(kind = 'hex') AS n_hex, sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ord) FILTER (kind <> 'owned'), '')) AS base_sha256,
+  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ord) AS spans, count_if(NOT example) AS n_live FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, CAST(coalesce(n_live, 0) AS BIGINT) AS n_live FROM d LEFT JOIN n USING (doc_id)""",
+}

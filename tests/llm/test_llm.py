@@ -815,7 +815,8 @@ def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    now = docs
+    planted = F.concat("text", F.lit(" password: live"), F.col("doc_id").cast("string"), F.lit("x1y2"))
+    now = docs.withColumn("text", F.when(F.col("doc_id") % 7 == 3, planted).otherwise(F.col("text")))
     for name, stage in corpus_pipeline.STAGES:
         new = stage(spark, now, sf)
         if name != corpus_pipeline.STAGES[-1][0]:
@@ -829,5 +830,45 @@ def test_pipeline_stages(spark, sf):
         if name == "decontamination":
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
             assert {r.doc_id for r in new.collect()} == {r.doc_id for r in now.collect() if not plain_hits(r.text, items)[1]}
+        if name == "language_id":
+            before = {r.doc_id: r for r in now.collect()}
+            kept = {r.doc_id: r for r in new.collect()}
+            assert set(kept) == {i for i, r in before.items() if any(map(str.isalpha, r.text or ""))}
+            assert all(kept[i].text == before[i].text and kept[i].lang == (before[i].lang or kept[i].lang) and kept[i].lang for i in kept)
+        if name == "secrets":
+            before, after = ({r.doc_id: r for r in x.collect()} for x in (now, new))
+            assert set(before) == set(after)
+            owners = defaultdict(set)
+            spans = {i: [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in filter(None, plain_secrets(r.text or "").split(",")))] for i, r in before.items()}
+            value = lambda i, k, a, b: re.search(r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(.*)""", before[i].text[a:b])[1] if k == "assign" else before[i].text[a:b]
+            for i, found in spans.items():
+                for s in found:
+                    owners[value(i, *s)].add(before[i].source)
+            changed = 0
+            for i, found in spans.items():
+                live = [s for s in found if len(owners[value(i, *s)]) < 5]
+                changed += bool(live)
+                if not live:
+                    assert after[i].text == before[i].text
+                for s in live:
+                    assert value(i, *s) not in after[i].text
+                assert after[i].n_chars == len(after[i].text) or after[i].text == before[i].text
+            assert changed > 0
+        if name == "tokens":
+            import sentencepiece
+
+            sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
+            before = {r.doc_id: r.text for r in now.collect()}
+            assert {r.doc_id: list(r.ids) for r in new.collect()} == {i: [*sp.encode(t or ""), sp.eos_id()] for i, t in before.items()}
         now = spark.createDataFrame(new.collect(), new.schema)
     assert {"doc_id", "ids", "n_tokens"} <= set(now.columns)
+
+
+def test_pipeline_of_an_empty_table(spark, sf, none):
+    import corpus_pipeline
+
+    now = none
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, sf)
+        assert now.count() == 0
+        now = spark.createDataFrame([], now.schema)
