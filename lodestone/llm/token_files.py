@@ -33,6 +33,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ MAGIC = b"LTOKv1\0\0"
 FOOTER = "<QQB32s8s"
 #: Bytes a table holds in each of its two generations, a key and its value counted with PER_ENTRY bytes of Python's own;
 #: longer keys than LONG characters are not kept.
-TABLE_BYTES, PER_ENTRY, LONG = 72 << 20, 150, 64
+TABLE_BYTES, PER_ENTRY, LONG = 112 << 20, 150, 64
 SAMPLE_ROWS, SAMPLE_IDS, DICT_BYTES = 1000, 16_000, 64 * 1024
 LEVEL = 3
 SHARD_ROWS = 40_000
@@ -61,7 +62,7 @@ _CUT = re.compile(r"(?= \S)")
 class Table(dict):
     """Values of make(key), kept for two generations of most bytes each."""
 
-    def __init__(self, make, most: int = TABLE_BYTES // 3):
+    def __init__(self, make, most: int = TABLE_BYTES // 5):
         self.make, self.before, self.held, self.most = make, {}, 0, most
 
     def __missing__(self, key):
@@ -134,35 +135,43 @@ class Encoder:
             return self.whole(text) + self.end
         if _UNSAFE.search(text):
             return b"".join([self.plain[p] for p in _CUT.split(text) if p]) + self.end
-        first, *rest = text.split(" ")
-        return (self.plain[first] if first else b"") + b"".join(self.behind_spaces(rest)) + self.end
+        parts = text.split(" ")
+        first = parts.pop(0)
+        return (self.plain[first] if first else b"") + self.behind_spaces(parts) + self.end
 
-    def behind_spaces(self, parts: list[str]) -> list[bytes]:
-        """The ids of parts, each behind a space. This is the hot loop: the table first, then what it lacks."""
+    def behind_spaces(self, parts: list[str]) -> bytes:
+        """The ids of parts, each behind a space. This is the hot loop: what the table lacks first, then all in one go."""
         near = self.near
-        try:
-            return [near[p] for p in parts]
-        except KeyError:
-            pass
-        far, tokenize, code, held, out = self.far, self.tokenize, self.code, self.held, []
-        for p in parts:
-            ids = near.get(p)
-            if ids is None:
+        if lacking := set(parts).difference(near):
+            far, tokenize, code, held, long = self.far, self.tokenize, self.code, self.held, []
+            for p in lacking:
                 ids = far.get(p)
                 if ids is None:
-                    if p.isalpha() and p.isascii():
-                        ids = array(code, [t.id for t in tokenize("\u0120" + p)]).tobytes()
+                    word = p.rstrip(punctuation)
+                    if word.isalpha():  # marks behind a word are one pre-token of their own
+                        ids = near.get(word) or far.get(word)
+                        if ids is None:
+                            ids = array(code, [t.id for t in tokenize("\u0120" + word)]).tobytes() if word.isascii() else self.word(" " + word)
+                            if len(word) <= LONG:
+                                near[word] = ids
+                                held += PER_ENTRY + 2 * len(word) + len(ids)
+                        if len(word) < len(p):
+                            ids += self.words[p[len(word) :]]
                     else:
                         ids = self.part(" " + p)
-                if len(p) <= LONG:
-                    near[p] = ids
+                near[p] = ids
+                if len(p) > LONG:
+                    long.append(p)
+                else:
                     held += PER_ENTRY + 2 * len(p) + len(ids)
-                    if held > TABLE_BYTES:
-                        self.far, self.near = near, {}
-                        far, near, held = self.far, self.near, 0
-            out.append(ids)
-        self.held = held
-        return out
+            out = b"".join(map(near.__getitem__, parts))
+            for p in long:
+                del near[p]
+            self.held = held
+            if held > TABLE_BYTES:
+                self.far, self.near, self.held = near, {}, 0
+            return out
+        return b"".join(map(near.__getitem__, parts))
 
 
 def encoder(path: str, end_id: int) -> Encoder:
