@@ -244,6 +244,23 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> bytes:
     return pickle.dumps({k: list(v) for k, v in samples.items()})
 
 
+def judged(model: Model, column: pa.Array) -> tuple[list[str], list[float]]:
+    """The model's judgement of each text, about two million characters at a time."""
+    preds, scores = [], []
+    texts = [t or "" for t in column.to_pylist()]
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) < 2_000_000):
+            size += len(texts[j])
+            j += 1
+        p, s = model.judge(texts[i:j])
+        preds += p
+        scores += s
+        i = j
+    return preds, scores
+
+
 def identified(docs: DataFrame, samples: bytes) -> DataFrame:
     """doc_id, lang_pred, score for each row of docs (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(samples)
@@ -251,18 +268,7 @@ def identified(docs: DataFrame, samples: bytes) -> DataFrame:
     def run(batches):
         model = model_of(shared.value)
         for batch in batches:
-            preds, scores = [], []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            i = 0
-            while i < len(texts):  # about two million characters at a time
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) < 2_000_000):
-                    size += len(texts[j])
-                    j += 1
-                p, s = model.judge(texts[i:j])
-                preds += p
-                scores += s
-                i = j
+            preds, scores = judged(model, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return narrowed(docs, doc_id="doc_id", text="text").mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -276,10 +282,7 @@ def recognised(docs: DataFrame, samples: bytes) -> DataFrame:
     def run(batches):
         model = model_of(shared.value)
         for batch in batches:
-            preds = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i in range(0, len(texts), 500):
-                preds += model.judge(texts[i : i + 500])[0]
+            preds, _ = judged(model, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string())], names=["row", "pred"])
 
     named = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, pred string").where("pred <> 'und'")
