@@ -39,7 +39,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = ("ids", "n_tokens", "ids_sha256", "decoded_sha256")
-    return sentencepiece_codec.encode_documents(docs, sentencepiece_codec.default_model(), columns, ("lang", "source"))
+    # Workers that have run the other stages have less memory left for the table of known parts.
+    return sentencepiece_codec.encode_documents(docs, sentencepiece_codec.default_model(), columns, ("lang", "source"), table_bytes=40 << 20)
 
 
 STAGES = [
