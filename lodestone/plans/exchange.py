@@ -237,9 +237,10 @@ def topic_bags(spark, sf_dir):
 
 
 def topic_sources(spark, sf_dir):
-    """Topic rows under hashed names with the paths behind them."""
-    d = t.table(spark, sf_dir, "documents").select(tx.short_hash(F.col("doc_id").cast("string")).alias("name"), F.concat_ws("/", "source", "doc_id").alias("path"))
-    given = t.table(spark, sf_dir, "labels").select(tx.short_hash(F.col("doc_id").cast("string")).alias("name"), F.col("quality").alias("topic"), F.lit(0.5).alias("share"))
+    """Topic rows under hashed names with the paths behind them. Names are whole hashes: eight digits of them collide among 100,000 documents."""
+    name = tx.short_hash(F.col("doc_id").cast("string"), 64).alias("name")
+    d = t.table(spark, sf_dir, "documents").select(name, F.concat("source", F.lit("/"), "doc_id").alias("path"))
+    given = t.table(spark, sf_dir, "labels").select(name, F.col("quality").alias("topic"), F.lit(0.5).alias("share"))
     return topics.topic_sources(given, d).groupBy("topic").agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
 
 

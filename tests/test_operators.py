@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.operators import bm25, calibrate, chat, dense, entity, fuse, graph, ranking, splitters, stats
 from lodestone.operators.bounded import numbered, running
+from lodestone.plans import exchange
 from lodestone.sources import files, index_store, records
 
 
@@ -479,3 +480,10 @@ def test_html_references_need_their_semicolon(spark):
     assert files.html_text("\ue000&amp&amp;<!-- & --><script>a && b</script>") == "\ue000&amp&"
     pages = spark.createDataFrame([(1, "<title>x&ampy</title>"), (2, None)], "page_id long, html string")
     assert values(files.html_texts(pages), "page_id", "text") == [(1, "x&ampy"), (2, None)]
+
+
+def test_topic_sources_do_not_mix_documents_whose_hashes_begin_alike(spark, tmp_path):
+    ids = [69235, 95303]  # SHA-256 of both begins with the same eight digits
+    spark.createDataFrame([(ids[0], "b"), (ids[1], "a"), (3, None)], "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(ids[0], 0), (ids[1], 1), (3, 2)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert values(exchange.topic_sources(spark, str(tmp_path)), "topic", "n", "first_path") == [(0, 1, "b/69235"), (1, 1, "a/95303"), (2, 1, None)]
