@@ -115,7 +115,7 @@ def scanned(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     )
     each = found.where("size(base) > 0 or size(wide) > 0").select("doc_id", "row", "owner", "repo", F.explode(F.array_distinct(F.transform(F.concat("base", "wide"), lambda s: s["hash"]))).alias("hash"))
     held = each.select("hash", "owner", "repo").distinct().groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos"))
-    examples = held.where((F.col("owners") >= example_owners) & (F.col("repos") >= example_owners)).select("hash")
+    examples = written(held.where((F.col("owners") >= example_owners) & (F.col("repos") >= example_owners)).select("hash"), "examples")
     copied = salted_join(each.select("row", "hash"), examples, ["hash"], F.col("row"), 64).groupBy("row").agg(F.array_sort(F.collect_set("hash")).alias("copied"))
     out = found.join(copied, "row", "left").withColumn("copied", F.coalesce("copied", F.array().cast("array<bigint>")))
     mark = lambda c: F.transform(c, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _within(F.col("copied"), s["hash"]).alias("example")))

@@ -649,7 +649,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     longer = lambda acc, s: F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], s["end"]).alias("end"))
     join = lambda acc, s: F.when(touches(acc, s), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer(acc, s)))).otherwise(F.concat(acc, F.array(s)))
     spans = F.aggregate(F.array_sort(F.collect_set(F.struct("start", "end"))), F.array().cast(kind), join)
-    named = named.groupBy("unit", "class_id").agg(spans.alias("spans")).select("unit", "class_id", F.inline("spans"))
+    named = written(named.groupBy("unit", "class_id").agg(spans.alias("spans")).select("unit", "class_id", F.inline("spans")), "named")
     out = salted_join(rows.select("doc_id", "unit").distinct(), named, ["unit"], F.col("doc_id"), 8)
     return out.select("doc_id", "class_id", "start", "end", (F.col("end") - F.col("start")).alias("n_words"))
 

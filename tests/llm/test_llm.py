@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontamination, fingerprints, language_id, licenses, ngram_join, secrets, sentencepiece_codec, substring_dedup, token_files, warc
+from lodestone.llm import common
 from lodestone.llm.common import components, salted_join
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -71,6 +72,20 @@ def test_salted_join(spark):
     assert salted_join(left, right, ["k"], F.col("id"), 8, "left").count() == 500
 
 
+def test_salted_join_sends_no_repeated_rows_to_the_driver(spark, tmp_path, monkeypatch):
+    spark.range(4000).withColumn("k", F.col("id") % 50).write.parquet(f"{tmp_path}/left")
+    spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).write.parquet(f"{tmp_path}/right")
+    left, right = spark.read.parquet(f"{tmp_path}/left"), spark.read.parquet(f"{tmp_path}/right")
+    for limit, kind in ((40, "BroadcastHashJoin"), (39, "SortMergeJoin")):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+        for how, n in (("inner", 3200), ("left", 4000)):
+            out = salted_join(left, right, ["k"], F.col("id"), 64, how)
+            assert sorted(out.columns) == ["id", "k", "v"]
+            assert kind in out._jdf.queryExecution().executedPlan().toString() and "_salt" not in out.columns
+            assert ("Generate" in out._jdf.queryExecution().executedPlan().toString()) == (kind == "SortMergeJoin")
+            assert out.count() == n and out.where("v is not null and v <> 2 * k").isEmpty()
+
+
 # ---------------------------------------------------------------- 1
 
 
