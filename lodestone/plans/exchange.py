@@ -98,8 +98,9 @@ def session_log(spark, sf_dir):
 def group_files(spark, sf_dir):
     """A folder for each user with at least 60 events, read back."""
     folder = t.work(spark, "groups")
-    index_store.per_group(t.table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", 60, folder)
-    return spark.read.schema("event_id long, user_id long").parquet(folder).groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+    rows = t.table(spark, sf_dir, "events").select("user_id", "event_id")
+    index_store.per_group(rows, "user_id", 60, folder)
+    return index_store.read_groups(spark, folder, rows.schema, "user_id").groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
 def text_by_hash(spark, sf_dir):

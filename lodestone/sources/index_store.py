@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lodestone.operators import bm25, entity
 from lodestone.operators.bounded import work_folder
@@ -75,9 +83,68 @@ def looked_up(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
 
 def per_group(rows: DataFrame, group: str, least: int, folder: str) -> None:
-    """A folder for each group of at least least rows."""
-    big = rows.groupBy(group).count().where(F.col("count") >= least).select(group)
-    rows.join(big, group, "left_semi").repartition(group).write.mode("overwrite").partitionBy(group).parquet(folder)
+    """A folder for each group of at least least rows (folder/group=value/part-0.parquet), and a list of them in folder/_groups.
+
+    Tasks write the files themselves: Spark's own commit and listing take milliseconds for each folder. A group's rows come
+    in runs, so a task holds one batch. Files get their name when they are whole; a second attempt writes the same.
+    """
+    spark = rows.sparkSession
+    big = rows.groupBy(F.col(group).alias("_big")).count().where(F.col("count") >= least).select("_big")
+    kept = rows.join(big, F.col(group).eqNullSafe(F.col("_big")), "left_semi")
+
+    def write(batches):
+        fs, base = FileSystem.from_uri(folder)
+        now, made, out = None, [], None
+
+        def close():
+            out.close()
+            fs.move(f"{now[1]}/.{now[2]}", f"{now[1]}/part-0.parquet")
+
+        for batch in batches:
+            names = batch.column(group).to_pylist()
+            rest = batch.select([c for c in batch.schema.names if c != group])
+            i = 0
+            while i < len(names):
+                j = i + 1
+                while j < len(names) and names[j] == names[i]:
+                    j += 1
+                if now is None or now[0] != names[i]:
+                    if now is not None:
+                        close()
+                    value = "__HIVE_DEFAULT_PARTITION__" if names[i] is None else quote(str(names[i]), safe="")
+                    now = (names[i], f"{base}/{group}={value}", uuid.uuid4().hex)
+                    fs.create_dir(now[1])
+                    out = pq.ParquetWriter(f"{now[1]}/.{now[2]}", rest.schema, filesystem=fs)
+                    made.append((names[i], f"{group}={value}"))
+                out.write_batch(rest.slice(i, j - i))
+                i = j
+        if now is not None:
+            close()
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in made], batch.schema.field(group).type), pa.array([p for _, p in made], pa.string())], names=[group, "path"])
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    listed = StructType([rows.schema[group], StructField("path", StringType())])
+    kept.repartition(parts, group).sortWithinPartitions(group).mapInArrow(write, listed).write.mode("overwrite").parquet(f"{folder}/_groups")
+
+
+def read_groups(spark: SparkSession, folder: str, schema: StructType, group: str) -> DataFrame:
+    """The rows of all groups that per_group wrote to folder, from the groups' own files. schema: of the rows."""
+    listed = spark.read.parquet(f"{folder}/_groups")
+    names = schema.fieldNames()
+
+    def read(batches):
+        fs, base = FileSystem.from_uri(folder)
+        for batch in batches:
+            value = batch.column(0)
+            for k, path in enumerate(batch.column(1).to_pylist()):
+                for part in pq.ParquetFile(f"{base}/{path}/part-0.parquet", filesystem=fs).iter_batches():
+                    same = value.slice(k, 1).take(pa.array(np.zeros(part.num_rows, np.int64)))
+                    held = dict(zip(part.schema.names, part.columns, strict=True)) | {group: same}
+                    yield pa.RecordBatch.from_arrays([held[n] for n in names], names=names)
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return listed.repartition(parts, "path").mapInArrow(read, schema)
 
 
 def appended_json(rows: DataFrame, folder: str) -> None:

@@ -487,3 +487,16 @@ def test_topic_sources_do_not_mix_documents_whose_hashes_begin_alike(spark, tmp_
     spark.createDataFrame([(ids[0], "b"), (ids[1], "a"), (3, None)], "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(ids[0], 0), (ids[1], 1), (3, 2)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     assert values(exchange.topic_sources(spark, str(tmp_path)), "topic", "n", "first_path") == [(0, 1, "b/69235"), (1, 1, "a/95303"), (2, 1, None)]
+
+
+def test_group_folders_are_whole_and_listed(spark, tmp_path):
+    folder = f"{tmp_path}/groups"
+    rows = [(g, i) for g, n in (("a/b", 3), (None, 4), ("c", 2), ("%", 5)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i int")
+    index_store.per_group(df, "g", 3, folder)
+    want = [(g, i) for g, i in rows if g != "c"]
+    got = [tuple(r) for r in index_store.read_groups(spark, folder, df.schema, "g").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    # The folders are those that Spark itself reads as partitions, and hold nothing else.
+    assert sorted((tuple(r) for r in spark.read.schema("i int, g string").parquet(folder).select("g", "i").collect()), key=repr) == sorted(want, key=repr)
+    assert sorted(p.relative_to(folder).as_posix() for p in (tmp_path / "groups").rglob("*") if p.is_file() and "_groups" not in p.as_posix()) == ["g=%25/part-0.parquet", "g=__HIVE_DEFAULT_PARTITION__/part-0.parquet", "g=a%2Fb/part-0.parquet"]
