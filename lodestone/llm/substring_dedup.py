@@ -10,7 +10,7 @@ Every text of a signature is compared with the smallest one, its leader. Neighbo
 about one diagonal are one region, and two regions are verified on their shingles: some run of LEAST must have Jaccard
 similarity 0.75 or more with the other side. A signature of three texts and more under which some text was not alike its
 leader is then gone through as a whole: of the others, those that share a shingle which the leader lacks there (two that are
-alike do, unless both are alike the leader) lead in turn, each until it has a partner or has met them all.
+alike do, unless both are alike the leader) lead in turn, and each meets all that it is not yet connected with.
 
 Nothing depends on how the rows are dealt out: equal texts are one unit, known by a 64-bit hash of the text (two unlike texts
 share one with a chance of 3 % among a billion texts); leaders are the smallest units of the whole table; links go
@@ -408,10 +408,12 @@ def open_places(matched: DataFrame, spans: DataFrame, buckets: int) -> DataFrame
 
 
 def group_links(docs: list[int], windows: list[np.ndarray], still: list[bool]) -> list[tuple[int, int, tuple[int, int], tuple[int, int]]]:
-    """(member, leader, member's span, leader's span) until each open member has led or has a verified partner.
+    """(member, leader, member's span, leader's span): links that connect all that are alike, but for pairs of two that are not open.
 
-    A leader meets all open members and the others until it has a partner, so a member that stays open has no partner under
-    this minimum. Two that are alike share NEED places of a run, so a leader is met through its rarer shingles alone.
+    Open members lead in turn. A leader meets all that it is not yet connected with, open or not; two count as connected
+    only where the links between them run through one passage of each (by the rule of _own_passages). Two that are not open are
+    both alike the signature's leader at all their places. Two that are alike share NEED places of a run, so a leader is met
+    through its rarer shingles alone.
     """
     size = np.array([len(w) for w in windows])
     begin = np.cumsum(size) - size
@@ -420,8 +422,14 @@ def group_links(docs: list[int], windows: list[np.ndarray], still: list[bool]) -
     codes, owner = flat[order], who[order]
     low, high = np.searchsorted(codes, flat, "left"), np.searchsorted(codes, flat, "right")
     open_, out = np.array(still, bool), []
+    label, place, spans = np.arange(len(windows)), np.arange(len(windows)), {}
+
+    def one_passage(i: int, span: tuple[int, int]) -> bool:
+        a, b = spans.setdefault(i, span)
+        return 4 * (min(b, span[1]) - max(a, span[0])) >= 3 * max(b - a, span[1] - span[0])
+
     for lead, mine in enumerate(windows):
-        if not open_[lead] or len(mine) < LEAST:
+        if not open_[lead] or len(mine) < LEAST or (label == label[lead]).all():
             continue
         lo, hi = (x[begin[lead] : begin[lead] + len(mine)] for x in (low, high))
         spread = np.argsort(hi - lo, kind="stable")
@@ -432,19 +440,16 @@ def group_links(docs: list[int], windows: list[np.ndarray], still: list[bool]) -
         at = np.arange(int(n.sum())) + np.repeat(lo[rare] - (np.cumsum(n) - n), n)
         holds = np.unique(np.repeat(np.arange(len(rare)), n) * len(windows) + owner[at])
         seen = np.bincount(holds % len(windows), minlength=len(windows))
-        met = np.flatnonzero((seen >= NEED - (len(mine) - few)) & (doc != doc[lead]) & (size >= LEAST))
-        # The open ones all, the others until one of them is a partner.
-        for part, enough in ((met[open_[met]], False), (met[~open_[met]], True)):
-            for at in range(0, len(part), 32 if enough else 4096):
-                if enough and not open_[lead]:
-                    break
-                some = part[at : at + (32 if enough else 4096)]
-                for m in some[_maybe_alike(some, flat, begin, size, mine)].tolist():
-                    if (span := alike_span(windows[m], mine)) and (back := alike_span(mine, windows[m])):
-                        open_[m] = open_[lead] = False
-                        out.append((m, lead, span, back))
-                        if enough:
-                            break
+        # Open ones before the leader have met it when they led.
+        met = np.flatnonzero((seen >= NEED - (len(mine) - few)) & (doc != doc[lead]) & (size >= LEAST) & (~open_ | (place > lead)))
+        for at in range(0, len(met), 4096):
+            some = met[at : at + 4096]
+            some = some[label[some] != label[lead]]
+            for m in some[_maybe_alike(some, flat, begin, size, mine)].tolist():
+                if label[m] != label[lead] and (span := alike_span(windows[m], mine)) and (back := alike_span(mine, windows[m])):
+                    out.append((m, lead, span, back))
+                    if one_passage(m, span) & one_passage(lead, back):
+                        label[label == label[m]] = label[lead]
     return out
 
 

@@ -411,6 +411,23 @@ def test_op4_near_copy_of_a_follower():
     assert {x for m, lead, _, _ in substring_dedup.group_links(list(range(53)), windows, [True] * 53) for x in (m, lead)} == {i for i, _ in alike}
 
 
+def test_op4_links_of_members_that_have_a_partner():
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        base, windows = rng.integers(1, 1 << 24, 60).astype(np.uint32), []
+        for _ in range(12):
+            n = rng.integers(0, 12)
+            windows.append(base.copy())
+            windows[-1][rng.choice(60, n, replace=False)] = rng.integers(1, 1 << 24, n)
+        still = (rng.random(12) < 0.6).tolist()
+        alike = {(i, j) for i in range(12) for j in range(12) if i != j and substring_dedup.alike_span(windows[i], windows[j]) and substring_dedup.alike_span(windows[j], windows[i])}
+        links = {(m, lead) for m, lead, _, _ in substring_dedup.group_links(list(range(12)), windows, still)}
+        root = list(range(12))
+        for m, lead in links:
+            root = [root[lead] if r == root[m] else r for r in root]
+        assert links <= alike and all(root[i] == root[j] for i, j in alike if still[i] or still[j])
+
+
 # ---------------------------------------------------------------- 5
 
 
