@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import bm25, fuse, splitters, topics
+from lodestone.operators.bounded import few
 from lodestone.plans import tables as t
 from lodestone.sources import files, records
 
@@ -57,6 +58,8 @@ def html_text(spark, sf_dir):
 def _ranked(spark, sf_dir):
     """The best chunks of each question; a chunk's file holds it between a heading and a last line."""
     top = bm25.top_chunks(t.questions(spark, sf_dir), t.bm25_index(spark, sf_dir), 4)
+    if few(t.questions(spark, sf_dir), 50_000):  # four rows a question: the texts need no shuffle
+        top = F.broadcast(top)
     docs = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "text")
     file_text = F.concat(F.lit("# "), F.col("source"), F.lit("\n"), F.col("text"), F.lit("\nend"))
     return top.join(docs, "chunk_id").select("query_id", "rank", F.col("text").alias("content"), F.concat_ws("/", "source", F.col("chunk_id").cast("string")).alias("source"), file_text.alias("text"))

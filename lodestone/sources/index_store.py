@@ -20,10 +20,11 @@ _built: dict[tuple, str] = {}
 
 
 def write_bm25(folder: str, chunks: DataFrame, p: bm25.Bm25 = bm25.Bm25(), tokens: bm25.Tokenizer = bm25.words) -> None:
-    """The BM25 index of chunks (chunk_id, text) under folder/bm25, by one pass over the texts; postings and terms lie in order of their terms."""
+    """The BM25 index of chunks (chunk_id, text) under folder/bm25, by one pass over the texts. Each file of postings lies in
+    order of its terms, as the count leaves them: a further shuffle by ranges of terms would take their size on disk once more."""
     spark = chunks.sparkSession
     held = bm25.postings(chunks, tokens=tokens).select("term", "chunk_id", "tf", "dl")
-    held.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/bm25/postings")
+    held.sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{folder}/bm25/postings")
     held = spark.read.parquet(f"{folder}/bm25/postings")
     bm25.corpus_stats(chunks, held).write.mode("overwrite").parquet(f"{folder}/bm25/stats")
     stats = spark.read.parquet(f"{folder}/bm25/stats")
