@@ -16,7 +16,8 @@ Nothing depends on how the rows are dealt out: equal texts are one unit, known b
 share one with a chance of 3 % among a billion texts); leaders are the smallest units of the whole table; links go
 through connected components. Hot passages: a minimum that several texts of one task hold goes on as one marker and its windows go
 to their units at once; leaders are partial aggregates; leaders' regions go once to each bucket of followers; a signature of
-over GROUP texts without partners is dealt in pairs of chunks.
+over GROUP places or GROUP_SHINGLES shingles is dealt in pairs of chunks; of one of over PAIRED chunks only those places whose
+shingles are others' as well over a run, counted over the whole signature.
 
 Result: a row for each repeated passage of each document: doc_id, class_id (the smallest doc_id that the passage is linked
 with, over any number of links), start and end (words, end exclusive), n_words (50 at least). A document whose whole text
@@ -38,14 +39,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACE_SEP, components, drop_written, few, gram_hashes, lean_batches, mix, narrowed, read_table, salted_join, semi_by_id, text_slices, trim, word_hashes, written
+from lodestone.llm.common import BROADCAST_ROWS, SPACE_SEP, components, drop_written, few, gram_hashes, lean_batches, mix, narrowed, read_table, salted_join, semi_by_id, text_slices, trim, word_hashes, written
 
 SHINGLE, LEAST = 5, 46  # 46 shingles of 5 words: 50 words
 HASHES, ENOUGH = 4, 2
 FLUSH_WINDOWS = 200_000
 BUCKET_WINDOWS = 250_000
 GRID = 32
-GROUP, BLOCK_ROWS = 2000, 4000
+GROUP, GROUP_SHINGLES = 2000, 400_000  # of a chunk of a large signature
+PAIRED = 5  # chunks that are dealt in pairs as they are: counting shingles costs more than as many rows of each place
+BLOCK_ROWS, BLOCK_BYTES = 4000, 4_000_000
+LOT = 1_000_000  # entries looked at together
 SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: A window is its minimum (the function in the low bits), its unit, and the first and last place where its runs begin.
 WINDOW = (("key", np.uint64), ("unit", np.int64), ("first", np.int32), ("last", np.int32), ("mark", np.uint8))
@@ -258,7 +262,7 @@ def regions(matched: DataFrame, buckets: int) -> DataFrame:
         unit, first, last, lead, lfirst, llast = (x[order] for x in (unit, first, last, lead, lfirst, llast))
         other = np.append(True, (unit[1:] != unit[:-1]) | (lead[1:] != lead[:-1]))
         track = np.cumsum(other | np.append(True, np.diff(lfirst - first) > LEAST))
-        order = np.lexsort((first, track))
+        order = np.lexsort((llast, lfirst, last, first, track))  # rows come in any order
         unit, first, last, lead, lfirst, llast, track = (x[order] for x in (unit, first, last, lead, lfirst, llast, track))
         new = np.flatnonzero(np.append(True, (track[1:] != track[:-1]) | (first[1:] > last[:-1] + LEAST)))
         low, high = lambda x: np.minimum.reduceat(x, new), lambda x: np.maximum.reduceat(x, new) + LEAST
@@ -417,10 +421,10 @@ def group_links(docs: list[int], windows: list[np.ndarray], still: list[bool]) -
     """
     size = np.array([len(w) for w in windows])
     begin = np.cumsum(size) - size
-    flat, who, doc = np.concatenate(windows), np.repeat(np.arange(len(windows)), size), np.array(docs)
-    order = np.argsort(flat, kind="stable")
-    codes, owner = flat[order], who[order]
-    low, high = np.searchsorted(codes, flat, "left"), np.searchsorted(codes, flat, "right")
+    flat, doc = np.concatenate(windows), np.array(docs)
+    # Each shingle of a window once: a line that repeats in all windows would meet itself at every pair of places.
+    pairs = np.unique((flat.astype(np.uint64) << np.uint64(32)) | np.repeat(np.arange(len(windows), dtype=np.uint64), size))
+    codes, owner = (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
     open_, out = np.array(still, bool), []
     label, place, spans = np.arange(len(windows)), np.arange(len(windows)), {}
 
@@ -431,17 +435,20 @@ def group_links(docs: list[int], windows: list[np.ndarray], still: list[bool]) -
     for lead, mine in enumerate(windows):
         if not open_[lead] or len(mine) < LEAST or (label == label[lead]).all():
             continue
-        lo, hi = (x[begin[lead] : begin[lead] + len(mine)] for x in (low, high))
+        own, places = np.unique(mine, return_counts=True)
+        lo, hi = np.searchsorted(codes, own, "left"), np.searchsorted(codes, own, "right")
         spread = np.argsort(hi - lo, kind="stable")
-        few = len(mine) - NEED + 1  # of all but NEED - 1 places one is common
+        held = np.cumsum(places[spread])
+        few = int(np.searchsorted(held, len(mine) - NEED + 1)) + 1  # of all but NEED - 1 places one is common
         few = max(few, int(np.searchsorted((hi - lo)[spread], 64, "right")))
-        rare = spread[:few]
-        n = hi[rare] - lo[rare]
-        at = np.arange(int(n.sum())) + np.repeat(lo[rare] - (np.cumsum(n) - n), n)
-        holds = np.unique(np.repeat(np.arange(len(rare)), n) * len(windows) + owner[at])
-        seen = np.bincount(holds % len(windows), minlength=len(windows))
+        seen, ends = np.zeros(len(windows), np.int64), np.cumsum((hi - lo)[spread[:few]])
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, int(ends[-1]) + LOT, LOT), "left"))
+        for rare in np.split(spread[:few], cuts[(cuts > 0) & (cuts < few)]):
+            n = hi[rare] - lo[rare]
+            at = np.arange(int(n.sum())) + np.repeat(lo[rare] - (np.cumsum(n) - n), n)
+            seen += np.bincount(owner[at], np.repeat(places[rare], n), len(windows)).astype(np.int64)
         # Open ones before the leader have met it when they led.
-        met = np.flatnonzero((seen >= NEED - (len(mine) - few)) & (doc != doc[lead]) & (size >= LEAST) & (~open_ | (place > lead)))
+        met = np.flatnonzero((seen >= NEED - (len(mine) - held[few - 1])) & (doc != doc[lead]) & (size >= LEAST) & (~open_ | (place > lead)))
         for at in range(0, len(met), 4096):
             some = met[at : at + 4096]
             some = some[label[some] != label[lead]]
@@ -500,30 +507,76 @@ def sharing(rows: list[tuple]) -> list[list[tuple]]:
     return [part for part in out.values() if any(r[4] for r in part)]
 
 
+def _chunked(rows: DataFrame) -> DataFrame:
+    """sig, chunks: how many chunks of GROUP places and of GROUP_SHINGLES shingles each signature of rows (sig, first, last) takes."""
+    size = F.greatest(F.count("*") / GROUP, F.sum(F.col("last") - F.col("first") + LEAST) / GROUP_SHINGLES)
+    return rows.groupBy("sig").agg(F.ceil(size).cast("int").alias("chunks"))
+
+
+def shared_runs(docs: DataFrame, units: DataFrame, members: DataFrame) -> DataFrame:
+    """Of the places members (sig, unit, first, last, still, leads) the leaders and those that may be alike another unit's.
+
+    Such a place has a run of LEAST shingles of which other units have NEED there, and one of these the leader lacks (see
+    sharing). Shingles are counted over the whole signature, in work that grows with its shingles and not with its pairs.
+    """
+    names = ["sig", "unit", "first", "last", "still", "leads"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int32())]
+
+    def cut(batches):
+        for batch in batches:
+            out = [(p["sig"], unit, p["first"], p["last"], p["still"], p["leads"], shingles[p["first"] : p["last"] + LEAST].view("<i4")) for unit, shingles, parts in _cut_rows(batch) for p in parts]
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=[*names, "codes"])
+        trim()
+
+    parts = members.select("unit", F.struct("sig", "first", "last", "still", "leads").alias("part"))
+    windows = written(_texts(docs, units, parts).mapInArrow(cut, "sig long, unit long, first long, last long, still boolean, leads boolean, codes array<int>"), "windows")
+    codes = windows.select(*names, F.posexplode("codes").alias("at", "code"))
+    member = F.when(~F.col("leads"), F.col("unit"))
+    held = codes.groupBy("sig", "code").agg(F.min(member).alias("a"), F.max(member).alias("b"), F.max("leads").alias("led")).where("a <> b")
+    held = written(held.select("sig", "code", "led"), "held")
+    hits = salted_join(codes.where("not leads"), held, ["sig", "code"], F.col("unit"), 8)
+    found = hits.groupBy(names).agg(F.array_sort(F.collect_list("at")).alias("at"), F.min("led").alias("led")).where("not led").where(F.size("at") >= NEED)
+    run = F.exists(F.sequence(F.lit(0), F.size("at") - NEED), lambda i: F.get("at", i + NEED - 1) - F.get("at", i) < LEAST)
+    out = written(found.where(run).select(names).union(windows.where("leads").select(names)), "left")
+    drop_written(windows)
+    drop_written(held)
+    return out
+
+
 def whole_groups(docs: DataFrame, units: DataFrame, matched: DataFrame, spans: DataFrame, buckets: int) -> DataFrame:
     """Verified spans, as verified gives them, of the signatures that have open places, each gone through as a whole."""
     # All have met the leader: what is left are signatures of at least two others.
-    first_of = matched.select("sig", "lead", "lead_first", "lead_last")
+    place = lambda *c: [F.col(x).cast("long").alias(y) for x, y in zip(c, ("unit", "first", "last"), strict=True)]
+    first_of = matched.select("sig", *place("lead", "lead_first", "lead_last"))
     matched = matched.where("unit <> lead")
     several = matched.where("unit <> top").select("sig").distinct()
     still = written(open_places(matched, spans, buckets).join(several, "sig", "left_semi"), "open")
     sigs = still.select("sig").distinct()
     sigs = F.broadcast(sigs) if few(sigs, 200_000) else sigs
-    members = matched.join(sigs, "sig", "left_semi").select("sig", "unit", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
+    members = matched.join(sigs, "sig", "left_semi").select("sig", *place("unit", "first", "last"))
     members = members.join(still.withColumn("still", F.lit(True)), ["sig", "unit", "first"], "left").withColumn("still", F.coalesce("still", F.lit(False)))
-    members = written(members, "members")
-    leaders = first_of.join(sigs, "sig", "left_semi").distinct()
-    size = members.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("sig", F.ceil(F.col("n") / GROUP).cast("int").alias("chunks"))
-    rows = salted_join(members, size, ["sig"], F.col("unit"), 8, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    leaders = first_of.join(sigs, "sig", "left_semi").distinct().withColumn("still", F.lit(False))
+    kinds = ["sig", "unit", "first", "last", "still", "leads"]
+    members = written(members.withColumn("leads", F.lit(False)).select(kinds).union(leaders.withColumn("leads", F.lit(True)).select(kinds)), "members")
+    large = written(_chunked(members).where("chunks > 1"), "large")
+    work = [still, members, large]
+    if few(large, 0):
+        rows = members.withColumn("chunks", F.lit(1))
+    else:
+        hot = F.broadcast(large) if few(large, BROADCAST_ROWS) else large
+        rows = members.join(hot.select("sig"), "sig", "left_anti").withColumn("chunks", F.lit(1))
+        rest = members.join(hot, "sig")
+        rows = rows.union(rest.where(F.col("chunks") <= PAIRED).select(rows.columns))
+        if not few(large.where(F.col("chunks") > PAIRED), 0):
+            work.append(shared_runs(docs, units, rest.where(F.col("chunks") > PAIRED).drop("chunks")))
+            rows = rows.union(salted_join(work[-1], _chunked(work[-1]), ["sig"], F.col("unit"), 8).select(rows.columns))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("unit"), F.col("chunks")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != F.col("mine"))
-    tasks = F.when(F.col("chunks") == 1, F.array(F.lit("0"))).otherwise(F.transform(others, lambda c: F.concat_ws("-", F.least(c, F.col("mine")), F.greatest(c, F.col("mine")))))
-    parts = rows.select("unit", F.struct("sig", "first", "last", "still", F.lit(False).alias("leads"), tasks.alias("tasks")).alias("part"))
-    led = leaders.join(size, "sig", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.col("chunks") - 1), lambda j: F.transform(F.sequence(F.lit(0), j - 1), lambda i: F.concat_ws("-", i, j))))
-    every = F.when(F.col("chunks") == 1, F.array(F.lit("0"))).otherwise(pairs)
-    lead = F.struct("sig", F.col("lead_first").cast("long").alias("first"), F.col("lead_last").cast("long").alias("last"), F.lit(False).alias("still"), F.lit(True).alias("leads"), every.alias("tasks"))
-    parts = parts.union(led.select(F.col("lead").alias("unit"), lead.alias("part")))
+    some = F.transform(others, lambda c: F.concat_ws("-", F.least(c, F.col("mine")), F.greatest(c, F.col("mine"))))
+    every = F.flatten(F.transform(F.sequence(F.lit(1), F.col("chunks") - 1), lambda j: F.transform(F.sequence(F.lit(0), j - 1), lambda i: F.concat_ws("-", i, j))))
+    tasks = F.when(F.col("chunks") == 1, F.array(F.lit("0"))).when(F.col("leads"), every).otherwise(some)
+    parts = rows.select("unit", F.struct("sig", "first", "last", "still", "leads", tasks.alias("tasks")).alias("part"))
     names = ["sig", "task", "unit", "first", "still", "leads", "shingles"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
 
@@ -548,13 +601,15 @@ def whole_groups(docs: DataFrame, units: DataFrame, matched: DataFrame, spans: D
                     found.add((unit[m], first[m] + span[0], first[m] + span[1] + SHINGLE - 1, unit[lead], first[lead] + back[0], first[lead] + back[1] + SHINGLE - 1))
 
         rows: list = []
+        size = 0
         for batch in batches:
             for row in zip(*[batch.column(k).to_pylist() for k in range(7)], strict=True):
-                if len(rows) >= BLOCK_ROWS and rows[-1][:2] != row[:2]:
+                if (len(rows) >= BLOCK_ROWS or size >= BLOCK_BYTES) and rows[-1][:2] != row[:2]:
                     block(rows)
-                    rows = []
+                    rows, size = [], 0
                     trim()
                 rows.append(row)
+                size += len(row[6])
         block(rows)
         cols = list(zip(*sorted(found), strict=True)) or [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["unit", "start", "end", "lead", "lead_start", "lead_end"])
@@ -562,7 +617,7 @@ def whole_groups(docs: DataFrame, units: DataFrame, matched: DataFrame, spans: D
 
     cuts = _texts(docs, units, parts).mapInArrow(cut, "sig long, task string, unit long, first long, still boolean, leads boolean, shingles binary")
     out = written(cuts.repartition(buckets, "sig", "task").sortWithinPartitions("sig", "task", "unit", "first").mapInArrow(compare, PAIR), "groups")
-    _released(still, members)
+    _released(*work)
     return out
 
 

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -428,6 +429,48 @@ def test_op4_links_of_members_that_have_a_partner():
         assert links <= alike and all(root[i] == root[j] for i, j in alike if still[i] or still[j])
 
 
+def test_op4_group_of_a_repeated_line_is_bounded():
+    rng = np.random.default_rng(5)
+    line = rng.integers(1, 1 << 24, 12).astype(np.uint32)
+    windows = [np.concatenate([np.tile(line, 40), rng.integers(1, 1 << 24, 20).astype(np.uint32)]) for _ in range(300)]
+    tracemalloc.start()
+    links = substring_dedup.group_links(list(range(300)), windows, [True] * 300)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {x for m, lead, _, _ in links for x in (m, lead)} == set(range(300))
+    assert peak < 64e6
+
+
+def test_op4_shared_runs(spark):
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    near = words("n", 60)
+    texts = {0: words("l", 60), 1: [*words("l", 30), *words("p", 30)], 2: near, 3: [*near[:30], "edited", *near[31:]], 4: [*words("q", 40), *near[:20]], 5: [*words("l", 59), "m"], 6: [*words("l", 59), "m"]}
+    docs = spark.createDataFrame([(k, k, " ".join(v)) for k, v in texts.items()], "doc_id long, unit long, text string")
+    members = spark.createDataFrame([(7, k, 0, 10, k != 5, k == 0) for k in texts], "sig long, unit long, first long, last long, still boolean, leads boolean")
+    left = substring_dedup.shared_runs(docs, docs.select("unit", F.col("doc_id").alias("rep")), members)
+    # 1 has the leader's words and its own; 4 shares too few; 5 and 6 have a shingle that the leader lacks.
+    assert {(r.unit, r.first, r.last, r.still, r.leads) for r in left.collect()} == {(k, 0, 10, k != 5, k == 0) for k in (0, 2, 3, 5, 6)}
+
+
+def test_op4_large_groups_in_small_chunks(spark, monkeypatch):
+    rows = [(n, f"c{n} " * 20 + " ".join(f"p{n // 4}x{i}" if i < 55 else f"s{i}" for i in range(70)) + f" d{n}" * 20) for n in range(32)]
+    rows += frequent_shingles()[-3:]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = lambda: {(r.doc_id, r.class_id) for r in substring_dedup.repeated_passages(d).collect()}
+    want = classes()
+    monkeypatch.setattr(substring_dedup, "GROUP", 2)
+    monkeypatch.setattr(substring_dedup, "PAIRED", 1)
+    assert classes() == want
+    assert {doc for doc, _ in want} == {doc for doc, _ in rows}
+
+
+def test_op4_regions_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(1, 0, 5, 0, 0, 5), (1, 0, 100, 0, 0, 100), (1, 120, 130, 0, 120, 130)]
+    schema = "unit long, first int, last int, lead long, lead_first int, lead_last int"
+    got = [substring_dedup.regions(spark.createDataFrame(r, schema).coalesce(1), 1).collect() for r in (rows, [rows[1], rows[0], rows[2]])]
+    assert got[0] == got[1] == [(1, 0, 176, 0, 0, 176)]
+
+
 # ---------------------------------------------------------------- 5
 
 
