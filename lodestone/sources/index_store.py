@@ -20,12 +20,10 @@ _built: dict[tuple, str] = {}
 
 
 def write_bm25(folder: str, chunks: DataFrame, p: bm25.Bm25 = bm25.Bm25(), tokens: bm25.Tokenizer = bm25.words) -> None:
-    """The BM25 index of chunks (chunk_id, text) under folder/bm25, by one pass over the texts. Each file of postings lies in
-    order of its terms, as the count leaves them: a further shuffle by ranges of terms would take their size on disk once more."""
+    """The BM25 index of chunks (chunk_id, text) under folder/bm25, by one pass over the texts, which are counted where they are read."""
     spark = chunks.sparkSession
-    held = bm25.postings(chunks, tokens=tokens).select("term", "chunk_id", "tf", "dl")
-    held.sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{folder}/bm25/postings")
-    held = spark.read.parquet(f"{folder}/bm25/postings")
+    bm25.bags(chunks, tokens=tokens).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/bm25/bags")
+    held = bm25.postings_of(spark.read.parquet(f"{folder}/bm25/bags"))
     bm25.corpus_stats(chunks, held).write.mode("overwrite").parquet(f"{folder}/bm25/stats")
     stats = spark.read.parquet(f"{folder}/bm25/stats")
     bm25.idf(bm25.document_frequencies(held), stats, p).write.mode("overwrite").parquet(f"{folder}/bm25/idf")
@@ -34,7 +32,8 @@ def write_bm25(folder: str, chunks: DataFrame, p: bm25.Bm25 = bm25.Bm25(), token
 def read_bm25(spark: SparkSession, folder: str, ids: DataFrame) -> bm25.Index:
     """A stored index; ids: chunk_id of all chunks."""
     part = lambda name: spark.read.parquet(f"{folder}/bm25/{name}")
-    return bm25.Index(part("postings"), part("idf"), part("stats"), ids)
+    held = part("bags")
+    return bm25.Index(bm25.postings_of(held), part("idf"), part("stats"), ids, held)
 
 
 def bm25_of(chunks: DataFrame, source: str) -> bm25.Index:

@@ -36,6 +36,49 @@ def test_bm25_golden(spark, weather):
     assert top == [(1, 1, 2), (1, 2, 1), (1, 3, 0)]
 
 
+def scores_by_sql(chunks, queries):
+    import duckdb
+    import pandas as pd
+
+    from lodestone.plans.retrieval import SCORES_CTE
+
+    con = duckdb.connect()
+    con.register("d", pd.DataFrame(chunks, columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+    con.register("b", pd.DataFrame(queries, columns=["item_id", "text"]))
+    con.sql("CREATE VIEW documents AS SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(text AS VARCHAR) AS text FROM d")
+    con.sql("CREATE VIEW benchmark AS SELECT CAST(item_id AS BIGINT) AS item_id, CAST(text AS VARCHAR) AS text FROM b")
+    return sorted(con.sql(f"WITH {SCORES_CTE} SELECT query_id, chunk_id, round(score, 5) FROM scores").fetchall())
+
+
+def test_bm25_scores_as_sql_for_repeated_and_null_ids(spark, tmp_path):
+    texts = ["a b c a", "b b d e f g", None, "", "  ", "a d", "e f", "h i j", "k", "f g h", "f g h", "a a a h", "l", "m n"]
+    rows = list(zip([1, 1, 1, 1, 2, 3, None, None, None, 4, 4, 5, 6, 7], texts, strict=True))
+    asked = [(1, "a b b zzz"), (2, "f h a"), (3, ""), (4, None), (5, "k e")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string").repartition(5)
+    q = spark.createDataFrame(asked, "query_id long, text string")
+    index_store.write_bm25(str(tmp_path / "i"), chunks)
+    want = scores_by_sql(rows, asked)
+    assert len(want) == 8
+    for ix in (index_store.read_bm25(spark, str(tmp_path / "i"), chunks.select("chunk_id")), bm25.index(chunks)):
+        assert values(bm25.scores(q, ix).withColumn("score", F.round("score", 5)), "query_id", "chunk_id", "score") == want
+
+
+def test_bm25_scores_of_a_stored_index_shuffle_nothing(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows, asked = [(i, text(rng.randint(0, 9))) for i in range(60)], [(i, text(rng.randint(0, 6))) for i in range(9)]
+    chunks, q = spark.createDataFrame(rows, "chunk_id long, text string"), spark.createDataFrame(asked, "query_id long, text string")
+    want = scores_by_sql(rows, asked)
+    for words, weights, cells in ((10**6, 10**6, 10**6), (12, 7, 20)):  # one piece, many
+        for name, most in (("WORDS", words), ("WEIGHTS", weights), ("CELLS", cells)):
+            monkeypatch.setattr(bm25, name, most, raising=False)
+        index_store.write_bm25(str(tmp_path / str(words)), chunks)
+        got = bm25.scores(q, index_store.read_bm25(spark, str(tmp_path / str(words)), chunks.select("chunk_id")))
+        assert values(got.withColumn("score", F.round("score", 5)), "query_id", "chunk_id", "score") == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("MapInArrow") == (1 if words > 12 else plan.count("FileScan")) and (words > 12 or plan.count("FileScan") > 1)
+
+
 def test_entity_golden(spark):
     chunks = spark.createDataFrame([(0, "How to deploy BeanPot on WeChaty ?"), (1, "do you know what beanpot means ?"), (2, None)], "chunk_id long, text string")
     ents = spark.createDataFrame([(0, "BeanPot"), (1, "WeChat"), (2, "")], "eid long, entity string")
